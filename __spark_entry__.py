@@ -349,7 +349,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_output": json_output,
         "recent_entries": entries(lambda e: search.recent(e, ENTRIES_AS_OF)),
         "recent_by_type": entries(
-            lambda e: search.recent(e, ENTRIES_AS_OF, 3, entry_type="decision", project="src0")),
+            lambda e: search.recent(e, ENTRIES_AS_OF, 10, entry_type="reference", project="src1")),
         "stats_summary": entries(lambda e: reports.store_summary(e, ENTRIES_AS_OF, DAYS)),
         "stats_by_type": entries(lambda e: reports.store_section(e, "entry_type", ENTRIES_AS_OF, DAYS)),
         "stats_top_topics": entries(lambda e: reports.store_section(e, "topic", ENTRIES_AS_OF, DAYS)),
@@ -372,7 +372,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resolve_attempts": lambda s, d: _gate(s, d).select(
             "request_id", "attempt", "status", F.size("used").alias("used")),
         "gate_results": lambda s, d: _shown(answers.gate_results(_gate(s, d)).drop("attempt")),
-        "response_usage": lambda s, d: answers.usage_rows(_gate(s, d)),
+        "response_usage": lambda s, d: answers.usage_rows(_gate(s, d)).drop("request_id"),
         "inference_requests": inference_requests,
         "dup_against_store": dup_against_store,
         "dedupe_batch": dedupe_batch,

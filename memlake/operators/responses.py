@@ -161,6 +161,7 @@ def usage_rows(resolved: DataFrame, provider: str = "ollama", models: dict | Non
     return resolved.select(
         "request_id", "operation", F.explode("used").alias("use")
     ).select(
+        "request_id",
         F.concat_ws("/", F.col("request_id").cast("string"), "operation", F.col("use.attempt").cast("string")).alias("id"),
         F.lit(provider).alias("provider"),
         F.coalesce("use.model", named, F.lit("unknown")).alias("model"),

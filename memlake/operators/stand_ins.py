@@ -52,48 +52,43 @@ def rule_entry_type(text) -> Column:
     return kind
 
 
-def rule_metadata(texts: DataFrame, gazetteer: DataFrame, max_words: int = 3) -> DataFrame:
+def rule_metadata(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(request_id, text) + (term, kind: topics | people | projects) -> metadata per request.
 
-    Terms are matched as runs of up to `max_words` whole words, without regard to case.
-    Each distinct run meets the dictionary in an equi-join, so a common word costs its own
-    rows and nothing more; Spark broadcasts the dictionary while it is small.
+    Terms match as runs of whole words, without regard to case. The distinct words of a
+    text meet the terms that start with them in an equi-join; Spark broadcasts the
+    dictionary while it is small. Longer terms are then looked up in the whole text.
     """
-    token = words("text")
-    runs = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))),
-                        lambda i, n=n: F.array_join(F.slice("w", i, n), " "),
-                    )
-                    for n in range(1, max_words + 1)
-                ]
-            )
-        )
-    )
+    parts = words("term")
     terms = gazetteer.select(
-        F.array_join(words("term"), " ").alias("run"), F.col("term"), F.col("kind")
+        parts[0].alias("word"), F.struct("kind", "term", F.array_join(parts, " ").alias("run")).alias("hit")
     )
-    found = (
-        texts.select("request_id", token.alias("w"))
-        .select("request_id", F.explode(runs).alias("run"))
-        .where("run <> ''")
-        .join(terms, "run")
+    starts = (
+        texts.select("request_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+        .join(terms, "word")
         .groupBy("request_id")
-        .agg(
-            *[
-                F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("term")))).alias(kind)
-                for kind in ("topics", "people", "projects")
-            ]
-        )
+        .agg(F.collect_set("hit").alias("hits"))
+    )
+    spaced = F.concat(F.lit(" "), F.array_join(words("text"), " "), F.lit(" "))
+    held = F.filter(
+        "hits",
+        lambda h: (F.instr(h["run"], " ") == 0)
+        | F.contains(F.col("spaced"), F.concat(F.lit(" "), h["run"], F.lit(" "))),
     )
     none = F.array().cast("array<string>")
-    kinds = texts.select("request_id", "text", rule_entry_type("text").alias("entry_type"))
-    return kinds.join(found, "request_id", "left").select(
-        "request_id", F.lit(1).alias("attempt"), "entry_type",
-        *[F.coalesce(kind, none).alias(kind) for kind in ("topics", "people", "projects")],
+
+    def listed(kind):
+        mine = F.filter("held", lambda h: h["kind"] == kind)
+        return F.coalesce(F.array_sort(F.transform(mine, lambda h: h["term"])), none).alias(kind)
+
+    matched = texts.join(starts, "request_id", "left").withColumn(
+        "spaced", F.when(F.col("hits").isNotNull(), spaced)
+    ).withColumn("held", held)
+    return matched.select(
+        "request_id", F.lit(1).alias("attempt"), rule_entry_type("text").alias("entry_type"),
+        *[listed(kind) for kind in ("topics", "people", "projects")], "text",
+    ).select(
+        "request_id", "attempt", "entry_type", "topics", "people", "projects",
         F.when(F.col("entry_type") == "action_item", F.array(strip("text")))
         .otherwise(none).alias("action_items"),
     )

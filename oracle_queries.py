@@ -109,8 +109,8 @@ def _tags(name):
     """Stripped, non-blank elements of a JSON list; falsy elements dropped."""
     items = f"""list_filter(list_transform(
         CASE WHEN json_type(j, '$.{name}') = 'ARRAY' THEN json_extract(j, '$.{name}[*]') ELSE CAST([] AS JSON[]) END,
-        x -> CASE WHEN CAST(x AS VARCHAR) IN ('null', '0', 'false') THEN '' ELSE
-             regexp_replace(x->>'$', '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') END), y -> y <> '')"""
+        lambda x: CASE WHEN CAST(x AS VARCHAR) IN ('null', '0', 'false') THEN '' ELSE
+             regexp_replace(x->>'$', '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') END), lambda y: y <> '')"""
     return f"coalesce({items}, CAST([] AS VARCHAR[]))"
 
 
@@ -247,7 +247,7 @@ SELECT request_id, outcome, outcome = 'stored' AS stored, CASE WHEN outcome = 's
 FROM outcomes
 """
 
-WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> length(w) > 0)"
+WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 0)"
 _STRIP = r"regexp_replace(text, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')"
 NOISE = (
     r"(?i)^(error|exception|traceback|fatal|warning|segfault)\b|\bE[A-Z]{4,}: |"
@@ -284,7 +284,7 @@ FROM ({_search_many('true', 3)})""",
     "json_output": f"""SELECT * REPLACE (CAST(id AS VARCHAR) AS id, round_even(similarity_score, 4) AS similarity_score)
 FROM ({_search('true', 10, 1)})""",
     "recent_entries": _recent(7, "true"),
-    "recent_by_type": _recent(3, "entry_type = 'decision' AND list_contains(projects, 'src0')"),
+    "recent_by_type": _recent(10, "entry_type = 'reference' AND list_contains(projects, 'src1')"),
     "stats_summary": f"""SELECT count(*) FILTER ({_IN_WINDOW}) AS total_in_window,
   strftime(max(created_at) FILTER ({_IN_WINDOW}), '%Y-%m-%dT%H:%M:%S') AS most_recent, count(*) AS total_all_time
 FROM ({V_ENTRIES})""",
@@ -380,7 +380,7 @@ FROM ({_USAGE_ROWS}
   UNION ALL SELECT concat(request_id, '/embed/1'), 'ollama', 'unknown', 'embed', 12, 0 FROM judged
     WHERE state <> 'filtered' AND NOT fatal AND embedding IS NOT NULL) u""",
     "seed_entries": f"""
-WITH RECURSIVE cand AS (SELECT id, CAST(id AS VARCHAR) AS pos, embedding FROM ({V_VEC_DUP})), held AS (SELECT embedding FROM embeddings WHERE false),
+WITH RECURSIVE cand AS (SELECT id, id AS pos, embedding FROM ({V_VEC_DUP})), held AS (SELECT embedding FROM embeddings WHERE false),
 {ADMISSION}
 SELECT {_ID} AS id, CAST(rid AS VARCHAR) AS raw_text, 'reference' AS entry_type, 'seeded' AS topics, '' AS people, 'memlake' AS projects,
   '' AS action_items, 'seed' AS source_client, 1.0::DOUBLE AS relevance_score, '2024-03-01T00:00:00+00:00' AS created_at
@@ -400,10 +400,10 @@ FROM (SELECT doc_id AS request_id, CASE WHEN regexp_matches({_STRIP}, '{NOISE}')
     WHEN len({WORDS}) < 4 THEN 'too_short' ELSE 'store' END AS label FROM documents)""",
     "rule_metadata": f"""
 WITH terms AS (SELECT DISTINCT lang AS term, 'topics' AS kind FROM documents
-  UNION ALL SELECT array_to_string(list_transform(string_split(lower(n_name), ' '), w -> concat(upper(w[1]), w[2:])), ' '), 'people' FROM nation),
+  UNION ALL SELECT array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: concat(upper(w[1]), w[2:])), ' '), 'people' FROM nation),
 found AS (SELECT DISTINCT d.doc_id, t.term, t.kind FROM documents d JOIN terms t
   ON contains(concat(' ', array_to_string({WORDS}, ' '), ' '),
-     concat(' ', array_to_string(list_filter(regexp_split_to_array(lower(t.term), '[^\\p{{L}}\\p{{N}}]+'), w -> length(w) > 0), ' '), ' ')))
+     concat(' ', array_to_string(list_filter(regexp_split_to_array(lower(t.term), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 0), ' '), ' ')))
 SELECT doc_id AS request_id, {_TYPE_SQL} AS entry_type,
   coalesce((SELECT string_agg(term, '|' ORDER BY term) FROM found f WHERE f.doc_id = d.doc_id AND kind = 'topics'), '') AS topics,
   coalesce((SELECT string_agg(term, '|' ORDER BY term) FROM found f WHERE f.doc_id = d.doc_id AND kind = 'people'), '') AS people,
