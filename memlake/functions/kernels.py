@@ -4,6 +4,7 @@ Spark partitions, shuffles and merges; each function here sees one Arrow batch o
 bounded tile. The module is pickled by value, so executors need no copy of the package.
 """
 
+import hashlib
 import sys
 
 import numpy as np
@@ -401,14 +402,23 @@ def greedy_block(threshold, dim, schema):
 
 
 def bucket_counts(dim):
-    """Scalar Arrow function: bucket numbers of each row -> unit-length count vector."""
+    """Scalar Arrow function: words of each row -> unit-length count vector.
+
+    A word's bucket is the first 28 bits of its md5, modulo the dimension; each distinct
+    word of a batch is hashed once.
+    """
 
     def count(column: pa.Array) -> pa.Array:
         n = len(column)
         lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(n), lengths)
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(owner * dim + flat, minlength=n * dim).reshape(n, dim).astype(float)
+        coded = column.flatten().dictionary_encode()
+        buckets = np.array(
+            [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % dim for w in coded.dictionary.to_pylist()],
+            dtype=np.int64,
+        )
+        cells = owner * dim + buckets[coded.indices.to_numpy()]
+        counts = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype(float)
         norms = np.sqrt((counts**2).sum(axis=1))
         counts[norms > 0] /= norms[norms > 0, None]
         return pa.ListArray.from_arrays(

@@ -8,7 +8,12 @@ from memlake.constants import ENTRY_TYPES, GATE_LABELS
 FENCED_JSON = r"(?sU)```(?:json)?\s*(\{.*?\})\s*```"
 BARE_JSON = r"(?s)\{.*\}"
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Fixed set: every character that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_WORD, _GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = (
     rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
@@ -18,7 +23,7 @@ _NUMBER = (
 
 def strip(text) -> Column:
     """Drop leading and trailing white space of any Unicode kind."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text) -> Column:
@@ -167,6 +172,9 @@ def memory_text(entry_type, topics, created_at, raw_text) -> Column:
 
 def words(text) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(
-        F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0
-    )
+    return F.filter(F.split(F.lower(text), f"{_GAP}+"), lambda w: F.length(w) > 0)
+
+
+def has_words(text, n: int) -> Column:
+    """True when the text has at least n words; stops reading at the n-th."""
+    return F.rlike(text, F.lit(f"^{_GAP}*+(?:{_WORD}++{_GAP}++){{{n - 1}}}{_WORD}"))

@@ -33,15 +33,9 @@ def has_length(embedding) -> Column:
     return F.coalesce(F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def word_bucket(word, dim: int) -> Column:
-    """Stable bucket of a word: the first 28 bits of its md5, modulo the dimension."""
-    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int") % dim
-
-
 def hashed_vector(text, dim: int = 64) -> Column:
     """Bag-of-words vector of unit length; null for texts without words.
 
-    Words are cut and hashed in the JVM; only bucket numbers cross to Python.
+    Texts are cut into words in the JVM; counting is one pass over each Arrow batch.
     """
-    buckets = F.transform(words(text), lambda w: word_bucket(w, dim))
-    return F.arrow_udf(kernels.bucket_counts(dim), "array<float>")(buckets)
+    return F.arrow_udf(kernels.bucket_counts(dim), "array<float>")(words(text))

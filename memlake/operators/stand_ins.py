@@ -2,13 +2,14 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from memlake.functions.text import strip, words
+from memlake.functions.text import has_words, strip, words
 
 # Fixed patterns of the rule gate and rule metadata.
 NOISE = (
-    r"(?i)^(error|exception|traceback|fatal|warning|segfault)\b|\bE[A-Z]{4,}: |"
+    r"(?i)^(error|exception|traceback|fatal|warning|segfault)\b|"
     r"^(please )?(format|rewrite|reformat|output|return) (your|the|this|my) (response|answer|reply|text|output)\b"
 )
+ERROR_CODE = r"\bE[A-Z]{4,}: "
 SMALL_TALK = (
     r"(?i)^(hi|hey|hello|howdy|haha|lol|thanks|thank you|good (morning|afternoon|evening|night)|"
     r"how are you|what'?s up|what time is it|see you|bye|nice one)\b"
@@ -21,16 +22,16 @@ TYPE_RULES = (
     ("reference", r"(?i)\b(use|uses|default|runs in|documentation|api|config|version|command)\b"),
 )
 MIN_WORDS = 4
+MAX_SMALL_TALK = 20
 
 
 def rule_label(text) -> Column:
     """too_short, chit_chat, system_noise or store, by pattern and word count."""
     clean = strip(text)
-    count = F.size(words(text))
     return (
-        F.when(clean.rlike(NOISE), "system_noise")
-        .when(clean.rlike(SMALL_TALK) & (count <= 20), "chit_chat")
-        .when(count < MIN_WORDS, "too_short")
+        F.when(clean.rlike(NOISE) | clean.rlike(ERROR_CODE), "system_noise")
+        .when(clean.rlike(SMALL_TALK) & ~has_words(text, MAX_SMALL_TALK + 1), "chit_chat")
+        .when(~has_words(text, MIN_WORDS), "too_short")
         .otherwise("store")
     )
 

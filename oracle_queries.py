@@ -250,7 +250,7 @@ FROM outcomes
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 0)"
 _STRIP = r"regexp_replace(text, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')"
 NOISE = (
-    r"(?i)^(error|exception|traceback|fatal|warning|segfault)\b|\bE[A-Z]{4,}: |"
+    r"(?i)^(error|exception|traceback|fatal|warning|segfault)\b|"
     r"^(please )?(format|rewrite|reformat|output|return) (your|the|this|my) (response|answer|reply|text|output)\b"
 )
 SMALL_TALK = (
@@ -395,7 +395,7 @@ SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS created_date, source_client,
 FROM ({V_ENTRIES}) WHERE source_client <> 'src_fr' GROUP BY ALL""",
     "rule_gate": f"""
 SELECT request_id, label, CASE WHEN label = 'store' THEN 0.75 ELSE 0.9 END::DOUBLE AS confidence, label = 'store' AS should_store
-FROM (SELECT doc_id AS request_id, CASE WHEN regexp_matches({_STRIP}, '{NOISE}') THEN 'system_noise'
+FROM (SELECT doc_id AS request_id, CASE WHEN regexp_matches({_STRIP}, '{NOISE}') OR regexp_matches({_STRIP}, '\\bE[A-Z]{{4,}}: ') THEN 'system_noise'
     WHEN regexp_matches({_STRIP}, '{SMALL_TALK}') AND len({WORDS}) <= 20 THEN 'chit_chat'
     WHEN len({WORDS}) < 4 THEN 'too_short' ELSE 'store' END AS label FROM documents)""",
     "rule_metadata": f"""
