@@ -156,6 +156,7 @@ def scan_top_k(shared, schema):
                     pa.array(ask["query_id"][query], schema.field(0).type),
                     pa.array(ident, schema.field(1).type),
                     pa.array(val, mask=val <= _NO_VECTOR),
+                    pa.array(limits[query], pa.int32()),
                 ],
                 schema=schema,
             )
@@ -371,6 +372,7 @@ def tile_top_k(dim, schema):
                 query_id.take(pa.array(query)),
                 pa.array(ident, schema.field(1).type),
                 pa.array(val),
+                pa.array(limits[query], pa.int32()),
             ],
             schema=schema,
         )

@@ -128,9 +128,11 @@ def _resolve(rows, n, dim, threshold, tile_rows, cells, bands):
             "id", F.col("b_position").alias("floor_position"), F.col("b_id").alias("floor_id")
         )
         alive = state.where("admitted is null or admitted").select("id")
+        probes = placed.drop("home").join(asking, "id")
+        # Later rounds ask little: only homes in asked cells are looked at again.
+        near = homes.join(probes.select("cell").distinct(), "cell", "left_semi")
         found = _blockers(
-            homes.join(alive, "id", "left_semi"),
-            placed.drop("home").join(asking, "id"),
+            near.join(alive, "id", "left_semi").select(*homes.columns), probes,
             dim, threshold, id_type, tile_rows,
         )
         found = found.select(

@@ -55,14 +55,11 @@ def _ask(part: DataFrame, dim: int) -> dict:
     return ask
 
 
-def _ranked(hits: DataFrame, limits: DataFrame) -> DataFrame:
+def _ranked(hits: DataFrame) -> DataFrame:
+    """Merge the local bests of each query; every task sent at most `limit` rows of it."""
     by_score = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity_score"), "id")
-    return (
-        hits.withColumn("rank", F.row_number().over(by_score))
-        .join(limits, "query_id")
-        .where(F.col("rank") <= F.col("limit"))
-        .drop("limit")
-    )
+    ranked = hits.withColumn("rank", F.row_number().over(by_score))
+    return ranked.where(F.col("rank") <= F.col("limit")).drop("limit")
 
 
 def top_k_many(
@@ -78,7 +75,7 @@ def top_k_many(
     n, dim = vb.size_and_dim(queries)
     id_type, query_type = vb.type_of(entries, "id"), vb.type_of(queries, "query_id")
     spark_schema, arrow_schema = vb.schema_of(
-        entries, f"query_id {query_type}, id {id_type}, similarity_score double"
+        entries, f"query_id {query_type}, id {id_type}, similarity_score double, limit int"
     )
     parts = vb.parts_for(n, dim, broadcast_bytes)
     if parts > 1:
@@ -88,15 +85,20 @@ def top_k_many(
                          ("visible_until", "created_at")):
         if column in queries.columns:
             needed.append(name)
-    hits = None
+    kept = None
     for no in range(parts):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == no)
         shared = vb.share(queries, _ask(queries if parts == 1 else part, dim))
-        found = entries.select(*needed).mapInArrow(
-            kernels.scan_top_k(shared, arrow_schema), spark_schema
+        found = _ranked(
+            entries.select(*needed).mapInArrow(
+                kernels.scan_top_k(shared, arrow_schema), spark_schema
+            )
         )
-        hits = found if hits is None else hits.unionByName(found)
-    return _ranked(hits, queries.select("query_id", "limit"))
+        if parts > 1:  # one part in memory at a time
+            found = cut(found)
+            shared.destroy()
+        kept = found if kept is None else kept.unionByName(found)
+    return kept
 
 
 def build_lists(entries: DataFrame, path: str, lists: int = IVF_LISTS, seed: int = 17) -> None:
@@ -154,9 +156,9 @@ def ann_top_k(
     spark_schema, arrow_schema = vb.schema_of(
         rows,
         f"query_id {vb.type_of(queries, 'query_id')}, id {vb.type_of(rows, 'id')}, "
-        "similarity_score double",
+        "similarity_score double, limit int",
     )
     hits = vb.tile_join(
         rows, asked, kernels.tile_top_k(dim, arrow_schema), spark_schema, tile_rows
     )
-    return _ranked(hits, queries.select("query_id", "limit"))
+    return _ranked(hits)

@@ -75,6 +75,8 @@ def tiles(homes: DataFrame, probes: DataFrame, tile_rows: int):
 
 
 def tile_join(homes: DataFrame, probes: DataFrame, kernel, schema, tile_rows: int) -> DataFrame:
+    # Both sides may come from one frame; fresh names keep their columns apart.
+    probes = probes.select(*[F.col(c).alias(c) for c in probes.columns])
     left, right = tiles(homes, probes, tile_rows)
     payload_l = [c for c in homes.columns if c != "cell"]
     payload_r = [c for c in probes.columns if c != "cell"]
