@@ -2,7 +2,9 @@
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from memlake.functions.costs import estimated_cost
 from memlake.schemas import RATES
@@ -18,7 +20,10 @@ def rates_table(spark: SparkSession, costs: dict) -> DataFrame:
         (key, rate((r or {}).get("prompt_per_1k")), rate((r or {}).get("completion_per_1k")))
         for key, r in costs.items()
     ]
-    return spark.createDataFrame(rows, RATES)
+    # A local relation: its exact size is known, so the join is a broadcast below the limit.
+    return spark.createDataFrame(
+        pa.Table.from_pylist([dict(zip(RATES.names, row)) for row in rows], to_arrow_schema(RATES)), RATES
+    )
 
 
 def with_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:

@@ -14,12 +14,13 @@ SMALL_TALK = (
     r"(?i)^(hi|hey|hello|howdy|haha|lol|thanks|thank you|good (morning|afternoon|evening|night)|"
     r"how are you|what'?s up|what time is it|see you|bye|nice one)\b"
 )
+# Entry types by single words and by runs of words, in order of precedence.
 TYPE_RULES = (
-    ("project_note", r"(?i)\b(meeting notes|stand-?up|sync notes|milestone|sprint|status update)\b"),
-    ("action_item", r"(?i)\b(todo|action item|follow up|need to|needs to|assign(ed)?|must be done)\b"),
-    ("decision", r"(?i)\b(decided|decision|chose|chosen|we will use|going with|agreed (to|on))\b"),
-    ("observation", r"(?i)\b(noticed|observed|seems|appears|might be|found that|root cause)\b"),
-    ("reference", r"(?i)\b(use|uses|default|runs in|documentation|api|config|version|command)\b"),
+    ("project_note", ("standup", "milestone", "sprint"), ("meeting notes", "stand up", "sync notes", "status update")),
+    ("action_item", ("todo", "assign", "assigned"), ("action item", "follow up", "need to", "needs to", "must be done")),
+    ("decision", ("decided", "decision", "chose", "chosen"), ("we will use", "going with", "agreed to", "agreed on")),
+    ("observation", ("noticed", "observed", "seems", "appears"), ("might be", "found that", "root cause")),
+    ("reference", ("use", "uses", "default", "documentation", "api", "config", "version", "command"), ("runs in",)),
 )
 MIN_WORDS = 4
 MAX_SMALL_TALK = 20
@@ -46,10 +47,14 @@ def rule_gate(texts: DataFrame) -> DataFrame:
     )
 
 
-def rule_entry_type(text) -> Column:
+def rule_entry_type(word_list, spaced) -> Column:
+    """Entry type from the words of a text, given as a list and as spaced text."""
     kind = F.lit("observation")
-    for name, pattern in reversed(TYPE_RULES):
-        kind = F.when(F.col(text).rlike(pattern), name).otherwise(kind)
+    for name, single, runs in reversed(TYPE_RULES):
+        hit = F.arrays_overlap(word_list, F.array(*[F.lit(w) for w in single]))
+        for run in runs:
+            hit = hit | F.contains(spaced, F.lit(f" {run} "))
+        kind = F.when(hit, name).otherwise(kind)
     return kind
 
 
@@ -70,7 +75,6 @@ def rule_metadata(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
         .groupBy("request_id")
         .agg(F.collect_set("hit").alias("hits"))
     )
-    spaced = F.concat(F.lit(" "), F.array_join(words("text"), " "), F.lit(" "))
     held = F.filter(
         "hits",
         lambda h: (F.instr(h["run"], " ") == 0)
@@ -82,14 +86,15 @@ def rule_metadata(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
         mine = F.filter("held", lambda h: h["kind"] == kind)
         return F.coalesce(F.array_sort(F.transform(mine, lambda h: h["term"])), none).alias(kind)
 
-    matched = texts.join(starts, "request_id", "left").withColumn(
-        "spaced", F.when(F.col("hits").isNotNull(), spaced)
-    ).withColumn("held", held)
+    split = texts.join(starts, "request_id", "left").withColumn("words", words("text"))
+    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    matched = split.withColumn("spaced", spaced).select(
+        "request_id", "text", held.alias("held"),
+        rule_entry_type(F.col("words"), F.col("spaced")).alias("entry_type"),
+    )
     return matched.select(
-        "request_id", F.lit(1).alias("attempt"), rule_entry_type("text").alias("entry_type"),
-        *[listed(kind) for kind in ("topics", "people", "projects")], "text",
-    ).select(
-        "request_id", "attempt", "entry_type", "topics", "people", "projects",
+        "request_id", F.lit(1).alias("attempt"), "entry_type",
+        *[listed(kind) for kind in ("topics", "people", "projects")],
         F.when(F.col("entry_type") == "action_item", F.array(strip("text")))
         .otherwise(none).alias("action_items"),
     )

@@ -21,6 +21,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a DataFrame in the shared folder; later work restarts from those files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a DataFrame to the shared folder once and go on from those files.
+
+    A lost executor rereads them, nothing before them is computed again, and later steps
+    read only the columns they use. The folder belongs to the run; clear it between runs.
+    """
+    path = new_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -257,12 +257,13 @@ SMALL_TALK = (
     r"(?i)^(hi|hey|hello|howdy|haha|lol|thanks|thank you|good (morning|afternoon|evening|night)|"
     r"how are you|what''?s up|what time is it|see you|bye|nice one)\b"
 )
-_TYPE_SQL = r"""CASE
-  WHEN regexp_matches(text, '(?i)\b(meeting notes|stand-?up|sync notes|milestone|sprint|status update)\b') THEN 'project_note'
-  WHEN regexp_matches(text, '(?i)\b(todo|action item|follow up|need to|needs to|assign(ed)?|must be done)\b') THEN 'action_item'
-  WHEN regexp_matches(text, '(?i)\b(decided|decision|chose|chosen|we will use|going with|agreed (to|on))\b') THEN 'decision'
-  WHEN regexp_matches(text, '(?i)\b(noticed|observed|seems|appears|might be|found that|root cause)\b') THEN 'observation'
-  WHEN regexp_matches(text, '(?i)\b(use|uses|default|runs in|documentation|api|config|version|command)\b') THEN 'reference'
+_SPACED = f"concat(' ', array_to_string({WORDS}, ' '), ' ')"
+_TYPE_SQL = f"""CASE
+  WHEN regexp_matches({_SPACED}, ' (standup|milestone|sprint|meeting notes|stand up|sync notes|status update) ') THEN 'project_note'
+  WHEN regexp_matches({_SPACED}, ' (todo|assign|assigned|action item|follow up|need to|needs to|must be done) ') THEN 'action_item'
+  WHEN regexp_matches({_SPACED}, ' (decided|decision|chose|chosen|we will use|going with|agreed to|agreed on) ') THEN 'decision'
+  WHEN regexp_matches({_SPACED}, ' (noticed|observed|seems|appears|might be|found that|root cause) ') THEN 'observation'
+  WHEN regexp_matches({_SPACED}, ' (use|uses|default|documentation|api|config|version|command|runs in) ') THEN 'reference'
   ELSE 'observation' END"""
 
 _USAGE_ROWS = """
