@@ -19,6 +19,8 @@ DECIMALS = 12
 # Score cells held at once by one task.
 BLOCK_CELLS = 4_000_000
 _NO_VECTOR = -2.0
+# Wider than any rounding; what falls inside it is rounded and compared again.
+_SLACK = 1e-9
 
 
 def unit_rows(column, dim):
@@ -45,8 +47,13 @@ def unit_vector(vector):
     return v / norm if norm > 0 else None
 
 
-def scores(rows, others):
-    return np.round(rows @ others.T, DECIMALS)
+def above(rows, others, threshold):
+    """Mask of the pairs whose rounded similarity exceeds the threshold."""
+    block = rows @ others.T
+    hit = block > threshold - _SLACK
+    near = np.nonzero(hit)
+    hit[near] = np.round(block[near], DECIMALS) > threshold
+    return hit
 
 
 def sortable(column):
@@ -92,11 +99,11 @@ def _candidates(block, allowed, k):
     block = np.where(allowed, block, -np.inf)
     if len(block) > k:
         edge = np.partition(block, len(block) - k, axis=0)[len(block) - k]
-        keep = allowed & (block >= edge)
+        keep = allowed & (block >= edge - _SLACK)
     else:
         keep = allowed
     row, col = np.nonzero(keep)
-    return row, col, block[row, col]
+    return row, col, np.round(block[row, col], DECIMALS)
 
 
 def _allowed(batch, names, ask, lo, hi):
@@ -143,7 +150,7 @@ def scan_top_k(shared, schema):
             parts = [] if best is None else [best]
             for lo in range(0, len(matrix), step):
                 hi = min(len(matrix), lo + step)
-                block = scores(rows, matrix[lo:hi])
+                block = rows @ matrix[lo:hi].T
                 block[~usable] = _NO_VECTOR
                 block[:, ~ask["usable"][lo:hi]] = _NO_VECTOR
                 row, col, val = _candidates(block, _allowed(batch, names, ask, lo, hi), k)
@@ -180,7 +187,7 @@ def scan_matches(shared, threshold, schema):
             found = np.zeros(len(open_), dtype=bool)
             for lo in range(0, len(open_), step):
                 part = open_[lo : lo + step]
-                found[lo : lo + step] = (scores(rows, matrix[part]) > threshold).any(axis=0)
+                found[lo : lo + step] = above(rows, matrix[part], threshold).any(axis=0)
             if found.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ask["id"][open_[found]], schema.field(0).type)], schema=schema
@@ -190,25 +197,21 @@ def scan_matches(shared, threshold, schema):
     return run
 
 
-def scan_resembling(shared, threshold, schema):
-    """mapInArrow: ids of rows that resemble one of the broadcast vectors."""
+def scan_unlike(shared, threshold):
+    """mapInArrow: the rows that resemble none of the broadcast vectors."""
 
     def run(batches):
         matrix = shared.value["matrix"]
         for batch in batches:
-            if not batch.num_rows:
-                continue
             rows, usable = unit_rows(batch.column("embedding"), matrix.shape[1])
-            hit = np.zeros(batch.num_rows, dtype=bool)
+            keep = np.ones(batch.num_rows, dtype=bool)
             open_ = np.flatnonzero(usable)
             step = max(1, BLOCK_CELLS // max(1, batch.num_rows))
             for lo in range(0, len(matrix), step):
-                near = (scores(rows[open_], matrix[lo : lo + step]) > threshold).any(axis=1)
-                hit[open_[near]] = True
+                near = above(rows[open_], matrix[lo : lo + step], threshold).any(axis=1)
+                keep[open_[near]] = False
                 open_ = open_[~near]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").filter(pa.array(hit))], schema=schema
-            )
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -267,7 +270,7 @@ def nearest_lists(centroids, probes, schema):
     def run(batches):
         for batch in batches:
             rows, usable = unit_rows(batch.column("embedding"), centroids.shape[1])
-            order = np.argsort(-scores(rows, centroids), axis=1, kind="stable")[:, :probes]
+            order = np.argsort(-(rows @ centroids.T), axis=1, kind="stable")[:, :probes]
             order = order[usable]
             index = pa.array(np.repeat(np.flatnonzero(usable), order.shape[1]))
             columns = [batch.column(name).take(index) for name in batch.schema.names]
@@ -289,12 +292,23 @@ def tile_matches(threshold, dim, schema):
         hit = np.zeros(len(right), dtype=bool)
         step = max(1, BLOCK_CELLS // len(left))
         for lo in range(0, len(right), step):
-            hit[lo : lo + step] = (scores(right[lo : lo + step], left) > threshold).any(axis=1)
+            hit[lo : lo + step] = above(right[lo : lo + step], left, threshold).any(axis=1)
         return pa.table([probes.column("id").filter(pa.array(hit))], schema=schema)
 
     return run
 
 
+def _places(ts, ident, asked_ts, asked_id, after):
+    """Where each asked (ts, id) falls in the sorted rows: before its equal, or after it."""
+    n = len(ts)
+    tie = np.r_[np.full(n, 1), np.full(len(asked_ts), 2 if after else 0)]
+    order = np.lexsort((tie, np.concatenate((ident, asked_id)), np.concatenate((ts, asked_ts))))
+    seen = np.cumsum(order < n)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = seen
+    return place[n:]
+
+
 def tile_blockers(threshold, dim, schema):
     """Cogrouped tile: for each probe the earliest similar earlier home row, and their number.
 
@@ -306,27 +320,23 @@ def tile_blockers(threshold, dim, schema):
             return schema.empty_table()
         left, _ = unit_rows(homes.column("embedding"), dim)
         right, _ = unit_rows(probes.column("embedding"), dim)
-        l_id, r_id = sortable(homes.column("id")), sortable(probes.column("id"))
-        l_ts = homes.column("position").to_numpy()
-        r_ts = probes.column("position").to_numpy()
+        l_id, l_ts = sortable(homes.column("id")), homes.column("position").to_numpy()
         order = np.lexsort((l_id, l_ts))
         left, l_id, l_ts = left[order], l_id[order], l_ts[order]
-        f_ts, f_id = probes.column("floor_position").to_numpy(), sortable(probes.column("floor_id"))
+        # The homes a probe may look at are a range of that order.
+        stop = _places(l_ts, l_id, probes.column("position").to_numpy(), sortable(probes.column("id")), False)
+        start = _places(
+            l_ts, l_id, probes.column("floor_position").to_numpy(), sortable(probes.column("floor_id")), True
+        )
         out_probe, out_block, out_count = [], [], []
         step = max(1, BLOCK_CELLS // len(left))
         for lo in range(0, len(right), step):
-            sl = slice(lo, lo + step)
-            earlier = (l_ts[None] < r_ts[sl, None]) | (
-                (l_ts[None] == r_ts[sl, None]) & (l_id[None] < r_id[sl, None])
-            )
-            later = (l_ts[None] > f_ts[sl, None]) | (
-                (l_ts[None] == f_ts[sl, None]) & (l_id[None] > f_id[sl, None])
-            )
-            near = (scores(right[sl], left) > threshold) & earlier & later
-            has = np.flatnonzero(near.any(axis=1))
-            out_probe.append(has + lo)
-            out_block.append(near[has].argmax(axis=1))
-            out_count.append(near[has].sum(axis=1))
+            probe, home = np.nonzero(above(right[lo : lo + step], left, threshold))
+            inside = (home >= start[probe + lo]) & (home < stop[probe + lo])
+            probe, first, count = np.unique(probe[inside] + lo, return_index=True, return_counts=True)
+            out_probe.append(probe)
+            out_block.append(home[inside][first])
+            out_count.append(count)
         probe, block = np.concatenate(out_probe), np.concatenate(out_block)
         return pa.table(
             [
@@ -364,7 +374,7 @@ def tile_top_k(dim, schema):
             hi = min(len(asks), lo + step)
             ok = _allowed(batch, ("entry_type", "projects"), ask, lo, hi)
             ok &= usable[:, None] & asked[None, lo:hi]
-            row, col, val = _candidates(scores(rows, asks[lo:hi]), ok, k)
+            row, col, val = _candidates(rows @ asks[lo:hi].T, ok, k)
             parts.append(_best(col + lo, val, ident[row], limits))
         query, val, ident = (np.concatenate(p) for p in zip(*parts))
         return pa.table(
@@ -391,7 +401,7 @@ def greedy_block(threshold, dim, schema):
         kept = np.zeros(len(rows), dtype=bool)
         for lo in range(0, len(rows), 256):
             block = lo + np.flatnonzero(open_[lo : lo + 256])
-            near = scores(rows[block], rows[lo:]) > threshold
+            near = above(rows[block], rows[lo:], threshold)
             for i, row in zip(block, near):
                 if open_[i]:
                     kept[i] = True

@@ -16,7 +16,7 @@ from memlake.operators import vector_blocks as vb
 from memlake.sources.scratch import cut
 
 # Prefix rounds go on while one of them settles at least this share of what is left.
-_PREFIX_GAIN = 0.05
+_PREFIX_GAIN = 0.2
 _ANGLE_MARGIN = 1e-6
 
 
@@ -52,6 +52,8 @@ def resembling(
     stores without clusters, and able to miss a pair.
     """
     batch = batch.select("id", "embedding").where(vectors.has_length("embedding"))
+    if threshold >= 1:  # no similarity exceeds one
+        return batch.select("id").limit(0)
     store = store.select("embedding").where(F.col("embedding").isNotNull())
     n, dim = vb.size_and_dim(batch)
     id_type = vb.type_of(batch, "id")
@@ -202,6 +204,8 @@ def admit(
     options = {"bands": bands, "broadcast_bytes": broadcast_bytes, "tile_rows": tile_rows,
                "cells": cells}
     batch = batch.select("id", "position", "embedding")
+    if threshold >= 1:
+        return batch.select("id", F.lit(True).alias("admitted"))
     rows = cut(_first_copies(batch.where(vectors.has_length("embedding"))))
     n, dim = vb.size_and_dim(rows)
     kept = []
@@ -216,13 +220,10 @@ def admit(
             break
         settled = cut(settled)
         kept.append(settled)
-        spark_schema, arrow_schema = vb.schema_of(rows, f"id {vb.type_of(rows, 'id')}")
         table = vb.fetch(head.join(settled, "id", "left_semi").select("embedding"))
         shared = vb.share(rows, {"matrix": kernels.unit_rows(table.column("embedding"), dim)[0]})
-        gone = rows.select("id", "embedding").mapInArrow(
-            kernels.scan_resembling(shared, threshold, arrow_schema), spark_schema
-        )
-        rows = cut(rows.join(gone, "id", "left_anti"))
+        # What is admitted resembles itself, so the head leaves with its like.
+        rows = cut(rows.mapInArrow(kernels.scan_unlike(shared, threshold), rows.schema))
         before, n = n, rows.count()
         if n and before - n - tile_rows < _PREFIX_GAIN * before and n > tile_rows:
             kept.append(

@@ -104,13 +104,16 @@ def top_k_many(
 def build_lists(entries: DataFrame, path: str, lists: int = IVF_LISTS, seed: int = 17) -> None:
     """Approximate index: entries partitioned by their nearest centroid under `path`.
 
-    Centroids come from cosine k-means over a bounded, hash-chosen training set.
+    Centroids come from cosine k-means over a hash-chosen training set of about
+    `TRAINING_ROWS` rows; every row is put in a list.
     """
     usable = entries.where(vectors.has_length("embedding"))
-    train = usable.orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS).select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    share = max(1, usable.count() // TRAINING_ROWS)
+    train = cut(
+        usable.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(
+            array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+        )
     )
-    train = cut(train)
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(train)
     centroids = np.array(model.clusterCenters())
     spark = entries.sparkSession

@@ -56,16 +56,15 @@ def store_summary(entries: DataFrame, as_of, days: int = STATS_DAYS) -> DataFram
         F.count("*").alias("total_in_window"), F.max("created_at").alias("most_recent")
     )
     total = entries.agg(F.count("*").alias("total_all_time"))
-    return _side_by_side(window, total)
+    return _one_row(window, total)
 
 
-def _side_by_side(*one_row_frames: DataFrame) -> DataFrame:
-    """Put one-row results next to each other."""
-    out = None
-    for frame in one_row_frames:
-        frame = frame.withColumn("_row", F.lit(1))
-        out = frame if out is None else out.join(frame, "_row")
-    return out.drop("_row")
+def _one_row(*one_row_frames: DataFrame) -> DataFrame:
+    """Fold one-row results with different columns into one row."""
+    stacked = one_row_frames[0]
+    for frame in one_row_frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def store_stats(entries: DataFrame, as_of, days: int = STATS_DAYS) -> DataFrame:
@@ -88,7 +87,7 @@ def store_stats(entries: DataFrame, as_of, days: int = STATS_DAYS) -> DataFrame:
         listed("topic").alias("top_topics"),
         listed("project").alias("top_projects"),
     )
-    return _side_by_side(report, entries.agg(F.count("*").alias("total_all_time")))
+    return _one_row(report, entries.agg(F.count("*").alias("total_all_time")))
 
 
 # ---- token report ---------------------------------------------------------------------
