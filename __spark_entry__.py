@@ -372,7 +372,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resolve_attempts": lambda s, d: _gate(s, d).select(
             "request_id", "attempt", "status", F.size("used").alias("used")),
         "gate_results": lambda s, d: _shown(answers.gate_results(_gate(s, d)).drop("attempt")),
-        "response_usage": lambda s, d: answers.usage_rows(_gate(s, d)).drop("request_id"),
+        "response_usage": lambda s, d: answers.usage_rows(_gate(s, d).select("request_id", "used")).drop("request_id"),
         "inference_requests": inference_requests,
         "dup_against_store": dup_against_store,
         "dedupe_batch": dedupe_batch,

@@ -87,37 +87,70 @@ def parse_attempts(responses: DataFrame) -> DataFrame:
     )
 
 
-def resolve_attempts(responses: DataFrame) -> DataFrame:
-    """Per request and operation: the first good or fatal attempt, and what the run consumed.
-
-    One shuffle with partial aggregation; repeated copies of an attempt fold before it.
-    `used` lists the answered attempts a run would have made, with their token counts.
-    """
-    attempts = parse_attempts(responses)
+def _folded(operation=None):
+    """Aggregates over parsed attempts: the first good or fatal one, the last error, and the
+    answered attempts by number. Repeated copies of an attempt fold before the shuffle."""
+    mine = F.lit(True) if operation is None else F.col("operation") == operation
     ends = F.col("status").isin("good", "fatal")
-    final = F.struct("attempt", "status", "gate", "meta", "embedding")
     slot = F.struct(
-        "attempt", "model",
+        "operation", "attempt", "model",
         F.coalesce("prompt_eval_count", F.lit(0)).alias("prompt_tokens"),
         F.when(F.col("operation") == "embed", 0)
         .otherwise(F.coalesce("eval_count", F.lit(0))).alias("completion_tokens"),
     )
-    folded = attempts.groupBy("request_id", "operation").agg(
-        F.min(F.when(ends, final)).alias("final"),
-        F.max(F.struct("attempt", "error")).alias("last"),
+    payload = {"classify": ("gate",), "extract": ("meta",), "embed": ("embedding",)}.get(
+        operation, ("gate", "meta", "embedding")
+    )
+    name = f"{operation}_" if operation else ""
+    return [
+        F.min(F.when(mine & ends, F.struct("attempt", "status", *payload))).alias(f"{name}final"),
+        F.max(F.when(mine, F.struct("attempt", "error"))).alias(f"{name}last"),
         *[
-            F.min(F.when((F.col("attempt") == i) & F.col("error").isNull(), slot)).alias(f"slot{i}")
+            F.min(F.when(mine & (F.col("attempt") == i) & F.col("error").isNull(), slot))
+            .alias(f"{name}slot{i}")
             for i in range(1, MAX_ATTEMPTS + 1)
         ],
-    )
-    made = F.coalesce("final.attempt", F.lit(MAX_ATTEMPTS))
-    slots = F.array(*[f"slot{i}" for i in range(1, MAX_ATTEMPTS + 1)])
+    ]
+
+
+def _used(name=""):
+    """The answered attempts that a run would have made: none after the deciding one."""
+    made = F.coalesce(f"{name}final.attempt", F.lit(MAX_ATTEMPTS))
+    slots = F.array(*[f"{name}slot{i}" for i in range(1, MAX_ATTEMPTS + 1)])
+    return F.filter(slots, lambda s: s["attempt"] <= made)
+
+
+def resolve_attempts(responses: DataFrame) -> DataFrame:
+    """Per request and operation: the first good or fatal attempt, and what the run consumed.
+
+    One shuffle with partial aggregation. `used` lists the answered attempts a run would
+    have made, with their token counts.
+    """
+    folded = parse_attempts(responses).groupBy("request_id", "operation").agg(*_folded())
     return folded.select(
         "request_id", "operation", F.col("final.attempt").alias("attempt"),
         F.coalesce("final.status", F.lit("failed")).alias("status"),
         "final.gate", "final.meta", "final.embedding",
-        F.col("last.error").alias("last_error"),
-        F.filter(slots, lambda s: s["attempt"] <= made).alias("used"),
+        F.col("last.error").alias("last_error"), _used().alias("used"),
+    )
+
+
+def resolve_requests(responses: DataFrame) -> DataFrame:
+    """All three operations of a request in one row, from one shuffle: structs classify,
+    extract and embed, each with its payload, last error and `used` attempts."""
+    folds = [fold for operation in OPERATIONS for fold in _folded(operation)]
+    folded = parse_attempts(responses).groupBy("request_id").agg(*folds)
+
+    def stage(operation, payload):
+        name = f"{operation}_"
+        return F.struct(
+            F.coalesce(f"{name}final.status", F.lit("failed")).alias("status"),
+            f"{name}final.{payload}", F.col(f"{name}last.error").alias("last_error"),
+            _used(name).alias("used"),
+        ).alias(operation)
+
+    return folded.select(
+        "request_id", stage("classify", "gate"), stage("extract", "meta"), stage("embed", "embedding")
     )
 
 
@@ -154,16 +187,19 @@ def metadata_results(resolved: DataFrame) -> DataFrame:
 
 
 def usage_rows(resolved: DataFrame, provider: str = "ollama", models: dict | None = None) -> DataFrame:
-    """One usage row per answered attempt that a run would have made, parsed or not."""
+    """One usage row per attempt in `used`: answered and due, whether it parsed or not.
+
+    Columns of `resolved` other than `used` are carried along.
+    """
     named = F.lit(None).cast("string")
     for operation, model in (models or {}).items():
-        named = F.when(F.col("operation") == operation, model).otherwise(named)
-    return resolved.select(
-        "request_id", "operation", F.explode("used").alias("use")
-    ).select(
-        "request_id",
-        F.concat_ws("/", F.col("request_id").cast("string"), "operation", F.col("use.attempt").cast("string")).alias("id"),
+        named = F.when(F.col("use.operation") == operation, model).otherwise(named)
+    carried = [c for c in resolved.columns if c not in ("used", "operation")]
+    return resolved.select(*carried, F.explode("used").alias("use")).select(
+        *carried,
+        F.concat_ws("/", F.col("request_id").cast("string"), "use.operation",
+                    F.col("use.attempt").cast("string")).alias("id"),
         F.lit(provider).alias("provider"),
         F.coalesce("use.model", named, F.lit("unknown")).alias("model"),
-        "operation", "use.prompt_tokens", "use.completion_tokens",
+        "use.operation", "use.prompt_tokens", "use.completion_tokens",
     )

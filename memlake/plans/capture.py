@@ -8,7 +8,7 @@ from memlake.constants import (
     DEFAULT_SOURCE, DUPLICATE_REASON, DUPLICATE_THRESHOLD, MAX_ATTEMPTS, STORE_LABELS, TAG_COLUMNS,
 )
 from memlake.operators.duplicates import admit
-from memlake.operators.responses import resolve_attempts, unavailable_reason, usage_rows
+from memlake.operators.responses import resolve_requests, unavailable_reason, usage_rows
 from memlake.schemas import ENTRIES
 from memlake.sources.scratch import cut
 from memlake.sources.store import checked, entry_fault
@@ -29,27 +29,15 @@ def entry_id(request_id) -> Column:
     return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts])
 
 
-def _stages(resolved: DataFrame) -> DataFrame:
-    """One row per request: gate, metadata and vector side by side."""
-
-    def stage(operation, *fields):
-        return F.min(F.when(F.col("operation") == operation, F.struct(*fields))).alias(operation)
-
-    return resolved.groupBy("request_id").agg(
-        stage("classify", "status", "gate", "last_error"),
-        stage("extract", "meta"),
-        stage("embed", "embedding", "last_error"),
-    )
-
-
 def judge(requests: DataFrame, resolved: DataFrame) -> DataFrame:
     """Requests with their gate verdict, metadata and vector, and how far they get.
 
-    `state` is filtered, error or candidate. A missing or unusable gate lets the text
+    `resolved` comes from `resolve_requests`. `state` is filtered, error or candidate. A missing or unusable gate lets the text
     through; missing metadata becomes an observation; a missing vector is an error.
     """
     none = F.array().cast("array<string>")
-    joined = requests.join(_stages(resolved), "request_id", "left")
+    no_use = F.array().cast(resolved.select("classify.used").schema[0].dataType)
+    joined = requests.join(resolved, "request_id", "left")
     unusable = F.coalesce(F.col("classify.status") == "failed", F.lit(True))
     label = F.when(unusable, "uncertain").otherwise(F.col("classify.gate.label"))
     fatal = F.coalesce(F.col("classify.status") == "fatal", F.lit(False))
@@ -79,6 +67,12 @@ def judge(requests: DataFrame, resolved: DataFrame) -> DataFrame:
         *[F.coalesce(f"extract.meta.{c}", none).alias(c) for c in TAG_COLUMNS],
         F.col("embed.embedding").alias("embedding"),
         state.alias("state"), error.alias("error"),
+        # Metadata and vectors are asked for only where the gate lets the text through.
+        F.concat(
+            F.coalesce("classify.used", no_use),
+            F.when(~fatal & label.isin(*STORE_LABELS), F.concat("extract.used", "embed.used"))
+            .otherwise(no_use),
+        ).alias("used"),
     )
 
 
@@ -142,8 +136,7 @@ def capture(
     outcome. Entries to append, usage rows due and quarantined rows come along; nothing is
     written here.
     """
-    resolved = cut(resolve_attempts(responses))
-    judged = judge(requests, resolved)
+    judged = judge(requests, resolve_requests(responses))
     judged = judged.withColumn(
         "fault",
         F.when(F.col("state") == "candidate", entry_fault(dim, text="text")),
@@ -157,14 +150,10 @@ def capture(
         "request_id", "state", "error", "label", "gate_reason", "confidence", "entry_type"
     ).join(verdicts, "request_id", "left").select("request_id", *outcome_columns())
     kept = entries.join(verdicts.where("admitted"), "request_id", "left_semi").drop("request_id")
-    # Metadata and vectors are asked for only where the gate let the text through.
-    passed = judged.where("state <> 'filtered' and label is not null").select("request_id")
-    due = resolved.where("operation = 'classify'").unionByName(
-        resolved.where("operation <> 'classify'").join(passed, "request_id", "left_semi")
-    )
-    times = judged.select("request_id", "created_at")
-    usage = usage_rows(due, provider, models).join(times, "request_id", "left").drop("request_id")
-    return Captured(outcomes, kept, usage, judged.where("fault is not null"))
+    usage = usage_rows(
+        judged.select("request_id", "created_at", "used"), provider, models
+    ).drop("request_id")
+    return Captured(outcomes, kept, usage, judged.where("fault is not null").drop("used"))
 
 
 def seed(

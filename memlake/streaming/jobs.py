@@ -26,18 +26,24 @@ def _label(batch_id: int) -> str:
 
 
 def capture_stream(
-    requests: DataFrame, responses: DataFrame, store_root: str, out_root: str, **options
+    requests: DataFrame,
+    responses: DataFrame | Callable[[DataFrame], DataFrame],
+    store_root: str,
+    out_root: str,
+    **options,
 ) -> DataStreamWriter:
     """Capture requests as they arrive, each micro-batch against the store before it.
 
-    `responses` is a static table (for instance one that is appended to by the model
-    stage); only the answers of the batch's own requests are looked at.
+    `responses` is a static table, or a function from the micro-batch to its answers (for
+    instance one that reads what the model stage has appended, or calls `run_model`); only
+    the answers of the batch's own requests are looked at.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         label = _label(batch_id)
         spark = batch.sparkSession
-        answers = responses.join(batch.select("request_id"), "request_id", "left_semi")
+        given = responses(batch) if callable(responses) else responses
+        answers = given.join(batch.select("request_id"), "request_id", "left_semi")
         held = store.read(spark, store_root, without_batch=label)
         done = capture(batch, answers, held, **options)
         store.append(done.entries, store_root, label)
