@@ -160,7 +160,7 @@ FROM (SELECT e.*, {SIM} AS sim FROM e, q WHERE {where}) ORDER BY sim DESC, id LI
 def _search_many(condition, limit):
     return f"""
 WITH e AS ({V_ENTRIES}), q AS (SELECT vec_id AS query_id, v.embedding, x.entry_type, d.source AS project
-  FROM embeddings v JOIN ({V_ENTRIES}) x ON x.id = v.vec_id JOIN documents d ON d.doc_id = v.vec_id)
+  FROM embeddings v LEFT JOIN ({V_ENTRIES}) x ON x.id = v.vec_id LEFT JOIN documents d ON d.doc_id = v.vec_id)
 SELECT q.query_id, e.id, e.entry_type, {SIM} AS sim,
   row_number() OVER (PARTITION BY q.query_id ORDER BY round({SIM}, 12) DESC, e.id) AS rank
 FROM e JOIN q ON {condition} QUALIFY rank <= {limit}
