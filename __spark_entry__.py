@@ -25,6 +25,15 @@ from memlake.sources.scratch import new_path  # noqa: E402
 from memlake.streaming import jobs  # noqa: E402
 from oracle_queries import ORACLES  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    from memlake.llm import queries as llm
+except ImportError:
+    llm = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 ENTRIES_AS_OF = "2024-01-15 00:00:00"
 USAGE_AS_OF = "2024-02-08 12:00:00"
 DAYS = 14
@@ -338,7 +347,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def documents(fn):
         return lambda spark, sf_dir: fn(views.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "request_id"))
 
-    return {
+    optional = dict(llm.queries()) if llm else {}
+    if corpus_pipeline:
+        optional["pipeline"] = corpus_pipeline.run
+    return optional | {
         "search_topk": search_topk,
         "search_by_type": lambda s, d: search_topk(s, d, entry_type="decision", limit=20),
         "search_by_project": lambda s, d: search_topk(s, d, project="src1", limit=99),
@@ -398,7 +410,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    optional = dict(llm.oracle_sql()) if llm else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        optional["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return optional | ORACLES
 
 
 def entry(spark: SparkSession) -> DataFrame:

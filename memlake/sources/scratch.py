@@ -1,25 +1,37 @@
-"""Scratch storage in the shared folder that the session names in spark.checkpoint.dir."""
+"""Scratch storage in a folder that the driver and all executors share."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a new temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memlake-"))
-    elif named and not spark.sparkContext.getCheckpointDir():
+    """The folder named in spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local session takes a folder under its warehouse; a cluster
+    session is refused, since a folder of one machine is unseen by the others.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
-    return named or spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder made by new_path, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder once and go on from those files.
 
