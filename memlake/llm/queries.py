@@ -2,13 +2,25 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import mixing
+from memlake.llm import mixing, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, which is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_secrets(spark, sf_dir):
+    """Secrets in every document: fixed patterns and badly tokenised random strings."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op9_mixing(spark, sf_dir):
     """All documents mixed to weights 1, 2, 3 over the sources; words taken of each."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
@@ -17,6 +29,7 @@ def op9_mixing(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op7_secrets": op7_secrets,
         "op9_mixing": op9_mixing,
     }
 
