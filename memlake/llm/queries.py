@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import mixing, secret_scan
+from memlake.llm import mixing, personal_data, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_personal_data(spark, sf_dir):
+    """Personal data in every document: fixed patterns and what the tagger adds."""
+    docs = _table(spark, sf_dir, "documents")
+    return personal_data.scan(docs, personal_data.fit(personal_data.training_texts(docs)))
+
+
 def op7_secrets(spark, sf_dir):
     """Secrets in every document: fixed patterns and badly tokenised random strings."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
@@ -29,6 +35,7 @@ def op9_mixing(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op3_personal_data": op3_personal_data,
         "op7_secrets": op7_secrets,
         "op9_mixing": op9_mixing,
     }
