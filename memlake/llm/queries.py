@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import mixing, personal_data, secret_scan
+from memlake.llm import fingerprints, mixing, personal_data, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_personal_data(spark, sf_dir):
     return personal_data.scan(docs, personal_data.fit(personal_data.training_texts(docs)))
 
 
+def op8_fingerprints(spark, sf_dir):
+    """Chunk fingerprints of every document and of its edited text."""
+    return fingerprints.with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark, sf_dir):
     """Secrets in every document: fixed patterns and badly tokenised random strings."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
@@ -37,6 +42,7 @@ def queries() -> dict:
     return {
         "op3_personal_data": op3_personal_data,
         "op7_secrets": op7_secrets,
+        "op8_fingerprints": op8_fingerprints,
         "op9_mixing": op9_mixing,
     }
 
