@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import fingerprints, mixing, personal_data, secret_scan
+from memlake.llm import fingerprints, language, mixing, personal_data, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op3_personal_data(spark, sf_dir):
     return personal_data.scan(docs, personal_data.fit(personal_data.training_texts(docs)))
 
 
+def op4_language(spark, sf_dir):
+    """The language of every document, learned from the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(language.sample(docs))
+    asked = docs.select(docs.doc_id.cast("long").alias("doc_id"), "text", language.held_out().alias("held_out"))
+    return language.identify(asked, model).drop("text").select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_fingerprints(spark, sf_dir):
     """Chunk fingerprints of every document and of its edited text."""
     return fingerprints.with_edits(_table(spark, sf_dir, "documents"))
@@ -41,6 +49,7 @@ def op9_mixing(spark, sf_dir):
 def queries() -> dict:
     return {
         "op3_personal_data": op3_personal_data,
+        "op4_language": op4_language,
         "op7_secrets": op7_secrets,
         "op8_fingerprints": op8_fingerprints,
         "op9_mixing": op9_mixing,
