@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import fingerprints, language, mixing, personal_data, secret_scan
+from memlake.llm import fingerprints, language, mixing, packing, personal_data, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op8_fingerprints(spark, sf_dir):
     return fingerprints.with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark, sf_dir):
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op7_secrets(spark, sf_dir):
     """Secrets in every document: fixed patterns and badly tokenised random strings."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
@@ -50,6 +55,7 @@ def queries() -> dict:
     return {
         "op3_personal_data": op3_personal_data,
         "op4_language": op4_language,
+        "op5_packing": op5_packing,
         "op7_secrets": op7_secrets,
         "op8_fingerprints": op8_fingerprints,
         "op9_mixing": op9_mixing,
