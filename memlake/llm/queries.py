@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import fingerprints, language, mixing, packing, personal_data, secret_scan
+from memlake.llm import fingerprints, jaccard, language, mixing, packing, personal_data, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard(spark, sf_dir):
+    """Near-duplicate classes of all documents and how many links each has."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark, sf_dir):
     """Personal data in every document: fixed patterns and what the tagger adds."""
     docs = _table(spark, sf_dir, "documents")
@@ -53,6 +58,7 @@ def op9_mixing(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op2_jaccard": op2_jaccard,
         "op3_personal_data": op3_personal_data,
         "op4_language": op4_language,
         "op5_packing": op5_packing,
