@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import fingerprints, jaccard, language, mixing, packing, personal_data, secret_scan
+from memlake.llm import fingerprints, jaccard, language, line_dedup, mixing, packing, personal_data, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    """The class of every line of all documents, its links, and whether it stays."""
+    return line_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark, sf_dir):
     """Secrets in every document: fixed patterns and badly tokenised random strings."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
@@ -62,6 +67,7 @@ def queries() -> dict:
         "op3_personal_data": op3_personal_data,
         "op4_language": op4_language,
         "op5_packing": op5_packing,
+        "op6_line_dedup": op6_line_dedup,
         "op7_secrets": op7_secrets,
         "op8_fingerprints": op8_fingerprints,
         "op9_mixing": op9_mixing,
