@@ -16,6 +16,7 @@ learned from; rows without doc_id are neither learned from nor held out. Work is
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from memlake.llm import rows, spans
 
@@ -142,7 +143,7 @@ def predict(texts: list[str], model: Model | None) -> tuple[list[str], list[floa
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score beside its own columns (replacing columns of these names)."""
     docs = docs.drop("lang_pred", "score")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")
 
     def make():
         def work(cols):
