@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import fingerprints, jaccard, language, line_dedup, mixing, packing, personal_data, secret_scan
+from memlake.llm import (
+    curves, fingerprints, jaccard, language, line_dedup, mixing, packing, personal_data, secret_scan,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,11 @@ def op9_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_curves(spark, sf_dir):
+    """The 20 nearest of every twentieth vector among all others, by inner product."""
+    return curves.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op2_jaccard": op2_jaccard,
@@ -71,6 +78,7 @@ def queries() -> dict:
         "op7_secrets": op7_secrets,
         "op8_fingerprints": op8_fingerprints,
         "op9_mixing": op9_mixing,
+        "op10_curves": op10_curves,
     }
 
 
