@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm import (
-    curves, fingerprints, jaccard, language, line_dedup, mixing, packing, personal_data, secret_scan,
+    curves, fingerprints, jaccard, language, licenses, line_dedup, mixing, packing, personal_data, secret_scan,
 )
 
 
@@ -18,6 +18,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark, sf_dir):
+    """License notices in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard(spark, sf_dir):
     """Near-duplicate classes of all documents and how many links each has."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ def op10_curves(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_licenses": op1_licenses,
         "op2_jaccard": op2_jaccard,
         "op3_personal_data": op3_personal_data,
         "op4_language": op4_language,
