@@ -11,7 +11,9 @@ Defined results: null and empty text are the end id alone; repeated rows are pac
 itself; an empty table gives no rows; the work is linear in a text.
 """
 
+import functools
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -30,67 +32,97 @@ class WordIds:
     """Token ids of whole texts for a tokenizer that never joins characters over white space.
 
     Each different word is encoded once. A word of letters with one full stop or comma behind it
-    is two pre-tokens, so its letters are shared with the bare word's. At most `most` words are kept.
+    is two pre-tokens, so its letters are shared with the bare word's; lower-case letters need
+    neither the tokenizer's normaliser nor its pattern. At most `most` words are kept at a time.
     """
 
     #: White space to str.split() but not to the tokenizer.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    MARKS = {".": 1, ",": 2}
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.marks = {c: self._encode([c])[0] for c in ".,"}
+        marks = self._encode(self.tokenizer, list(self.MARKS))
+        self.mark_ids = np.array([0, *(int(m[0]) for m in marks)], np.uint32)
         self.most = most
         self._clear()
 
     def _clear(self):
-        self.known, self.used = {}, 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        # a word is a stem and a mark; a stem is a range of flat
+        self.known, self.stems, self.used, self.ranges = {}, {}, 0, 0
+        self.stem, self.mark = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int8)
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32)
-                for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, stems: list[str], together: int = 256) -> list[np.ndarray]:
-        """Ids of words of letters, many in one call; the ids themselves say where a word ends."""
+    @staticmethod
+    def _encode(tokenizer, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    @staticmethod
+    def _room(values: np.ndarray, n: int) -> np.ndarray:
+        return values if n <= len(values) else np.resize(values, max(n, 2 * len(values)))
+
+    def _store(self, stems: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Keep the ids of stems, which lie one behind another."""
+        n, k = self.ranges, len(lengths)
+        self.start, self.length = self._room(self.start, n + k), self._room(self.length, n + k)
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.start[n:n + k] = self.used + np.cumsum(lengths) - lengths
+        self.length[n:n + k] = lengths
+        self.stems.update(zip(stems, range(n, n + k)))
+        self.used, self.ranges = self.used + len(ids), n + k
+
+    def _store_each(self, stems: list[str]) -> None:
+        found = self._encode(self.tokenizer, stems)
+        self._store(stems, np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64))
+
+    def _store_letters(self, stems: list[str], together: int = 256) -> None:
+        """Many words of letters in one call; the ids themselves say where a word ends."""
         groups = [stems[i:i + together] for i in range(0, len(stems), together)]
-        out = []
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+        for group, found in zip(groups, self._encode(self.plain, [" ".join(g) for g in groups])):
+            ids = np.array(found, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            out += np.split(ids, ends[:-1]) if len(ends) == len(group) else self._encode(group)
-        return out
+            if len(ends) == len(group):
+                self._store(group, ids, np.diff(ends, prepend=0))
+            else:
+                self._store_each(group)
 
     def _add(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self._clear()
-        stems, own = {}, []
+        names, marks, letters, others = [], [], set(), set()
         for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1] in ".," and len(w) > 1 else (w, "")
+            stem, mark = (w[:-1], self.MARKS[w[-1]]) if w[-1] in self.MARKS and len(w) > 1 else (w, 0)
             low = stem.lower()
-            if stem.isalpha() and low.isalpha() and "Σ" not in stem:  # whose lower case depends on its place
-                stems.setdefault(low, []).append((w, mark))
+            # the lower case of a sigma depends on its place
+            if stem.isalpha() and low.isalpha() and "\u03a3" not in stem and (
+                    low.isascii() or unicodedata.is_normalized("NFC", low)):
+                if low not in self.stems:
+                    letters.add(low)
             else:
-                own.append(w)
-        ready = [(w, ids, mark) for (low, uses), ids in zip(stems.items(), self._letters(list(stems)))
-                 for w, mark in uses]
-        ready += [(w, ids, "") for w, ids in zip(own, self._encode(own))]
-        for w, ids, mark in ready:
-            n, k = len(self.known), len(ids) + (len(self.marks[mark]) if mark else 0)
-            if n == len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * n), np.resize(self.length, 2 * n)
-            while self.used + k > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used:self.used + len(ids)] = ids
-            if mark:
-                self.flat[self.used + len(ids):self.used + k] = self.marks[mark]
-            self.start[n], self.length[n], self.known[w] = self.used, k, n
-            self.used += k
+                low, mark = w, 0
+                if low not in self.stems:
+                    others.add(low)
+            names.append(low)
+            marks.append(mark)
+        if letters:
+            self._store_letters(list(letters))
+        if others:
+            self._store_each(list(others))
+        n, k = len(self.known), len(words)
+        self.stem, self.mark = self._room(self.stem, n + k), self._room(self.mark, n + k)
+        self.stem[n:n + k] = np.fromiter(map(self.stems.__getitem__, names), np.int32, k)
+        self.mark[n:n + k] = marks
+        self.known.update(zip(words, range(n, n + k)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -101,28 +133,39 @@ class WordIds:
             self._clear()
             new = set(words)
         if new:
-            self._add(sorted(new))
+            self._add(list(new))
         code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n = self.length[code].astype(np.int64)
+        stem, mark = self.stem[code], self.mark[code]
+        bare = self.length[stem]
+        n = bare + (mark > 0)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[code] - (ends - n), n) + np.arange(total)]
+        # where a mark belongs this reads one id beyond the stem's, then overwritten
+        at = np.repeat(self.start[stem] - (ends - n), n) + np.arange(total)
+        ids = self.flat[np.minimum(at, len(self.flat) - 1)]
+        ids[ends[mark > 0] - 1] = self.mark_ids[mark[mark > 0]]
         after = np.concatenate(([0], ends))
         out, at = [], 0
         for t, s in zip(texts, split):
             if s is None:
-                out += self._encode([t])
+                out += [np.array(i, np.uint32) for i in self._encode(self.tokenizer, [t])]
                 continue
             out.append(ids[after[at]:after[at + len(s)]])
             at += len(s)
         return out
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so that tasks share what is known."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, cut where they exceed a sequence."""
 
     def make():
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
 
         def work(cols):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
