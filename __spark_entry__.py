@@ -185,6 +185,33 @@ def dedupe_batch(spark, sf_dir):
     return admit(views.v_vec_dup(spark, sf_dir).withColumn("position", F.col("id")))
 
 
+def dup_against_store_cells(spark, sf_dir):
+    """The same by cells and tiles, as a batch beyond the broadcast size goes."""
+    rows = views.v_vec_dup(spark, sf_dir)
+    return resembling(rows.where("variant > 0"), rows.where("variant = 0"),
+                      broadcast_bytes=1, cells=4, tile_rows=128)
+
+
+def dedupe_batch_tiled(spark, sf_dir):
+    """The same by rounds over tiles, as a batch beyond one tile goes."""
+    return admit(views.v_vec_dup(spark, sf_dir).withColumn("position", F.col("id")),
+                 cells=4, tile_rows=128)
+
+
+def search_many_parts(spark, sf_dir):
+    """The same in several parts, as queries beyond the broadcast size go."""
+    asks = _asks(spark, sf_dir).withColumn("limit", F.lit(3))
+    return _shown(
+        search.search_many(views.v_entries(spark, sf_dir), asks, broadcast_bytes=64 * 8 * 200)
+        .select("query_id", "rank", "id", "entry_type", "similarity_score")
+    )
+
+
+def usage_cost_exact(spark, sf_dir):
+    """Costs to all 8 places."""
+    return _usage(spark, sf_dir).select("id", "total_tokens", F.col("estimated_cost").cast("string").alias("estimated_cost"))
+
+
 def _chat_vectors(spark, sf_dir):
     return views.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("conv_id"), "embedding"
@@ -211,7 +238,7 @@ def capture_turns(spark, sf_dir):
 
 
 def _captured(spark, sf_dir):
-    held = views.v_entries(spark, sf_dir).where("entry_type = 'reference'")
+    held = views.v_entries(spark, sf_dir)
     return cap.capture(views.v_requests(spark, sf_dir), views.v_answers(spark, sf_dir), held)
 
 
@@ -321,7 +348,7 @@ def stream_usage(spark, sf_dir):
 def stream_capture(spark, sf_dir):
     root, out = new_path(spark, "store"), new_path(spark, "capture")
     held, _ = store.checked(store.with_defaults(
-        views.v_entries(spark, sf_dir).where("entry_type = 'reference'")))
+        views.v_entries(spark, sf_dir)))
     store.append(held, root, "held")
     docs = _stream(spark, sf_dir, "documents")
     requests = docs.select(
@@ -388,6 +415,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "inference_requests": inference_requests,
         "dup_against_store": dup_against_store,
         "dedupe_batch": dedupe_batch,
+        "dup_against_store_cells": dup_against_store_cells,
+        "dedupe_batch_tiled": dedupe_batch_tiled,
+        "search_many_parts": search_many_parts,
+        "search_clamped": lambda s, d: search_topk(s, d, limit=99),
+        "usage_cost_exact": usage_cost_exact,
         "user_turns": turns(pick.user_turns),
         "assistant_turns": turns(pick.assistant_turns),
         "capture_turns": capture_turns,

@@ -10,7 +10,7 @@ def estimated_cost(prompt_rate, completion_rate, prompt_tokens, completion_token
     """
 
     def part(rate, tokens):
-        priced = F.coalesce(rate, F.lit(0)).cast("decimal(18,9)") * F.coalesce(
+        priced = F.coalesce(rate, F.lit(0)).try_cast("decimal(24,15)") * F.coalesce(
             tokens, F.lit(0)
         ).cast("decimal(10,0)")
         return priced * F.lit(0.001).cast("decimal(3,3)")

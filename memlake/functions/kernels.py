@@ -24,7 +24,8 @@ _SLACK = 1e-9
 
 
 def unit_rows(column, dim):
-    """Arrow list column -> (unit rows, usable mask). Null and zero vectors are unusable."""
+    """Arrow list column -> (unit rows, usable mask). Null, zero and non-finite vectors, and ones
+    whose squared length overflows, are unusable; their rows are zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -35,8 +36,10 @@ def unit_rows(column, dim):
     out = np.zeros((n, dim))
     flat = column.flatten().to_numpy(zero_copy_only=False)
     out[present] = flat.astype(np.float64, copy=False).reshape(-1, dim)
-    norms = np.sqrt(np.einsum("ij,ij->i", out, out))
-    usable = present & (norms > 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.sqrt(np.einsum("ij,ij->i", out, out))
+    usable = present & (norms > 0) & np.isfinite(norms)
+    out[~usable] = 0
     out[usable] /= norms[usable, None]
     return out, usable
 
@@ -44,7 +47,7 @@ def unit_rows(column, dim):
 def unit_vector(vector):
     v = np.asarray(vector, dtype=np.float64)
     norm = np.sqrt(v @ v)
-    return v / norm if norm > 0 else None
+    return v / norm if norm > 0 and np.isfinite(norm) else None
 
 
 def above(rows, others, threshold):

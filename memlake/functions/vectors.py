@@ -29,8 +29,9 @@ def similarity_to(vector, column="embedding") -> Column:
 
 
 def has_length(embedding) -> Column:
-    """True for vectors with at least one non-zero component."""
-    return F.coalesce(F.exists(embedding, lambda x: x != 0), F.lit(False))
+    """True for vectors of finite components, at least one of them not zero."""
+    finite = F.forall(embedding, lambda x: F.abs(x) < float("inf"))
+    return F.coalesce(F.exists(embedding, lambda x: x != 0) & finite, F.lit(False))
 
 
 def hashed_vector(text, dim: int = 64) -> Column:

@@ -49,7 +49,7 @@ def resembling(
     without a shuffle. A larger one meets the store cell by cell; a store row sits in one
     cell, and the batch row visits every cell the angle bound allows, so nothing is
     missed. `bands=(count, bits)` swaps the exact cells for sign-bit bands: faster on
-    stores without clusters, and able to miss a pair.
+    stores without clusters, and able to miss a pair, at every size.
     """
     batch = batch.select("id", "embedding").where(vectors.has_length("embedding"))
     if threshold >= 1:  # no similarity exceeds one
@@ -60,7 +60,7 @@ def resembling(
     spark_schema, arrow_schema = vb.schema_of(batch, f"id {id_type}")
     if n == 0:
         return batch.select("id")
-    if n * dim * 8 <= broadcast_bytes:
+    if not bands and n * dim * 8 <= broadcast_bytes:
         table = vb.fetch(batch)
         matrix, _ = kernels.unit_rows(table.column("embedding"), dim)
         shared = vb.share(batch, {"matrix": matrix, "id": kernels.sortable(table.column("id"))})
@@ -106,6 +106,31 @@ def _blockers(homes, probes, dim, threshold, id_type, tile_rows):
     ).select("id", "b.b_position", "b.b_id", "n")
 
 
+def _jumped(state: DataFrame) -> DataFrame:
+    """Let open rows with one blocker point past it, while that is such a row too.
+
+    The verdict of a row with one blocker is the opposite of its blocker's, so a chain of them
+    hangs on its end: `flip` says whether a row's verdict is the opposite of what `b_id` gets.
+    Pointers double, so the rounds grow with the logarithm of the longest chain.
+    """
+    state = cut(state.withColumn("flip", F.lit(True)))
+    while True:
+        lone = F.col("admitted").isNull() & (F.col("n") == 1)
+        past = state.where(lone).select(
+            F.col("id").alias("t_id"), F.col("b_id").alias("t_to"), F.col("flip").alias("t_flip"))
+        jumps = F.col("t_id").isNotNull()
+        state = cut(
+            state.join(past, lone & (F.col("b_id") == F.col("t_id")), "left").select(
+                "id", "admitted", "b_position", F.coalesce("t_to", "b_id").alias("b_id"), "n",
+                F.when(jumps, F.col("flip") != F.col("t_flip")).otherwise(F.col("flip")).alias("flip"),
+                jumps.alias("jumped"),
+            )
+        )
+        if not state.where("jumped").limit(1).count():
+            return state.drop("jumped")
+        state = state.drop("jumped")
+
+
 def _resolve(rows, n, dim, threshold, tile_rows, cells, bands):
     """Greedy admission of any number of rows (id, position, embedding), by rounds.
 
@@ -152,6 +177,7 @@ def _resolve(rows, n, dim, threshold, tile_rows, cells, bands):
             )
         )
         # Follow known blockers as far as they are decided; only ids move here.
+        state = _jumped(state)
         while True:
             verdicts = state.where("admitted is not null").select(
                 F.col("id").alias("b_id"), F.col("admitted").alias("b_admitted")
@@ -161,10 +187,10 @@ def _resolve(rows, n, dim, threshold, tile_rows, cells, bands):
             state = cut(
                 state.join(verdicts, "b_id", "left").select(
                     "id",
-                    F.when(open_ & blocked, False)
-                    .when(open_ & ~blocked & (F.col("n") == 1), True)
+                    F.when(open_ & (F.col("n") == 1), F.col("flip") != blocked)
+                    .when(open_ & blocked, False)
                     .otherwise(F.col("admitted")).alias("admitted"),
-                    "b_position", "b_id", "n",
+                    "b_position", "b_id", "n", "flip",
                     (open_ & ~blocked & (F.col("n") > 1)).alias("moved"),
                     (open_ & blocked.isNotNull() & (blocked | (F.col("n") == 1))).alias("settled"),
                 )
@@ -180,7 +206,7 @@ def _resolve(rows, n, dim, threshold, tile_rows, cells, bands):
             return state.select("id", "admitted")
         if not moved and not settled:
             raise RuntimeError("admission made no progress")
-        state = state.withColumn("ask", F.coalesce("moved", F.lit(False))).drop("moved", "settled")
+        state = state.withColumn("ask", F.coalesce("moved", F.lit(False))).drop("moved", "settled", "flip")
 
 
 def admit(
@@ -199,7 +225,7 @@ def admit(
     and are admitted. Steps, each exact: equal vectors are folded to their earliest row;
     rows like the store are rejected; then the earliest rows, as many as fit one tile, are
     settled and everything like them is rejected, for as long as that pays; what is left
-    is settled by rounds over tiles.
+    is settled by rounds over tiles. With `bands` all rows go by rounds, whatever their number.
     """
     options = {"bands": bands, "broadcast_bytes": broadcast_bytes, "tile_rows": tile_rows,
                "cells": cells}
@@ -212,6 +238,10 @@ def admit(
     if n and store is not None:
         rows = cut(rows.join(resembling(rows, store, threshold, **options), "id", "left_anti"))
         n = rows.count()
+    if n and bands:
+        kept.append(
+            _resolve(rows, n, dim, threshold, tile_rows, cells, bands).where("admitted").select("id"))
+        n = 0
     while n:
         head = rows.orderBy("position", "id").limit(tile_rows)
         settled = _admit_block(head, dim, threshold).where("admitted").select("id")

@@ -14,7 +14,7 @@ def rates_table(spark: SparkSession, costs: dict) -> DataFrame:
     """{"provider/model" or "provider": {"prompt_per_1k", "completion_per_1k"}} as a table."""
 
     def rate(value):
-        return None if value is None else Decimal(str(value))
+        return None if value is None else Decimal(str(value)).quantize(Decimal(1).scaleb(-15))
 
     rows = [
         (key, rate((r or {}).get("prompt_per_1k")), rate((r or {}).get("completion_per_1k")))

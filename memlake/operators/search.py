@@ -11,9 +11,6 @@ from memlake.functions import kernels, vectors
 from memlake.operators import vector_blocks as vb
 from memlake.sources.scratch import cut
 
-# Vectors that train the list centroids.
-TRAINING_ROWS = 100_000
-
 
 def narrowed(entries: DataFrame, entry_type: str | None = None, project: str | None = None):
     """Optional type and project filters; an empty text means no filter."""
@@ -104,15 +101,11 @@ def top_k_many(
 def build_lists(entries: DataFrame, path: str, lists: int = IVF_LISTS, seed: int = 17) -> None:
     """Approximate index: entries partitioned by their nearest centroid under `path`.
 
-    Centroids come from cosine k-means over a hash-chosen training set of about
-    `TRAINING_ROWS` rows; every row is put in a list.
+    Centroids come from cosine k-means over all usable rows; every row is put in a list.
     """
     usable = entries.where(vectors.has_length("embedding"))
-    share = max(1, usable.count() // TRAINING_ROWS)
     train = cut(
-        usable.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(
-            array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-        )
+        usable.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     )
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(train)
     centroids = np.array(model.clusterCenters())

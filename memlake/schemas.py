@@ -86,7 +86,7 @@ MESSAGES = T.ArrayType(
 RATES = T.StructType(
     [
         T.StructField("rate_key", T.StringType(), False),
-        T.StructField("prompt_per_1k", T.DecimalType(18, 9)),
-        T.StructField("completion_per_1k", T.DecimalType(18, 9)),
+        T.StructField("prompt_per_1k", T.DecimalType(24, 15)),
+        T.StructField("completion_per_1k", T.DecimalType(24, 15)),
     ]
 )

@@ -32,6 +32,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def holds_files(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(files.exists(where) and len(files.listStatus(where)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder once and go on from those files.
 

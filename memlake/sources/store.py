@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from memlake.constants import (
     DEFAULT_SOURCE, ENTRY_TYPES, MAX_SOURCE_CLIENT, TAG_COLUMNS,
 )
-from memlake.functions.vectors import has_length
 from memlake.schemas import ENTRIES
+from memlake.sources.scratch import holds_files
 
 _STORED = (
     T.StructType(list(ENTRIES.fields))
@@ -48,8 +48,9 @@ def entry_fault(dim: int | None = None, text: str = "raw_text"):
         F.when(F.col(text).isNull(), "raw_text is null")
         .when(~F.col("entry_type").isin(*ENTRY_TYPES), "unknown entry_type")
         .when(F.length("source_client") > MAX_SOURCE_CLIENT, "source_client too long")
-        .when(F.col("embedding").isNotNull() & ~has_length("embedding"), "vector without length")
+        .when(F.forall("embedding", lambda x: x == 0), "vector without length")
         .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), "vector with gaps")
+        .when(F.exists("embedding", lambda x: F.abs(x) == float("inf")), "infinite vector")
     )
     if dim is not None:
         fault = fault.when(F.size("embedding") != dim, "wrong vector dimension")
@@ -75,9 +76,7 @@ def append(entries: DataFrame, root: str, batch: str) -> None:
 
 def read(spark: SparkSession, root: str, without_batch: str | None = None) -> DataFrame:
     """Snapshot of the store, with `created_date` for pruning; empty when nothing is stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path) or not files.listStatus(path):
+    if not holds_files(spark, root):
         stored = spark.createDataFrame([], _STORED)
     else:
         stored = spark.read.schema(_STORED).option("basePath", root).parquet(root)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from memlake.constants import MAX_MODEL, MAX_OPERATION, MAX_PROVIDER
 from memlake.operators.rates import with_cost
 from memlake.schemas import USAGE
+from memlake.sources.scratch import holds_files
 
 _STORED = T.StructType(list(USAGE.fields)).add("batch", T.StringType()).add(
     "created_date", T.DateType()
@@ -58,4 +59,7 @@ def append(usage: DataFrame, root: str, batch: str) -> None:
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
+    """The log; empty when nothing was appended yet."""
+    if not holds_files(spark, root):
+        return spark.createDataFrame([], _STORED).drop("batch")
     return spark.read.schema(_STORED).option("basePath", root).parquet(root).drop("batch")

@@ -13,9 +13,11 @@ def v_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), "quality")
     none = F.array().cast("array<string>")
     kind = F.col("label") % 5
-    return e.join(d, "vec_id").join(l, "vec_id", "left").select(
+    known = e.join(d, "vec_id", "left").join(l, "vec_id", "left").withColumns({
+        "lang": F.coalesce("lang", F.lit("xx")), "source": F.coalesce("source", F.lit("none"))})
+    return known.select(
         F.col("vec_id").alias("id"),
-        F.substring("text", 1, 200).alias("raw_text"),
+        F.coalesce("text", F.concat(F.lit("vector "), F.col("vec_id").cast("string"))).alias("raw_text"),
         "embedding",
         F.when(kind == 0, "observation").when(kind == 1, "decision").when(kind == 2, "action_item")
         .when(kind == 3, "reference").otherwise("project_note").alias("entry_type"),
@@ -117,9 +119,8 @@ def v_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every labelled document as a capture request."""
-    d = table(spark, sf_dir, "documents")
-    return table(spark, sf_dir, "labels").select("doc_id").join(d, "doc_id").select(
+    """Every document as a capture request; those without a label have no answers."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("request_id"), "text",
         F.concat(F.lit("src_"), "lang").alias("source_client"),
         (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")

@@ -1,15 +1,15 @@
 """DuckDB SQL for the registered queries, over the same tables."""
 
 V_ENTRIES = """
-SELECT e.vec_id AS id, substr(d.text, 1, 200) AS raw_text, e.embedding,
+SELECT e.vec_id AS id, coalesce(d.text, concat('vector ', e.vec_id)) AS raw_text, e.embedding,
   CASE e.label % 5 WHEN 0 THEN 'observation' WHEN 1 THEN 'decision' WHEN 2 THEN 'action_item'
        WHEN 3 THEN 'reference' ELSE 'project_note' END AS entry_type,
-  CASE WHEN e.vec_id % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE list_value(d.lang, d.source) END AS topics,
-  CASE WHEN e.vec_id % 3 = 0 THEN list_value(d.source) ELSE CAST([] AS VARCHAR[]) END AS projects,
-  concat('src_', d.lang) AS source_client,
+  CASE WHEN e.vec_id % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE list_value(coalesce(d.lang, 'xx'), coalesce(d.source, 'none')) END AS topics,
+  CASE WHEN e.vec_id % 3 = 0 THEN list_value(coalesce(d.source, 'none')) ELSE CAST([] AS VARCHAR[]) END AS projects,
+  concat('src_', coalesce(d.lang, 'xx')) AS source_client,
   CAST(coalesce(l.quality, 0.5) AS DOUBLE) AS relevance_score,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(e.vec_id) AS created_at
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id
 """
 
 V_USAGE = """
@@ -226,11 +226,17 @@ WITH RECURSIVE {GATE}, meta AS ({METADATA}),
 vec AS (SELECT l.doc_id AS request_id, list_concat([CAST(CAST(CAST(e.embedding[1] AS DOUBLE) + (l.doc_id % 4) * 0.15 AS FLOAT) AS DOUBLE)],
     CAST(e.embedding[2:] AS DOUBLE[])) AS embedding
   FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id - l.doc_id % 4),
+asked AS (SELECT d.doc_id AS request_id, g.attempt, coalesce(g.status, 'failed') AS status, coalesce(g.fatal, false) AS fatal,
+    CASE WHEN g.request_id IS NULL THEN 'uncertain' ELSE g.label END AS label,
+    CASE WHEN g.request_id IS NULL THEN 0.0 ELSE g.confidence END AS confidence,
+    CASE WHEN g.request_id IS NULL THEN 'Classifier unavailable: no usable answer' ELSE g.reason END AS reason,
+    coalesce(g.should_store, true) AS should_store
+  FROM documents d LEFT JOIN gate g ON g.request_id = d.doc_id),
 judged AS (SELECT g.*, m.* EXCLUDE (request_id), v.embedding, d.text, concat('src_', d.lang) AS source_client, md5(CAST(g.request_id AS VARCHAR)) AS h,
     TIMESTAMP '2024-03-01 00:00:00' + to_minutes(g.request_id) AS created_at,
     CASE WHEN fatal THEN 'error' WHEN NOT should_store THEN 'filtered' WHEN v.embedding IS NULL THEN 'error' ELSE 'candidate' END AS state
-  FROM gate g JOIN documents d ON d.doc_id = g.request_id LEFT JOIN meta m USING (request_id) LEFT JOIN vec v USING (request_id)),
-held AS (SELECT embedding FROM ({V_ENTRIES}) WHERE entry_type = 'reference'),
+  FROM asked g JOIN documents d ON d.doc_id = g.request_id LEFT JOIN meta m USING (request_id) LEFT JOIN vec v USING (request_id)),
+held AS (SELECT embedding FROM ({V_ENTRIES})),
 cand AS (SELECT request_id AS id, created_at AS pos, embedding FROM judged WHERE state = 'candidate'),
 {ADMISSION},
 outcomes AS (SELECT j.*, CASE WHEN state <> 'candidate' THEN state WHEN k.id IS NOT NULL THEN 'stored' ELSE 'duplicate' END AS outcome
@@ -422,3 +428,11 @@ SELECT s.total_tokens, m.cost AS month_cost, CASE WHEN {_ALERT} IS NOT NULL THEN
 FROM ({_to_date('month')}) m, (SELECT sum(total_tokens)::BIGINT AS total_tokens FROM {_USAGE_WINDOW}) s""",
     "stream_capture": _OUTCOMES,
 }
+
+ORACLES |= {
+    "dup_against_store_cells": ORACLES["dup_against_store"],
+    "dedupe_batch_tiled": ORACLES["dedupe_batch"],
+    "search_many_parts": ORACLES["search_many"],
+    "search_clamped": _search("true", 50),
+    "usage_cost_exact": f"SELECT id, total_tokens, CAST(estimated_cost AS VARCHAR) AS estimated_cost FROM ({V_USAGE})",
+}

@@ -106,3 +106,39 @@ def test_different_dimensions_are_an_error(spark):
     rows = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 2, [1.0, 0.0, 0.0])], SCHEMA)
     with pytest.raises(Exception, match="different vector dimensions"):
         admit(rows).collect()
+
+
+def test_long_chain_takes_few_writes(spark, monkeypatch):
+    """Each row resembles only its neighbours, so admission alternates along the chain."""
+    import math
+
+    from memlake.operators import duplicates
+
+    writes = []
+    real = duplicates.cut
+    monkeypatch.setattr(duplicates, "cut", lambda df: writes.append(1) or real(df))
+    step = 0.11  # of an angle; cos of one step is above the threshold, of two below
+    rows = [(i, i, [math.cos(i * step / 2), math.sin(i * step / 2), 0.0]) for i in range(56)]
+    batch = spark.createDataFrame(rows, "id bigint, position bigint, embedding array<double>")
+    got = {r.id for r in duplicates.admit(batch, threshold=math.cos(step * 0.75), tile_rows=4, cells=1).collect() if r.admitted}
+    want, kept = set(), []
+    for i, _, v in rows:
+        if all(sum(a * b for a, b in zip(v, w)) <= math.cos(step * 0.75) for w in kept):
+            want.add(i)
+            kept.append(v)
+    assert got == want
+    assert len(writes) < 30
+
+
+def test_bands_act_at_every_size(spark):
+    import random
+
+    from memlake.operators.duplicates import admit
+
+    r = random.Random(3)
+    rows = [(i, i, [r.gauss(0, 1) for _ in range(8)]) for i in range(40)]
+    rows += [(i + 100, i + 100, [x + r.gauss(0, 0.05) for x in v]) for i, _, v in rows]
+    batch = spark.createDataFrame(rows, "id bigint, position bigint, embedding array<double>")
+    small = {r.id for r in admit(batch, bands=(2, 12), tile_rows=8).collect() if r.admitted}
+    large = {r.id for r in admit(batch, bands=(2, 12)).collect() if r.admitted}
+    assert small == large
