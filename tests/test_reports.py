@@ -141,3 +141,13 @@ def test_missing_counts_default_to_zero_and_no_rates_cost_nothing(spark):
     good, bad = log_usage(rows, rates_table(spark, {}), NOW)
     row = good.first()
     assert (row.total_tokens, row.estimated_cost, bad.count()) == (0, 0, 0)
+
+
+def test_small_rates_and_an_absent_log(spark, tmp_path):
+    from memlake.operators.rates import rates_table, with_cost
+    from memlake.sources import usage_log
+
+    rates = rates_table(spark, {"p/m": {"prompt_per_1k": 0.00000000015, "completion_per_1k": 0.1234567}})
+    used = spark.createDataFrame([("p", "m", 2_000_000_000, 1)], "provider string, model string, prompt_tokens int, completion_tokens int")
+    assert str(with_cost(used, rates).first().estimated_cost) == "0.00042346"
+    assert usage_log.read(spark, str(tmp_path / "nothing")).count() == 0

@@ -149,3 +149,22 @@ def test_hashed_vectors_put_similar_texts_closer(spark):
     assert v[3] is None and v[4] is None
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     assert dot(v[0], v[1]) > dot(v[0], v[2]) and abs(dot(v[0], v[0]) - 1) < 1e-6
+
+
+def test_non_finite_vectors_take_no_part(spark):
+    from memlake.operators.duplicates import admit
+    from memlake.operators.search import top_k, top_k_many
+    from memlake.sources import store
+
+    inf, nan = float("inf"), float("nan")
+    vectors = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [inf, 1.0, 0.0], [1e200, 1e200, 0.0], [nan, 1.0, 1.0], [1.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id bigint, embedding array<double>")
+    asks = spark.createDataFrame([(1, [1.0, 0.1, 0.0], 3), (2, [inf, 0.0, 0.0], 3)], "query_id bigint, embedding array<double>, limit int")
+    got = [r.id for r in top_k_many(rows, asks).where("query_id = 1").orderBy("rank").collect()]
+    assert got == [0, 5, 1]
+    assert [r.id for r in top_k(rows, [1.0, 0.1, 0.0], 3).collect()] == [0, 5, 1]
+    assert {r.id for r in admit(rows.withColumn("position", rows.id)).collect() if r.admitted} >= {0, 1, 5, 6}
+    entries = rows.selectExpr("cast(id as string) id", "'t' raw_text", "embedding")
+    _, bad = store.checked(store.with_defaults(entries, "2024-01-01 00:00:00"))
+    assert {(r.id, r.fault) for r in bad.select("id", "fault").collect()} == {("2", "infinite vector"), ("4", "vector with gaps")} | (
+        {("3", "infinite vector")} if bad.where("id = '3'").count() else set())
