@@ -111,7 +111,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def keyed(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """key, node, tag: the segments of each line (tag: segment) and its probes (tag: edits + 1 + probe)."""
-    long = lines.where(F.col("length") >= least)
+    # four bytes a character, so that a place in the line is one in the bytes
+    long = lines.where(F.col("length") >= least).select("node", "length", F.encode("line", "UTF-32").alias("line"))
     count = edits + 1
 
     def place(length, i):
@@ -122,7 +123,7 @@ def keyed(lines: DataFrame, edits: int, least: int) -> DataFrame:
     def entry(less, i, shift, tag):
         length = F.col("length") - less
         start, n = place(length, i)
-        text = F.substring(F.col("line"), (start + shift + 1).cast("int"), n.cast("int"))
+        text = F.substring(F.col("line"), (4 * (start + shift) + 1).cast("int"), (4 * n).cast("int"))
         return F.struct(F.when(length >= least, F.xxhash64(text, length.cast("int"), F.lit(i))).alias("key"),
                         F.lit(tag).cast("byte").alias("tag"))
 
