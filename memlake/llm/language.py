@@ -33,12 +33,14 @@ def held_out():
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(lang, text) of about so many learnable rows of each language, chosen by hash."""
+    """(lang, text) of about so many learnable rows of each language, chosen by hash. One count per
+    language passes the driver, and the rows chosen."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    shares = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    shares = [F.lit(v) for lang, n in known.groupBy("lang").count().collect() for v in (lang, per_language / n)]
     point = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(shares, "lang").where(point < F.col("share")).select("lang", "doc_id", "text")
+    picked = known.where(point < F.create_map(*shares)[F.col("lang")]) if shares else known.limit(0)
+    picked = picked.select("lang", "doc_id", "text")
     return [(lang, text) for lang, _, text in sorted(map(tuple, picked.collect()))]
 
 
