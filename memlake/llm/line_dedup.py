@@ -212,15 +212,15 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeated lines taken out of text (and n_chars set anew, if there); a document
     all of whose lines went is dropped. Documents without a repeated line are as they were."""
-    gone = classes(docs, **options).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, docs.doc_id.cast("long") == F.col("_id"), "left").drop("_id")
     names = docs.columns
+    own = "_gone" + "_" * max(map(len, names))  # longer than any name of docs, so not one of them
+    gone = classes(docs, **options).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias(own))
+    joined = docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left").drop(gone.doc_id)
 
     def make():
         def work(cols):
             text, keep = [], []
-            for t, lost in zip(cols["text"].to_pylist(), cols["_gone"].to_pylist()):
+            for t, lost in zip(cols["text"].to_pylist(), cols[own].to_pylist()):
                 if lost:
                     lost = set(lost)
                     left = [line for i, line in enumerate(t.split("\n")) if i not in lost]
@@ -232,7 +232,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
             out = {n: cols[n] for n in names} | {"text": pa.array(text, pa.string())}
             if "n_chars" in out:
                 new = [n if not g else len(t) for n, g, t in zip(
-                    cols["n_chars"].to_pylist(), cols["_gone"].to_pylist(), text)]
+                    cols["n_chars"].to_pylist(), cols[own].to_pylist(), text)]
                 out["n_chars"] = pa.array(new, cols["n_chars"].type)
             mask = pa.array(keep)
             return {n: c.filter(mask) for n, c in out.items()}

@@ -129,7 +129,8 @@ def plain_lines(rows, edits=2, least=24):
         sets.find(first[line])
     for i, a in enumerate(names):
         for b in names[:i]:
-            if min(len(a), len(b)) >= least and plain_distance(a, b) <= edits:
+            # texts are at least as many edits apart as their lengths differ
+            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and plain_distance(a, b) <= edits:
                 links[a] += len(seen[b])
                 links[b] += len(seen[a])
                 sets.join(first[a], first[b])
