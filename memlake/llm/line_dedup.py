@@ -109,46 +109,54 @@ def lines_of(docs: DataFrame) -> DataFrame:
         "doc_id", "line_no", "line", F.xxhash64("line").alias("node"), F.length("line").alias("length"))
 
 
+def asked(edits: int) -> list[int]:
+    """The probes, as places in probes(), that are not the line's own segments."""
+    return [nth for nth, (less, _, shift) in enumerate(probes(edits)) if less or shift]
+
+
 def keyed(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """key, node, tag: the segments of each line (tag: segment) and its probes (tag: edits + 1 + probe)."""
+    """doc_id, line_no, node, keys of every line: its edits + 1 segments, which are probes of lines of
+    its length too, then the other probes, as in asked(); keys is null for a line below the least length."""
     # four bytes a character, so that a place in the line is one in the bytes
-    long = lines.where(F.col("length") >= least).select("node", "length", F.encode("line", "UTF-32").alias("line"))
+    wide = lines.select("doc_id", "line_no", "node", "length",
+                        F.when(F.col("length") >= least, F.encode("line", "UTF-32")).alias("line"))
     count = edits + 1
 
-    def place(length, i):
+    def key(less, i, shift):
+        length = F.col("length") - less
         base, longer = F.floor(length / count), length % count
         n = base + F.when(F.lit(i) >= count - longer, 1).otherwise(0)
-        return i * base + F.greatest(F.lit(0), F.lit(i) - (count - longer)), n
-
-    def entry(less, i, shift, tag):
-        length = F.col("length") - less
-        start, n = place(length, i)
+        start = i * base + F.greatest(F.lit(0), F.lit(i) - (count - longer))
         text = F.substring(F.col("line"), (4 * (start + shift) + 1).cast("int"), (4 * n).cast("int"))
-        return F.struct(F.when(length >= least, F.xxhash64(text, length.cast("int"), F.lit(i))).alias("key"),
-                        F.lit(tag).cast("byte").alias("tag"))
+        return F.when(length >= least, F.xxhash64(text, length.cast("int"), F.lit(i)))
 
-    entries = [entry(0, i, 0, i) for i in range(count)]
-    entries += [entry(less, i, shift, count + k) for k, (less, i, shift) in enumerate(probes(edits))]
-    made = long.select("node", F.explode(F.array(*entries)).alias("e"))
-    return made.select("e.key", "node", "e.tag").where("key is not null")
+    places = probes(edits)
+    keys = [key(0, i, 0) for i in range(count)] + [key(*places[nth]) for nth in asked(edits)]
+    return wide.select("doc_id", "line_no", "node",
+                       F.when(F.col("line").isNotNull(), F.array(*keys)).alias("keys"))
 
 
 def verify(group: dict, edits: int) -> list[tuple]:
     """(node, links, root) for each line of a block pair that has a link first met under this key."""
     node, text, copies, block = group["node"], group["line"], group["copies"], group["block"]
     crossing = group["row"][0] != group["col"][0]
-    places, count = probes(edits), edits + 1
-    own, asking = [], []
+    places, count, others = probes(edits), edits + 1, asked(edits)
+    home = {i: nth for nth, (less, i, shift) in enumerate(places) if not less and not shift}
+    size = [len(t) for t in text]
+    own, asking = {}, []
     for x, tags in enumerate(group["tags"]):
-        own += [(x, t) for t in tags if t < count]
-        asking += [(x, places[t - count], t - count) for t in tags if t >= count]
+        for t in tags:
+            if t < count:
+                own.setdefault((t, size[x]), []).append(x)
+            nth = home[t] if t < count else others[t - count]
+            asking.append((x, places[nth], nth))
     links, root = [0] * len(node), list(node)
     met = []
     for y, (less, i, _), nth in asking:
         b = text[y]
-        for x, seg in own:
+        for x in own.get((i, size[y] - less), ()):
             a = text[x]
-            if seg != i or node[x] == node[y] or len(b) - len(a) != less or (less == 0 and node[x] > node[y]):
+            if node[x] == node[y] or (less == 0 and node[x] > node[y]):
                 continue
             if crossing and block[x] == block[y]:
                 continue
@@ -177,17 +185,18 @@ def verify(group: dict, edits: int) -> list[tuple]:
 def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, line_no, class_doc_id, class_line_no, n_links, kept for every line that is not blank."""
     lines = lines_of(docs)
-    seen = cut(lines.select("doc_id", "line_no", "node").distinct())
+    base = cut(keyed(lines, edits, least))
+    seen = cut(base.select("doc_id", "line_no", "node").distinct())
     folded = cut(seen.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")))
-    shared = cut(keyed(lines, edits, least).groupBy("key").agg(
+    shared = cut(base.select("node", F.explode("keys").alias("key")).where("key is not null").groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key"))
     may_share = sieve(shared, "key")
-    member = cut(keyed(lines, edits, least).where(may_share("key")).join(shared, "key")
-                 .groupBy("key", "node").agg(F.collect_set(F.col("tag").cast("int")).alias("tags")))
+    member = cut(may_share(base.select("node", F.posexplode("keys").alias("tag", "key")), "key").join(shared, "key")
+                 .groupBy("key", "node").agg(F.collect_set("tag").alias("tags")))
     sizes = member.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     nodes = cut(member.select("node").distinct())
     may_meet = sieve(nodes, "node")
-    texts = lines.select("node", "line").where(may_meet("node")).join(nodes, "node").dropDuplicates(["node"]).join(
+    texts = may_meet(lines.select("node", "line"), "node").join(nodes, "node").dropDuplicates(["node"]).join(
         folded.select("node", "copies"), "node")
     dealt = member.join(sizes, "key").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
