@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm import rows
 from memlake.llm.components import components
-from memlake.llm.sieve import sieve
+from memlake.llm.sieve import sifter
 from memlake.sources.scratch import cut
 
 #: Most edits between linked lines, and least length of lines that may differ.
@@ -190,12 +190,12 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     folded = cut(seen.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")))
     shared = cut(base.select("node", F.explode("keys").alias("key")).where("key is not null").groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key"))
-    may_share = sieve(shared, "key")
+    may_share = sifter(shared, "key")
     member = cut(may_share(base.select("node", F.posexplode("keys").alias("tag", "key")), "key").join(shared, "key")
                  .groupBy("key", "node").agg(F.collect_set("tag").alias("tags")))
     sizes = member.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     nodes = cut(member.select("node").distinct())
-    may_meet = sieve(nodes, "node")
+    may_meet = sifter(nodes, "node")
     texts = may_meet(lines.select("node", "line"), "node").join(nodes, "node").dropDuplicates(["node"]).join(
         folded.select("node", "copies"), "node")
     dealt = member.join(sizes, "key").withColumn(
