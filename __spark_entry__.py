@@ -356,7 +356,7 @@ def stream_capture(spark, sf_dir):
         F.concat(F.lit("src_"), "lang").alias("source_client"),
         (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("created_at"),
-    ).join(views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("request_id")), "request_id")
+    )
     _run(spark, jobs.capture_stream(requests, views.v_answers(spark, sf_dir), root, out))
     return spark.read.parquet(f"{out}/outcomes").drop("batch")
 

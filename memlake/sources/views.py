@@ -119,7 +119,7 @@ def v_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a capture request; those without a label have no answers."""
+    """Every document as a capture request; those without a label have no classifier answer."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("request_id"), "text",
         F.concat(F.lit("src_"), "lang").alias("source_client"),
@@ -134,7 +134,7 @@ def v_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("base"), "embedding")
     step = F.col("doc_id") % 4
     return (
-        table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") - step).alias("base"))
+        table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") - step).alias("base"))
         .join(e, "base")
         .select(
             F.col("doc_id").alias("request_id"), F.lit("embed").alias("operation"),
@@ -151,12 +151,7 @@ def v_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All model answers of `v_requests`."""
-    asked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("request_id"))
-    parts = (
-        v_responses(spark, sf_dir),
-        v_extracts(spark, sf_dir).join(asked, "request_id", "left_semi"),
-        v_vectors(spark, sf_dir),
-    )
+    parts = (v_responses(spark, sf_dir), v_extracts(spark, sf_dir), v_vectors(spark, sf_dir))
     out = None
     for part in parts:
         part = part.select(

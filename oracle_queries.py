@@ -225,7 +225,7 @@ CAPTURE = f"""
 WITH RECURSIVE {GATE}, meta AS ({METADATA}),
 vec AS (SELECT l.doc_id AS request_id, list_concat([CAST(CAST(CAST(e.embedding[1] AS DOUBLE) + (l.doc_id % 4) * 0.15 AS FLOAT) AS DOUBLE)],
     CAST(e.embedding[2:] AS DOUBLE[])) AS embedding
-  FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id - l.doc_id % 4),
+  FROM documents l JOIN embeddings e ON e.vec_id = l.doc_id - l.doc_id % 4),
 asked AS (SELECT d.doc_id AS request_id, g.attempt, coalesce(g.status, 'failed') AS status, coalesce(g.fatal, false) AS fatal,
     CASE WHEN g.request_id IS NULL THEN 'uncertain' ELSE g.label END AS label,
     CASE WHEN g.request_id IS NULL THEN 0.0 ELSE g.confidence END AS confidence,
