@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm import (
     curves, fingerprints, jaccard, language, licenses, line_dedup, mixing, packing, personal_data, secret_scan,
+    va_clusters,
 )
 
 
@@ -73,6 +74,11 @@ def op10_curves(spark, sf_dir):
     return curves.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark, sf_dir):
+    """All vectors in 16 clusters after three rounds, with distances and final centroids."""
+    return va_clusters.with_totals(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_licenses": op1_licenses,
@@ -85,6 +91,7 @@ def queries() -> dict:
         "op8_fingerprints": op8_fingerprints,
         "op9_mixing": op9_mixing,
         "op10_curves": op10_curves,
+        "op11_centroids": op11_centroids,
     }
 
 
@@ -113,5 +120,33 @@ FROM p
 """
 
 
+_APART = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _round(n: int) -> str:
+    """Assignment of all vectors to the centroids c<n>, and the centroids after it."""
+    return f"""
+a{n} AS MATERIALIZED (SELECT k.id, k.v, c.no, {_APART} AS distance FROM kept k CROSS JOIN c{n} c
+  QUALIFY row_number() OVER (PARTITION BY k.id ORDER BY distance, c.no) = 1),
+m{n} AS (SELECT no, d, sum(x) AS s, count(*) AS n
+  FROM (SELECT no, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{n}) GROUP BY no, d),
+c{n + 1} AS MATERIALIZED (SELECT c.no, coalesce(f.v, c.v) AS v FROM c{n} c LEFT JOIN (
+  SELECT no, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY d) AS v FROM m{n} GROUP BY no) f USING (no))"""
+
+
+OP11 = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, v FROM (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('1:', vec_id)), v) - 1 AS no, v
+  FROM kept WHERE vec_id IS NOT NULL QUALIFY no < 16),
+{",".join(_round(n) for n in range(3))},
+last AS (SELECT k.vec_id, c.no, c.v, {_APART} AS distance FROM kept k CROSS JOIN c3 c
+  QUALIFY row_number() OVER (PARTITION BY k.id ORDER BY distance, c.no) = 1)
+SELECT vec_id, no::INT AS cluster, distance, sum(distance) OVER (PARTITION BY no)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM last
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9}
+    return {"op9_mixing": OP9, "op11_centroids": OP11}
