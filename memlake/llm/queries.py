@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm import (
-    curves, fingerprints, jaccard, language, licenses, line_dedup, mixing, packing, personal_data, secret_scan,
+    bit_search, curves, fingerprints, jaccard, language, licenses, line_dedup, mixing, packing, personal_data, secret_scan,
     va_clusters,
 )
 
@@ -79,6 +79,11 @@ def op11_centroids(spark, sf_dir):
     return va_clusters.with_totals(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical(spark, sf_dir):
+    """The 20 documents that score best for each benchmark item."""
+    return bit_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_licenses": op1_licenses,
@@ -92,6 +97,7 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_curves": op10_curves,
         "op11_centroids": op11_centroids,
+        "op12_lexical": op12_lexical,
     }
 
 
@@ -148,5 +154,24 @@ SELECT vec_id, no::INT AS cluster, distance, sum(distance) OVER (PARTITION BY no
 """
 
 
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+OP12 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS t FROM documents),
+w AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM d) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+i AS (SELECT item_id, term, count(*) AS times FROM (
+  SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)) GROUP BY ALL),
+q AS MATERIALIZED (SELECT item_id, term, times, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight
+  FROM i JOIN (SELECT term, count(*) AS df FROM w GROUP BY term) USING (term), s),
+m AS (SELECT id, doc_id, 75 + (25 * len(t)::BIGINT * n_docs) // n_terms AS m FROM d, s WHERE doc_id IS NOT NULL),
+x AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN m USING (id) GROUP BY item_id, id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9, "op11_centroids": OP11}
+    return {"op9_mixing": OP9, "op11_centroids": OP11, "op12_lexical": OP12}
