@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm import (
     bit_search, curves, fingerprints, jaccard, language, licenses, line_dedup, mixing, packing, personal_data, secret_scan,
-    va_clusters,
+    va_clusters, warc,
 )
+from memlake.sources.scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,11 @@ def op12_lexical(spark, sf_dir):
     return bit_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc(spark, sf_dir):
+    """All pages written as WARC archives and read back."""
+    return warc.archived(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
 def queries() -> dict:
     return {
         "op1_licenses": op1_licenses,
@@ -98,6 +104,7 @@ def queries() -> dict:
         "op10_curves": op10_curves,
         "op11_centroids": op11_centroids,
         "op12_lexical": op12_lexical,
+        "op13_warc": op13_warc,
     }
 
 
@@ -173,5 +180,14 @@ FROM x WHERE score > 0 QUALIFY rank <= 20
 """
 
 
+OP13 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN kept END AS refers_to
+FROM (SELECT *, payload_bytes >= 1000 AND kept IS NOT NULL AND page_id IS DISTINCT FROM kept AS again FROM k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9, "op11_centroids": OP11, "op12_lexical": OP12}
+    return {"op9_mixing": OP9, "op11_centroids": OP11, "op12_lexical": OP12, "op13_warc": OP13}
