@@ -26,6 +26,8 @@ from memlake.sources.scratch import cut
 SEQUENCE, END = 4096, 1
 #: Pieces per group in which pieces of a length are numbered, about.
 GROUP = 8192
+#: Characters encoded at a time; a longer text is encoded alone.
+TOGETHER = 1 << 20
 
 
 class WordIds:
@@ -33,25 +35,16 @@ class WordIds:
 
     Each different word is encoded once. A word of letters with one full stop or comma behind it
     is two pre-tokens, so its letters are shared with the bare word's; lower-case letters need
-    neither the tokenizer's normaliser nor its pattern. At most `most` words are kept at a time.
+    neither the tokenizer's normaliser nor its pattern. Between calls at most `most` words are
+    kept, those used most; a word takes about 330 bytes.
     """
 
     #: White space to str.split() but not to the tokenizer.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     MARKS = {".": 1, ",": 2}
 
-    def __init__(self, path: str, most: int = 1_000_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    def __init__(self, path: str, most: int = 300_000):
+        self.tokenizer, self.plain, self.last = tokenizers(path)
         marks = self._encode(self.tokenizer, list(self.MARKS))
         self.mark_ids = np.array([0, *(int(m[0]) for m in marks)], np.uint32)
         self.most = most
@@ -63,6 +56,27 @@ class WordIds:
         self.stem, self.mark = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int8)
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
+        self.uses = np.zeros(1 << 16, np.int64)
+
+    def _shrink(self) -> None:
+        """Forget all but the most used words, half as many as may be kept; their uses count half."""
+        uses, words, stems = self.uses[:len(self.known)], list(self.known), list(self.stems)
+        kept = np.sort(np.argsort(-uses, kind="stable")[:self.most // 2])
+        here, stem = np.unique(self.stem[kept], return_inverse=True)
+        start, length, flat, mark = self.start[here], self.length[here], self.flat, self.mark[kept]
+        self._clear()
+        ends = np.cumsum(length)
+        at = np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]))
+        self._store([stems[i] for i in here], flat[at], length)
+        self._name([words[i] for i in kept], stem, mark)
+        self.uses[:len(kept)] = uses[kept] // 2
+
+    def _name(self, words: list[str], stem, mark) -> None:
+        """Words as a known stem and a mark each."""
+        n, k = len(self.known), len(words)
+        self.stem, self.mark, self.uses = (self._room(v, n + k) for v in (self.stem, self.mark, self.uses))
+        self.stem[n:n + k], self.mark[n:n + k], self.uses[n:n + k] = stem, mark, 0
+        self.known.update(zip(words, range(n, n + k)))
 
     @staticmethod
     def _encode(tokenizer, words: list[str]) -> list[list[int]]:
@@ -118,23 +132,17 @@ class WordIds:
             self._store_letters(list(letters))
         if others:
             self._store_each(list(others))
-        n, k = len(self.known), len(words)
-        self.stem, self.mark = self._room(self.stem, n + k), self._room(self.mark, n + k)
-        self.stem[n:n + k] = np.fromiter(map(self.stems.__getitem__, names), np.int32, k)
-        self.mark[n:n + k] = marks
-        self.known.update(zip(words, range(n, n + k)))
+        self._name(words, np.fromiter(map(self.stems.__getitem__, names), np.int32, len(names)), marks)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
         words = [w for s in split if s for w in s]
         new = set(words).difference(self.known)
-        if len(self.known) + len(new) > self.most:  # what was kept goes, so all words are new
-            self._clear()
-            new = set(words)
         if new:
             self._add(list(new))
         code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses[:len(self.known)] += np.bincount(code, minlength=len(self.known))
         stem, mark = self.stem[code], self.mark[code]
         bare = self.length[stem]
         n = bare + (mark > 0)
@@ -152,24 +160,43 @@ class WordIds:
                 continue
             out.append(ids[after[at]:after[at + len(s)]])
             at += len(s)
+        if len(self.known) > self.most:
+            self._shrink()
         return out
 
 
 @functools.cache
-def word_ids(path: str) -> WordIds:
-    """One per Python worker, so that tasks share what is known."""
-    return WordIds(path)
+def tokenizers(path: str):
+    """The tokenizer, one for white-space runs of plain letters, and which ids end a word. Kept by
+    a Python worker; the words are a task's own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocab = whole.get_vocab()
+    last = np.zeros(max(vocab.values()) + 1, bool)
+    last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    return whole, plain, last
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, cut where they exceed a sequence."""
 
     def make():
-        words = word_ids(tokenizer_path)
+        words = WordIds(tokenizer_path)
 
         def work(cols):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, ids in zip(cols["doc_id"].to_pylist(), words.encode(rows.texts(cols["text"]))):
+            texts, size, cuts = rows.texts(cols["text"]), 0, [0]
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size > TOGETHER:
+                    cuts, size = [*cuts, i + 1], 0
+            encoded = (ids for a, b in zip(cuts, [*cuts[1:], len(texts)]) for ids in words.encode(texts[a:b]))
+            for doc_id, ids in zip(cols["doc_id"].to_pylist(), encoded):
                 data = np.append(ids, np.uint32(end)).astype("<u4")
                 for k in range(-(-len(data) // sequence)):
                     part = data[k * sequence:(k + 1) * sequence]

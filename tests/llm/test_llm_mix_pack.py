@@ -196,6 +196,22 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert [(x.vec_id, x.score) for x in curves.nearest(few).orderBy("rank").collect()] == [(2, 1.0), (1, 0.0)]
 
 
+def test_nearest_breaks_ties_by_id(spark, monkeypatch):
+    monkeypatch.setattr(curves, "BLOCK", 60)
+    r = np.random.default_rng(5)
+    rows = [(i, r.integers(-1, 2, 6).astype(float).tolist()) for i in range(600)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    at, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = defaultdict(list)
+    for row in curves.nearest(docs, 20, window=99).orderBy("query_id", "rank").collect():
+        got[row.query_id].append(row.vec_id)
+    for i, v in rows:
+        if i % 20 == 0 and any(v):
+            score = x @ v
+            some = [k for k in np.lexsort((at, -score)) if at[k] != i and x[k].any()][:20]
+            assert got[i] == at[some].tolist()
+
+
 def test_hilbert_steps_are_single():
     side = 8
     points = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])
@@ -242,6 +258,9 @@ def test_pipeline_against_its_parts(spark, tmp_path):
             assert jaccard.near_duplicates(state).where("n_links > 0").count() == 0
         if name != "packing":
             assert state.columns == docs.columns
+    own = table(spark, rows, True)
+    kept = corpus_pipeline.STAGES[0][1](spark, own, str(tmp_path))
+    assert kept.columns == own.columns and {x.score for x in kept.collect()} == {"own"}
     whole = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda d: sorted((x.doc_id, x.piece, x.ids_crc32, x.sequence_id, x.offset) for x in d.collect())
     assert key(whole) == key(state)
