@@ -345,18 +345,38 @@ def stream_usage(spark, sf_dir):
         "total_tokens", "month_cost", "monthly_limit", "alert"))
 
 
-def stream_capture(spark, sf_dir):
-    root, out = new_path(spark, "store"), new_path(spark, "capture")
-    held, _ = store.checked(store.with_defaults(
-        views.v_entries(spark, sf_dir)))
-    store.append(held, root, "held")
-    docs = _stream(spark, sf_dir, "documents")
-    requests = docs.select(
+def _requests(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").alias("request_id"), "text",
         F.concat(F.lit("src_"), "lang").alias("source_client"),
         (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("created_at"),
     )
+
+
+def stream_capture_batches(spark, sf_dir):
+    """The same in three micro-batches, one after another, with the candidate index."""
+    root, out, index = new_path(spark, "store"), new_path(spark, "capture"), new_path(spark, "index")
+    arrived, checkpoint = new_path(spark, "arrived"), new_path(spark, "stream")
+    held, _ = store.checked(store.with_defaults(views.v_entries(spark, sf_dir)))
+    store.append(held, root, "held")
+    docs = views.table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    third = F.floor((F.col("doc_id") - F.lit(low)) * 3 / F.lit(high - low + 1))
+    for no in range(3):
+        docs.where(third == no).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(docs.schema).parquet(arrived)
+        writer = jobs.capture_stream(_requests(stream), views.v_answers(spark, sf_dir), root, out, index)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/outcomes").drop("batch")
+
+
+def stream_capture(spark, sf_dir):
+    root, out = new_path(spark, "store"), new_path(spark, "capture")
+    held, _ = store.checked(store.with_defaults(
+        views.v_entries(spark, sf_dir)))
+    store.append(held, root, "held")
+    requests = _requests(_stream(spark, sf_dir, "documents"))
     _run(spark, jobs.capture_stream(requests, views.v_answers(spark, sf_dir), root, out))
     return spark.read.parquet(f"{out}/outcomes").drop("batch")
 
@@ -438,6 +458,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_daily": stream_daily,
         "stream_usage": stream_usage,
         "stream_capture": stream_capture,
+        "stream_capture_batches": stream_capture_batches,
     }
 
 

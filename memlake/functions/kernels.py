@@ -19,6 +19,10 @@ DECIMALS = 12
 # Score cells held at once by one task.
 BLOCK_CELLS = 4_000_000
 _NO_VECTOR = -2.0
+# Nearest anchors whose planes bound which cells a row visits.
+PLANES = 8
+# Wider than the rounding of sketches, which are kept as floats.
+_SKETCH_SLACK = 1e-5
 # Wider than any rounding; what falls inside it is rounded and compared again.
 _SLACK = 1e-9
 
@@ -219,33 +223,90 @@ def scan_unlike(shared, threshold):
     return run
 
 
-def nearest_cells(anchors, slack, schema):
-    """mapInArrow: each row's own cell, and every cell that may hold a partner of it.
+def nearest_cells(anchors, pivots, chord, schema):
+    """mapInArrow: each row's sketch instead of its vector, its own cell, and every cell that may
+    hold a partner of it.
 
-    A row belongs to the cell of its nearest anchor. If two rows are at most t apart in
-    angle, then by the triangle inequality the second is at most 2t farther from the
-    first one's anchor than from its own; `slack` is that 2t.
+    A row belongs to the cell of its nearest anchor. A partner y of x is at most `chord` away, and
+    where y is nearer to anchor c than to k, it lies on c's side of the plane between them. So x
+    is at most `chord` beyond that plane, whichever k is taken: (x.k - x.c) <= |k - c| * chord. Of
+    all k the ones nearest to x say most. A sketch is a row's coordinates along orthonormal
+    pivots; sketches are never farther apart than their rows.
     """
 
     def run(batches):
+        apart = np.sqrt(np.maximum(0, 2 - 2 * anchors @ anchors.T)) * chord + _SLACK
+        names = [n for n in schema.names if n not in ("sketch", "cell", "home")]
         for batch in batches:
             rows, usable = unit_rows(batch.column("embedding"), anchors.shape[1])
-            angle = np.arccos(np.clip(rows @ anchors.T, -1.0, 1.0))
-            home = angle.argmin(axis=1)
-            reach = angle <= angle.min(axis=1)[:, None] + slack
+            dots = rows @ anchors.T
+            home = dots.argmax(axis=1)
+            reach = np.ones(dots.shape, dtype=bool)
+            for k in np.argsort(-dots, axis=1, kind="stable")[:, :PLANES].T:
+                reach &= dots[np.arange(len(k)), k][:, None] - dots <= apart[k]
             reach[np.arange(len(home)), home] = True
             reach[~usable] = False
             row, cell = np.nonzero(reach)
+            sketch = (rows @ pivots.T).astype(np.float32)[row]
+            flat = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(row) + 1, dtype=np.int32) * pivots.shape[0]), pa.array(sketch.ravel())
+            )
             keep = pa.array(row)
-            columns = [batch.column(name).take(keep) for name in batch.schema.names]
+            columns = [batch.column(name).take(keep) for name in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(cell, pa.int64()), pa.array(home[row] == cell)],
+                [*columns, flat.cast(schema.field("sketch").type), pa.array(cell, pa.int64()), pa.array(home[row] == cell)],
                 schema=schema,
             )
 
     return run
 
 
+def tile_near(chord, schema):
+    """Cogrouped tile: the ids of home rows and of probes that have a partner by their sketches.
+
+    With positions, only pairs whose home is not later than the probe count. No pair leaves.
+    """
+
+    def sketches(table):
+        column = table.column("sketch").combine_chunks()
+        return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+
+    def run(homes, probes):
+        if not homes.num_rows or not probes.num_rows:
+            return schema.empty_table()
+        left, right = sketches(homes), sketches(probes)
+        l_id, r_id = sortable(homes.column("id")), sortable(probes.column("id"))
+        ordered = "position" in homes.column_names
+        if ordered:
+            l_ts, r_ts = homes.column("position").to_numpy(), probes.column("position").to_numpy()
+        l_sq, r_sq = (left**2).sum(axis=1), (right**2).sum(axis=1)
+        near_home, near_probe = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+        step = max(1, BLOCK_CELLS // len(left))
+        for lo in range(0, len(right), step):
+            part = slice(lo, lo + step)
+            apart = r_sq[part, None] + l_sq - 2 * right[part] @ left.T
+            close = apart <= chord * chord + _SKETCH_SLACK
+            if ordered:
+                close &= l_ts <= r_ts[part, None]
+            probe, home = np.nonzero(close)
+            if ordered:  # a row is no partner of itself
+                other = r_id[part][probe] != l_id[home]
+                probe, home = probe[other], home[other]
+            near_probe[lo + probe] = True
+            near_home[home] = True
+        at = homes.column("at")[0].as_py()
+        parts = [
+            (table.column("id").filter(pa.array(near)), is_home)
+            for table, near, is_home in ((homes, near_home, True), (probes, near_probe, False))
+        ]
+        return pa.concat_tables(
+            pa.table([pa.array([at] * len(ids), pa.int64()), ids, pa.array([is_home] * len(ids), pa.bool_())], schema=schema)
+            for ids, is_home in parts
+        )
+
+    return run
+
+
 def band_cells(bands, bits, dim, seed, schema):
     """mapInArrow: one cell per band of sign bits of seeded random projections."""
 

@@ -7,6 +7,7 @@ row carries at most its earliest open blocker from round to round.
 """
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,22 +18,62 @@ from memlake.sources.scratch import cut
 
 # Prefix rounds go on while one of them settles at least this share of what is left.
 _PREFIX_GAIN = 0.2
-_ANGLE_MARGIN = 1e-6
+_CHORD_MARGIN = 1e-6
 
 
-def _cells(df, n, dim, threshold, anchors, bands):
+def _band_cells(df, dim, bands):
     """Rows with their candidate cells: columns of `df`, `cell`, `home`."""
     ddl = ", ".join(f"{c} {vb.type_of(df, c)}" for c in df.columns) + ", cell bigint, home boolean"
     spark_schema, arrow_schema = vb.schema_of(df, ddl)
-    if bands:
-        count, bits = bands
-        run = kernels.band_cells(count, bits, dim, 11, arrow_schema)
-    else:
-        slack = 2 * math.acos(threshold) + _ANGLE_MARGIN
-        run = kernels.nearest_cells(anchors, slack, arrow_schema)
+    count, bits = bands
+    return df.mapInArrow(kernels.band_cells(count, bits, dim, 11, arrow_schema), spark_schema)
+
+
+def chord_of(threshold: float) -> float:
+    """How far apart unit vectors of that cosine similarity are."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + _CHORD_MARGIN
+
+
+def sketch_cells(df: DataFrame, threshold: float, anchors, vectors: bool = False) -> DataFrame:
+    """Columns of `df`, the vector only on demand, with `sketch`, `cell` and `home`: a row for each
+    cell that may hold a partner. Exact: no pair above the threshold is missed."""
+    names = [c for c in df.columns if vectors or c != "embedding"]
+    ddl = ", ".join(f"{c} {vb.type_of(df, c)}" for c in names) + ", sketch array<float>, cell bigint, home boolean"
+    spark_schema, arrow_schema = vb.schema_of(df, ddl)
+    run = kernels.nearest_cells(anchors, vb.pick_pivots(anchors), chord_of(threshold), arrow_schema)
     return df.mapInArrow(run, spark_schema)
 
 
+def near_pairs(homes: DataFrame, probes: DataFrame, threshold: float, tile_rows: int = vb.TILE_ROWS) -> DataFrame:
+    """cell, id, home: the rows of each cell that have a partner in it by their sketches.
+
+    `homes` and `probes` hold id, sketch, cell and where order matters position. Ids and sketches
+    alone move between cells; vectors follow for what this leaves.
+    """
+    spark_schema, arrow_schema = vb.schema_of(homes, f"cell bigint, id {vb.type_of(homes, 'id')}, home boolean")
+    near = kernels.tile_near(chord_of(threshold), arrow_schema)
+    homes = homes.withColumn("at", F.col("cell"))
+    return cut(vb.tile_join(homes, probes, near, spark_schema, tile_rows).distinct())
+
+
+def matching(homes: DataFrame, batch: DataFrame, near: DataFrame, threshold: float, dim: int,
+             tile_rows: int = vb.TILE_ROWS) -> DataFrame:
+    """Column `row` of `batch` (row, id, embedding) where a vector of `homes` (cell, id, embedding)
+    resembles it; both are looked at only where `near` left them."""
+    spark_schema, arrow_schema = vb.schema_of(batch, f"id {vb.type_of(batch, 'row')}")
+    homes = homes.join(near.where("home").select("cell", "id"), ["cell", "id"], "left_semi")
+    probes = batch.join(near.where("not home").select("cell", "id"), "id").select(
+        F.col("row").alias("id"), "embedding", "cell")
+    return vb.tile_join(
+        homes, probes, kernels.tile_matches(threshold, dim, arrow_schema), spark_schema, tile_rows
+    ).distinct()
+
+
+def by_hash(batch: DataFrame) -> DataFrame:
+    """row, id (a long), embedding of a batch (id, embedding)."""
+    return batch.select(F.col("id").alias("row"), F.xxhash64("id").alias("id"), "embedding")
+
+
 def resembling(
     batch: DataFrame,
     store: DataFrame,
@@ -47,8 +88,9 @@ def resembling(
 
     A batch below `broadcast_bytes` is broadcast and the store is scanned where it lies,
     without a shuffle. A larger one meets the store cell by cell; a store row sits in one
-    cell, and the batch row visits every cell the angle bound allows, so nothing is
-    missed. `bands=(count, bits)` swaps the exact cells for sign-bit bands: faster on
+    cell, and the batch row visits every cell the plane bounds allow, so nothing is
+    missed. They meet as ids with sketches first, and vectors are sent only to the cells where
+    the sketches leave a partner. `bands=(count, bits)` swaps the exact cells for sign-bit bands: faster on
     stores without clusters, and able to miss a pair, at every size.
     """
     batch = batch.select("id", "embedding").where(vectors.has_length("embedding"))
@@ -67,11 +109,16 @@ def resembling(
         return store.mapInArrow(
             kernels.scan_matches(shared, threshold, arrow_schema), spark_schema
         ).distinct()
-    anchors = None if bands else vb.pick_anchors(batch, n, dim, cells)
     # A store row needs no id of its own; its vector spreads it over the chunks of a cell.
     store = store.select(F.xxhash64("embedding").alias("id"), "embedding")
-    homes = _cells(store, n, dim, threshold, anchors, bands).where("home").drop("home")
-    probes = _cells(batch, n, dim, threshold, anchors, bands).drop("home")
+    if not bands:
+        anchors, batch = vb.pick_anchors(batch, n, dim, cells), by_hash(batch)
+        homes = sketch_cells(store, threshold, anchors, vectors=True).where("home").drop("home")
+        probes = sketch_cells(batch.drop("row"), threshold, anchors).drop("home")
+        near = near_pairs(homes.drop("embedding"), probes, threshold, tile_rows)
+        return matching(homes.drop("sketch"), batch, near, threshold, dim, tile_rows)
+    homes = _band_cells(store, dim, bands).where("home").drop("home")
+    probes = _band_cells(batch, dim, bands).drop("home")
     return vb.tile_join(
         homes, probes, kernels.tile_matches(threshold, dim, arrow_schema), spark_schema, tile_rows
     ).distinct()
@@ -141,9 +188,14 @@ def _resolve(rows, n, dim, threshold, tile_rows, cells, bands):
     id_type = vb.type_of(rows, "id")
     lowest_id = F.lit("").cast(id_type) if id_type == "string" else F.lit(-(1 << 63)).cast(id_type)
     lowest = F.lit(-(1 << 63)).cast("bigint")
-    anchors = None if bands else vb.pick_anchors(rows, n, dim, cells)
-    placed = cut(_cells(rows, n, dim, threshold, anchors, bands))
-    homes = placed.where("home").drop("home")
+    if bands:
+        placed = cut(_band_cells(rows, dim, bands))
+        homes, asks = placed.where("home").drop("home"), placed.drop("home")
+    else:
+        light = cut(sketch_cells(rows, threshold, vb.pick_anchors(rows, n, dim, cells)))
+        near = near_pairs(light.where("home").drop("home"), light.drop("home"), threshold, tile_rows)
+        placed = cut(rows.join(near, "id").select(*rows.columns, "cell", "home"))
+        homes, asks = placed.where("home").drop("home"), placed.where("not home").drop("home")
     # id, verdict (null while open), current blocker, blockers seen, whether to ask again
     state = rows.select(
         "id", F.lit(None).cast("boolean").alias("admitted"),
@@ -155,7 +207,7 @@ def _resolve(rows, n, dim, threshold, tile_rows, cells, bands):
             "id", F.col("b_position").alias("floor_position"), F.col("b_id").alias("floor_id")
         )
         alive = state.where("admitted is null or admitted").select("id")
-        probes = placed.drop("home").join(asking, "id")
+        probes = asks.join(asking, "id")
         # Later rounds ask little: only homes in asked cells are looked at again.
         near = homes.join(probes.select("cell").distinct(), "cell", "left_semi")
         found = _blockers(
@@ -218,6 +270,7 @@ def admit(
     broadcast_bytes: int = vb.BROADCAST_BYTES,
     tile_rows: int = vb.TILE_ROWS,
     cells: int | None = None,
+    against: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Sequential admission of `batch` (id, position, embedding) -> (id, admitted).
 
@@ -225,7 +278,8 @@ def admit(
     and are admitted. Steps, each exact: equal vectors are folded to their earliest row;
     rows like the store are rejected; then the earliest rows, as many as fit one tile, are
     settled and everything like them is rejected, for as long as that pays; what is left
-    is settled by rounds over tiles. With `bands` all rows go by rounds, whatever their number.
+    is settled by rounds over tiles. `against` may stand for the store: given rows (id,
+    embedding), it returns the ids of those that the store resembles. With `bands` all rows go by rounds, whatever their number.
     """
     options = {"bands": bands, "broadcast_bytes": broadcast_bytes, "tile_rows": tile_rows,
                "cells": cells}
@@ -238,6 +292,9 @@ def admit(
     if n and store is not None:
         rows = cut(rows.join(resembling(rows, store, threshold, **options), "id", "left_anti"))
         n = rows.count()
+    if n and against is not None:
+        rows = cut(rows.join(against(rows.select("id", "embedding")), "id", "left_anti"))
+        n = rows.count()
     if n and bands:
         kept.append(
             _resolve(rows, n, dim, threshold, tile_rows, cells, bands).where("admitted").select("id"))

@@ -15,6 +15,8 @@ TILE_ROWS = 4096
 # Rows a cell should hold, and the most cells; the anchors of all cells are broadcast.
 CELL_ROWS = 50_000
 MAX_CELLS = 256
+# Coordinates of a sketch, at least, and one for so many dimensions.
+PIVOTS, PIVOT_DIMS = 16, 16
 
 
 def schema_of(df: DataFrame, ddl: str):
@@ -53,6 +55,15 @@ def pick_anchors(df: DataFrame, n: int, dim: int, cells: int | None) -> np.ndarr
     return np.unique(rows[usable], axis=0)
 
 
+def pick_pivots(anchors: np.ndarray) -> np.ndarray:
+    """Orthonormal directions: of the anchors, then of a fixed draw where those are too few."""
+    dim = anchors.shape[1]
+    count = max(PIVOTS, dim // PIVOT_DIMS)
+    fill = np.random.default_rng(5).standard_normal((min(count, dim), dim))
+    basis, _ = np.linalg.qr(np.concatenate([anchors[:count], fill])[:max(dim, 1)].T)
+    return basis.T[:count]
+
+
 def tiles(homes: DataFrame, probes: DataFrame, tile_rows: int):
     """Split every cell into tiles of bounded size; each home row meets each probe once.
 

@@ -6,6 +6,7 @@ after a failure replaces its output.
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -14,7 +15,8 @@ from memlake.constants import MONTHLY_BUDGET, STATS_DAYS
 from memlake.plans.capture import capture
 from memlake.plans.reports import budget_alert, token_stats
 from memlake.plans.usage import log_usage
-from memlake.sources import store, usage_log
+from memlake.sources import candidates, store, usage_log
+from memlake.sources.scratch import cut
 
 
 def _now():
@@ -30,10 +32,15 @@ def capture_stream(
     responses: DataFrame | Callable[[DataFrame], DataFrame],
     store_root: str,
     out_root: str,
+    index_root: str | None = None,
     **options,
 ) -> DataStreamWriter:
     """Capture requests as they arrive, each micro-batch against the store before it.
 
+    With `index_root` the duplicate test reads a candidate index, of which only the cells that
+    the micro-batch asks for, and every micro-batch adds its entries to it. An index that does not
+    exist yet is made from the store, or from the first entries where the store is empty.
+
     `responses` is a static table, or a function from the micro-batch to its answers (for
     instance one that reads what the model stage has appended, or calls `run_model`); only
     the answers of the batch's own requests are looked at.
@@ -42,11 +49,19 @@ def capture_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         label = _label(batch_id)
         spark = batch.sparkSession
+        batch = cut(batch)  # evaluated once, however often it is looked at
         given = responses(batch) if callable(responses) else responses
         answers = given.join(batch.select("request_id"), "request_id", "left_semi")
         held = store.read(spark, store_root, without_batch=label)
-        done = capture(batch, answers, held, **options)
+        if index_root is None:
+            done = capture(batch, answers, held, **options)
+        else:
+            candidates.prepare(held, index_root)
+            known = partial(candidates.resembling, root=index_root, without_batch=label)
+            done = capture(batch, answers, against=known, **options)
         store.append(done.entries, store_root, label)
+        if index_root is not None:
+            candidates.add(done.entries, index_root, label)
         done.outcomes.write.mode("overwrite").parquet(f"{out_root}/outcomes/batch={label}")
         done.usage.write.mode("overwrite").parquet(f"{out_root}/usage/batch={label}")
         done.quarantine.write.mode("overwrite").parquet(f"{out_root}/quarantine/batch={label}")

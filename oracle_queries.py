@@ -433,6 +433,7 @@ ORACLES |= {
     "dup_against_store_cells": ORACLES["dup_against_store"],
     "dedupe_batch_tiled": ORACLES["dedupe_batch"],
     "search_many_parts": ORACLES["search_many"],
+    "stream_capture_batches": ORACLES["stream_capture"],
     "search_clamped": _search("true", 50),
     "usage_cost_exact": f"SELECT id, total_tokens, CAST(estimated_cost AS VARCHAR) AS estimated_cost FROM ({V_USAGE})",
 }

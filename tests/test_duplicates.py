@@ -142,3 +142,38 @@ def test_bands_act_at_every_size(spark):
     small = {r.id for r in admit(batch, bands=(2, 12), tile_rows=8).collect() if r.admitted}
     large = {r.id for r in admit(batch, bands=(2, 12)).collect() if r.admitted}
     assert small == large
+
+
+def unclustered(spark, n=2000, dim=64):
+    vectors = np.random.default_rng(7).standard_normal((n, dim)).astype(np.float32)
+    return spark.createDataFrame(
+        [(i, i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id bigint, position bigint, embedding array<float>")
+
+
+def test_vectors_without_clusters_visit_few_cells_and_are_not_sent(spark):
+    from memlake.operators import duplicates, vector_blocks as vb
+
+    rows = unclustered(spark)
+    anchors = vb.pick_anchors(rows, 2000, 64, 256)
+    light = duplicates.sketch_cells(rows, 0.98, anchors).cache()
+    assert light.count() < 71 * 2000
+    near = duplicates.near_pairs(light.where("home").drop("home"), light.drop("home"), 0.98)
+    assert near.count() < 20
+
+
+@pytest.mark.parametrize("dim,cells", [(2, 9), (8, 40), (64, 30)])
+def test_sketches_and_planes_miss_no_pair(spark, dim, cells):
+    from memlake.operators import duplicates, vector_blocks as vb
+
+    vectors = near_copies(np.random.default_rng(dim), n=240, groups=12, dim=dim).astype(float)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = frame(spark, vectors)
+    for threshold in (0.98, 0.7, -0.2):
+        anchors = vb.pick_anchors(rows, len(vectors), dim, cells)
+        light = duplicates.sketch_cells(rows, threshold, anchors)
+        near = duplicates.near_pairs(light.where("home").drop("home"), light.drop("home"), threshold, 50).collect()
+        homes = {(r.cell, int(r.id[1:])) for r in near if r.home}
+        probes = {(r.cell, int(r.id[1:])) for r in near if not r.home}
+        cell_of = {i: c for c, i in homes}
+        for i, j in zip(*np.nonzero(np.triu(np.round(unit @ unit.T, 12) > threshold, 1))):
+            assert (cell_of[i], j) in probes
