@@ -127,7 +127,7 @@ def verify(group: dict, words: int, least: tuple[int, int]) -> list[tuple]:
     links = np.zeros(n, np.int64)
     np.add.at(links, one, copies[two])
     np.add.at(links, two, copies[one])
-    root = np.array(group["node"])
+    root = np.arange(n)  # nodes come sorted
     while True:  # the least node of each local component
         low = np.minimum(root[one], root[two])
         before = root.copy()
@@ -135,7 +135,7 @@ def verify(group: dict, words: int, least: tuple[int, int]) -> list[tuple]:
         np.minimum.at(root, two, low)
         if (before == root).all():
             break
-    return [(group["node"][i], int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
+    return [(group["node"][i], int(links[i]), group["node"][root[i]]) for i in np.flatnonzero(links)]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, recall: float = RECALL,
@@ -145,10 +145,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: tuple[int, int] = LE
     d = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash")
     signed = cut(signatures(d, trees, depth, words))
     usable = signed.where("set_hash is not null and doc_id is not null")
-    folded = cut(usable.groupBy("set_hash").agg(
+    folded = cut(usable.groupBy(F.col("set_hash").alias("node")).agg(
         F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"),
         F.min("size").alias("size"), F.min("keys").alias("keys")).select(
-        "set_hash", F.col("first.doc_id").alias("node"), F.col("first.text_hash").alias("text_hash"),
+        "node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"),
         "copies", "size", "keys"))
     spread = folded.select("node", "size", F.posexplode("keys").alias("tree", "key"))
     prefixes = spread.groupBy("key").agg(
@@ -159,21 +159,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: tuple[int, int] = LE
     once = cut(once.select("p.key", F.ceil(F.greatest(
         F.col("n") / BLOCK_DOCS, F.col("p.shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     member = cut(spread.select("node", "tree", "key").join(once, "key"))
-    wanted = member.select("node").distinct().join(folded.select(
-        "node", F.col("text_hash").alias("first_hash"), "copies", "keys"), "node")
-    texts = d.join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("text_hash") == F.col("first_hash"))).select(
-        "node", "first_hash", "copies", "keys", "text").dropDuplicates(["node", "first_hash"])
+    wanted = member.select("node").distinct().join(
+        folded.select("node", "first_id", "first_hash", "copies", "keys"), "node")
+    texts = d.join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).select(
+        "node", "copies", "keys", "text").dropDuplicates(["node"])
     dealt = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "node", "tree", "key", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"))
     found = cut(rows.map_groups(
-        dealt.join(texts.drop("first_hash"), "node"), ["key", "row", "col"], ["node"],
-        "node long, links long, root long", lambda g: verify(g, words, least)))
+        dealt.join(texts, "node"), ["key", "row", "col"], ["node"],
+        "node binary, links long, root binary", lambda g: verify(g, words, least)))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = folded.join(links, "node", "left").join(parts, "node", "left").select(
-        "set_hash", F.coalesce("component", "node").alias("class"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    # the sets of a repeated doc_id are of one class, linked or not
+    shared = usable.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("z")).where("a <> z")
+    same = usable.select("doc_id", F.col("set_hash").alias("b")).join(shared.select("doc_id", "a"), "doc_id")
+    parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(same.select("a", "b")))
+    classed = cut(folded.select("node", "first_id", "copies").join(parts, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")))
+    least_id = classed.groupBy("component").agg(F.min("first_id").alias("class"))
+    known = classed.join(least_id, "component").join(links, "node", "left").select(
+        F.col("node").alias("set_hash"), "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
     return signed.join(known, "set_hash", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"))

@@ -94,6 +94,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    r = random.Random(6)
+    rows = near_copies(r, 3, 8)
+    rows += [(100, words(r, 80)), (100, rows[9][1]), (101, words(r, 70)), (108, rows[17][1]), (900, words(r, 70)), (900, words(r, 60))]
+    docs = table(spark, [(d, t, "en", "s", 1) for d, t in rows])
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect()), key=str) == plain_jaccard(rows)
+
+
 def test_blocks_of_a_hot_prefix_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 7)
     rows = near_copies(random.Random(4), groups=2, size=60)
