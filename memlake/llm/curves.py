@@ -135,6 +135,25 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-score, k - 1, axis=1)[:, :k]
 
 
+def _best_of(q: np.ndarray, v: np.ndarray, score: np.ndarray, rep: np.ndarray, floor: np.ndarray, k: int):
+    """Rows of q and of v, and their products summed alike wherever a pair meets, of the k best of
+    each row of q, and none below its floor; equal products go to the smaller rep. Pairs at -inf in
+    score are out."""
+    edge = floor
+    if score.shape[1] > k:
+        edge = np.maximum(edge, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
+    # a matrix product differs from the sum below by far less than this
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max(initial=0)
+    i, j = np.nonzero((score >= (edge - slack)[:, None]) & (score > -np.inf))
+    exact = np.concatenate([np.zeros(0)] + [
+        (q[i[a:a + 65536]] * v[j[a:a + 65536]]).sum(1) for a in range(0, len(i), 65536)])
+    order = np.lexsort((rep[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    kept = (nth < k) & (exact >= floor[i])
+    return i[kept], j[kept], exact[kept]
+
+
 def window_for(blocked: DataFrame, blocks: int, k: int, sample: int = SAMPLE, aim: float = AIM) -> int:
     """The least window at which the sampled queries meet the aimed share of their neighbours."""
     some = blocked.where("asks").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
@@ -179,14 +198,8 @@ def _score(group: dict, k: int, window: int) -> list[tuple]:
         score = q[s:s + 512] @ v.T
         for c in range(curve):
             score[np.abs(qa[s:s + 512, None, c] - va[None, :, c]) <= window] = -np.inf
-        score[score < floor[s:s + 512, None] - 1e-9] = -np.inf
-        top = _top(score, k)
-        i, j = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel()
-        seen = score[i, j] > -np.inf
-        i, j = i[seen], j[seen]
-        exact = (q[s + i] * v[j]).sum(1)  # the same sum wherever a pair meets
-        good = exact >= floor[s + i]
-        out += zip(rep[asks][s + i][good].tolist(), rep[~asks][j][good].tolist(), exact[good].tolist())
+        i, j, exact = _best_of(q[s:s + 512], v, score, rep[~asks], floor[s:s + 512], k)
+        out += zip(rep[asks][s + i].tolist(), rep[~asks][j].tolist(), exact.tolist())
     return out
 
 
