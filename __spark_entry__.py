@@ -20,8 +20,8 @@ from memlake.operators.rates import rates_table  # noqa: E402
 from memlake.plans import capture as cap  # noqa: E402
 from memlake.plans import chats, reports, search  # noqa: E402
 from memlake.plans.usage import log_usage  # noqa: E402
-from memlake.sources import store, usage_log, views  # noqa: E402
-from memlake.sources.scratch import new_path  # noqa: E402
+from memlake.sources import list_index, store, usage_log, views  # noqa: E402
+from memlake.sources.scratch import cut, new_path  # noqa: E402
 from memlake.streaming import jobs  # noqa: E402
 from oracle_queries import ORACLES  # noqa: E402
 
@@ -103,11 +103,54 @@ def search_many_filtered(spark, sf_dir):
     )
 
 
+def _lists(spark, sf_dir):
+    """An index whose centroids are the first vector of each label; all entries in two batches."""
+    root, e = new_path(spark, "lists"), views.table(spark, sf_dir, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    list_index.create(first.withColumnRenamed("label", "list_id"), root)
+    entries = views.v_entries(spark, sf_dir)
+    early = F.col("created_at") < F.lit(ENTRIES_AS_OF).cast("timestamp_ntz")
+    list_index.append(entries.where(early), root, "early")
+    list_index.append(entries.where(~early), root, "late")
+    return root
+
+
+def _ann_asks(spark, sf_dir):
+    """Every vector asks for the entries other than itself up to ten days after its own."""
+    own = views.v_entries(spark, sf_dir).select(
+        F.col("id").alias("query_id"), (F.col("created_at") + F.make_dt_interval(F.lit(10))).alias("visible_until"))
+    return _asks(spark, sf_dir).join(own, "query_id").withColumn("exclude_id", F.col("query_id")).withColumn(
+        "limit", F.lit(3))
+
+
 def ann_search(spark, sf_dir):
-    path = new_path(spark, "lists")
-    topk.build_lists(views.v_entries(spark, sf_dir), path, lists=10)
+    """The four nearest of ten lists are probed."""
+    found = search.ann_search(
+        views.v_entries(spark, sf_dir), _lists(spark, sf_dir), _ann_asks(spark, sf_dir), probes=4)
+    return _shown(found.drop("raw_text"))
+
+
+def ann_search_split(spark, sf_dir):
+    """The same after lists of more than a tenth of all entries were split in two, and files of
+    the former lists removed."""
+    root, entries = _lists(spark, sf_dir), views.v_entries(spark, sf_dir)
+    list_index.split(spark, root, entries.count() // 10, rounds=0)
+    list_index.vacuum(spark, root)
+    return _shown(search.ann_search(entries, root, _ann_asks(spark, sf_dir), probes=4).drop("raw_text"))
+
+
+def ann_recall(spark, sf_dir):
+    """Share of the exact best three that are found, by number of probed lists."""
+    root, out = _lists(spark, sf_dir), None
     asks = _asks(spark, sf_dir).withColumn("limit", F.lit(3))
-    return topk.ann_top_k(path, asks, probes=4)
+    exact = cut(topk.top_k_many(views.v_entries(spark, sf_dir), asks)).select(
+        "query_id", "id", F.lit(1).alias("found"))
+    for probes in (1, 2, 4, 8):
+        hits = topk.ann_top_k(root, asks, probes).join(exact, ["query_id", "id"])
+        part = exact.agg(F.count("*").alias("wanted")).join(hits.agg(F.count("*").alias("found")))
+        part = part.select(F.lit(probes).alias("probes"), "wanted", "found", (F.col("found") / F.col("wanted")).alias("recall"))
+        out = part if out is None else out.unionByName(part)
+    return _shown(out)
 
 
 def ann_search_all_lists(spark, sf_dir):
@@ -405,6 +448,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_many_filtered": search_many_filtered,
         "ann_search": ann_search,
         "ann_search_all_lists": ann_search_all_lists,
+        "ann_search_split": ann_search_split,
+        "ann_recall": ann_recall,
         "json_output": json_output,
         "recent_entries": entries(lambda e: search.recent(e, ENTRIES_AS_OF)),
         "recent_by_type": entries(

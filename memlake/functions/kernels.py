@@ -113,6 +113,19 @@ def _candidates(block, allowed, k):
     return row, col, np.round(block[row, col], DECIMALS)
 
 
+def filters_of(table):
+    """What each query of an Arrow table may see: entry_type, project, until, exclude."""
+    ask = {name: table.column(name).to_pylist() for name in ("entry_type", "project") if name in table.column_names}
+    if "visible_until" in table.column_names:
+        until = table.column("visible_until").combine_chunks().cast(pa.int64())
+        ask["until"] = until.fill_null(np.iinfo(np.int64).max).to_numpy()
+    if "exclude_id" in table.column_names:
+        exclude = table.column("exclude_id").combine_chunks()
+        missing = "" if pa.types.is_string(exclude.type) else np.iinfo(np.int64).min
+        ask["exclude"] = sortable(exclude.fill_null(missing))
+    return ask
+
+
 def _allowed(batch, names, ask, lo, hi):
     """Which rows each of the queries lo..hi may see."""
     ok = np.ones((batch.num_rows, hi - lo), dtype=bool)
@@ -328,14 +341,16 @@ def band_cells(bands, bits, dim, seed, schema):
     return run
 
 
-def nearest_lists(centroids, probes, schema):
-    """mapInArrow: the `probes` nearest centroids of each row, nearest first."""
+def nearest_lists(centroids, probes, schema, ids=None):
+    """mapInArrow: the `probes` nearest centroids of each row, nearest first; of equally near ones,
+    compared as similarities are, the first."""
+    ids = np.arange(len(centroids)) if ids is None else np.asarray(ids)
 
     def run(batches):
         for batch in batches:
             rows, usable = unit_rows(batch.column("embedding"), centroids.shape[1])
-            order = np.argsort(-(rows @ centroids.T), axis=1, kind="stable")[:, :probes]
-            order = order[usable]
+            order = np.argsort(-np.round(rows @ centroids.T, DECIMALS), axis=1, kind="stable")[:, :probes]
+            order = ids[order[usable]]
             index = pa.array(np.repeat(np.flatnonzero(usable), order.shape[1]))
             columns = [batch.column(name).take(index) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
@@ -345,6 +360,70 @@ def nearest_lists(centroids, probes, schema):
     return run
 
 
+def farthest_rows(known, schema):
+    """mapInArrow: per list, the row least like the list's known vector, its id the least of equals."""
+
+    def run(batches):
+        best = {}
+        for batch in batches:
+            lists = batch.column("list_id").to_numpy()
+            ids = sortable(batch.column("id"))
+            rows, _ = unit_rows(batch.column("embedding"), len(next(iter(known.values()))))
+            for i in np.unique(lists):
+                mine = np.flatnonzero(lists == i)
+                alike = np.round(rows[mine] @ known[int(i)], DECIMALS)
+                first = mine[np.lexsort((ids[mine], alike))[0]]
+                found = (alike.min(), ids[first], rows[first])
+                if int(i) not in best or found[:2] < best[int(i)][:2]:
+                    best[int(i)] = found
+        if best:
+            similarity, ident, unit = zip(*best.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(best), pa.int32()), pa.array(similarity, pa.float64()),
+                 pa.array(np.array(ident), schema.field("id").type), pa.array([u.tolist() for u in unit], schema.field("unit").type)],
+                schema=schema,
+            )
+
+    return run
+
+
+def nearer_child(child, made, first, schema):
+    """mapInArrow: list_id becomes the nearer one of the two lists that take the list's place."""
+
+    def run(batches):
+        for batch in batches:
+            rows, _ = unit_rows(batch.column("embedding"), made.shape[1])
+            left = np.array([child[int(i)] for i in batch.column("list_id").to_numpy()], dtype=np.int64)
+            one = np.einsum("ij,ij->i", rows, made[left - first])
+            two = np.einsum("ij,ij->i", rows, made[left - first + 1])
+            now = left + (np.round(two, DECIMALS) > np.round(one, DECIMALS))
+            columns = [
+                pa.array(now, pa.int32()) if name == "list_id" else batch.column(name) for name in batch.schema.names
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
+def unit_sums(dim, schema):
+    """mapInArrow: per list, the sum of the unit vectors of a partition."""
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            lists = batch.column("list_id").to_numpy()
+            rows, _ = unit_rows(batch.column("embedding"), dim)
+            for i in np.unique(lists):
+                sums[int(i)] = sums.get(int(i), 0) + rows[lists == i].sum(axis=0)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([t.tolist() for t in sums.values()], schema.field("total").type)],
+                schema=schema,
+            )
+
+    return run
+
+
 def tile_matches(threshold, dim, schema):
     """Cogrouped tile: probe ids that resemble a home row."""
 
@@ -430,13 +509,12 @@ def tile_top_k(dim, schema):
         parts = []
         step = max(1, BLOCK_CELLS // len(rows))
         batch = homes.combine_chunks().to_batches()[0]
-        ask = {
-            "entry_type": probes.column("entry_type").to_pylist(),
-            "project": probes.column("project").to_pylist(),
-        }
+        ask = filters_of(probes)
+        pairs = (("entry_type", "entry_type"), ("projects", "project"), ("created_at", "until"))
+        names = [column for column, asked_by in pairs if asked_by in ask and column in batch.schema.names]
         for lo in range(0, len(asks), step):
             hi = min(len(asks), lo + step)
-            ok = _allowed(batch, ("entry_type", "projects"), ask, lo, hi)
+            ok = _allowed(batch, names, ask, lo, hi)
             ok &= usable[:, None] & asked[None, lo:hi]
             row, col, val = _candidates(rows @ asks[lo:hi].T, ok, k)
             parts.append(_best(col + lo, val, ident[row], limits))

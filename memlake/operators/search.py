@@ -1,14 +1,12 @@
 """Vector top-k: one query, many queries, and the approximate list index."""
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from memlake.constants import IVF_LISTS
 from memlake.functions import kernels, vectors
 from memlake.operators import vector_blocks as vb
+from memlake.sources import list_index
 from memlake.sources.scratch import cut
 
 
@@ -39,17 +37,7 @@ def _ask(part: DataFrame, dim: int) -> dict:
         "query_id": table.column("query_id").to_numpy(),
         "limits": table.column("limit").to_numpy().astype(np.int64),
     }
-    for name in ("entry_type", "project"):
-        if name in table.column_names:
-            ask[name] = table.column(name).to_pylist()
-    if "visible_until" in table.column_names:
-        until = table.column("visible_until").combine_chunks().cast(pa.int64())
-        ask["until"] = until.fill_null(np.iinfo(np.int64).max).to_numpy()
-    if "exclude_id" in table.column_names:
-        exclude = table.column("exclude_id").combine_chunks()
-        missing = "" if pa.types.is_string(exclude.type) else np.iinfo(np.int64).min
-        ask["exclude"] = kernels.sortable(exclude.fill_null(missing))
-    return ask
+    return ask | kernels.filters_of(table)
 
 
 def _ranked(hits: DataFrame) -> DataFrame:
@@ -99,30 +87,10 @@ def top_k_many(
 
 
 def build_lists(entries: DataFrame, path: str, lists: int = IVF_LISTS, seed: int = 17) -> None:
-    """Approximate index: entries partitioned by their nearest centroid under `path`.
-
-    Centroids come from cosine k-means over all usable rows; every row is put in a list.
-    """
-    usable = entries.where(vectors.has_length("embedding"))
-    train = cut(
-        usable.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    )
-    model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(train)
-    centroids = np.array(model.clusterCenters())
-    spark = entries.sparkSession
-    spark.createDataFrame(
-        [(i, c.tolist()) for i, c in enumerate(centroids)], "list_id int, embedding array<double>"
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    columns = [c for c in ("id", "embedding", "entry_type", "projects") if c in entries.columns]
-    _nearest(usable.select(*columns), centroids, 1).hint("rebalance", "list_id").write.mode(
-        "overwrite"
-    ).partitionBy("list_id").parquet(f"{path}/lists")
-
-
-def _nearest(df: DataFrame, centroids, probes: int) -> DataFrame:
-    ddl = ", ".join(f"{c} {vb.type_of(df, c)}" for c in df.columns) + ", list_id int"
-    spark_schema, arrow_schema = vb.schema_of(df, ddl)
-    return df.mapInArrow(kernels.nearest_lists(centroids, probes, arrow_schema), spark_schema)
+    """Approximate index: entries by their nearest centroid under `path`. Centroids come from
+    cosine k-means over all usable rows; every row is put in a list."""
+    list_index.create(list_index.train(entries, lists, seed), path)
+    list_index.append(entries, path, "built")
 
 
 def ann_top_k(
@@ -130,31 +98,26 @@ def ann_top_k(
 ) -> DataFrame:
     """Approximate top-k: only the `probes` lists nearest to each query are compared.
 
-    Filters may leave fewer than k rows, and null vectors do not appear. Only probed lists
-    are read; a crowded list is cut into more tiles.
+    `queries` is as for `top_k_many`. Filters may leave fewer than k rows, and null vectors do
+    not appear. Only probed lists are read; a crowded list is cut into more tiles.
     """
     spark = queries.sparkSession
-    table = vb.fetch(spark.read.parquet(f"{index_path}/centroids").orderBy("list_id"))
-    dim = len(table.column("embedding")[0])
-    centroids, _ = kernels.unit_rows(table.column("embedding"), dim)
-    for name in ("entry_type", "project"):
-        if name not in queries.columns:
-            queries = queries.withColumn(name, F.lit(None).cast("string"))
-    queries = queries.select("query_id", "embedding", "limit", "entry_type", "project")
-    asked = _nearest(queries, centroids, probes).withColumn("id", F.col("query_id"))
+    known = list_index.centroids(spark, index_path)
+    wanted = ("query_id", "embedding", "limit", "entry_type", "project", "visible_until", "exclude_id")
+    queries = queries.select(*[c for c in wanted if c in queries.columns])
+    asked = list_index.nearest(queries, known, probes).withColumn("id", F.col("query_id"))
     asked = cut(asked.withColumn("cell", F.col("list_id").cast("bigint")).drop("list_id"))
     probed = [r[0] for r in asked.select("cell").distinct().collect()]  # at most one per list
-    rows = spark.read.parquet(f"{index_path}/lists").where(F.col("list_id").isin(probed))
-    for name, kind in (("entry_type", "string"), ("projects", "array<string>")):
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kind))
-    rows = rows.withColumn("cell", F.col("list_id").cast("bigint")).drop("list_id")
+    rows = list_index.read(spark, index_path, probed)
+    needed = [c for c, name in (("entry_type", "entry_type"), ("projects", "project"), ("created_at", "visible_until"))
+              if name in queries.columns]
+    rows = rows.select("id", "embedding", *needed, F.col("list_id").cast("bigint").alias("cell"))
     spark_schema, arrow_schema = vb.schema_of(
         rows,
         f"query_id {vb.type_of(queries, 'query_id')}, id {vb.type_of(rows, 'id')}, "
         "similarity_score double, limit int",
     )
     hits = vb.tile_join(
-        rows, asked, kernels.tile_top_k(dim, arrow_schema), spark_schema, tile_rows
+        rows, asked, kernels.tile_top_k(dim=known[1].shape[1], schema=arrow_schema), spark_schema, tile_rows
     )
     return _ranked(hits)

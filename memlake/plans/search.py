@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from memlake.constants import RECENT_DAYS, RECENT_LIMIT, SEARCH_LIMIT, SEARCH_LIMIT_CAP
 from memlake.functions.text import iso_timestamp
 from memlake.functions.windows import lookback
-from memlake.operators.search import narrowed, top_k, top_k_many
+from memlake.operators.search import ann_top_k, narrowed, top_k, top_k_many
 
 RESULT_COLUMNS = (
     "id", "raw_text", "entry_type", "topics", "projects", "people", "action_items",
@@ -38,9 +38,20 @@ def search_many(entries: DataFrame, queries: DataFrame, **options) -> DataFrame:
     A missing `limit` column means 10; limits above 50 are cut to 50. Texts are fetched
     for the hits only, in a second scan that leaves the vectors alone.
     """
+    return _shown(top_k_many(entries, _limited(queries), **options), entries)
+
+
+def ann_search(entries: DataFrame, index_root: str, queries: DataFrame, probes: int = 10, **options) -> DataFrame:
+    """`search_many` by an index of lists that is kept beside the store (`sources.list_index`)."""
+    return _shown(ann_top_k(index_root, _limited(queries), probes, **options), entries)
+
+
+def _limited(queries: DataFrame) -> DataFrame:
     limit = F.coalesce("limit", F.lit(SEARCH_LIMIT)) if "limit" in queries.columns else F.lit(SEARCH_LIMIT)
-    asked = queries.withColumn("limit", F.least(limit.cast("int"), F.lit(SEARCH_LIMIT_CAP)))
-    hits = top_k_many(entries, asked, **options)
+    return queries.withColumn("limit", F.least(limit.cast("int"), F.lit(SEARCH_LIMIT_CAP)))
+
+
+def _shown(hits: DataFrame, entries: DataFrame) -> DataFrame:
     shown = entries.select(*result_columns(entries))
     return hits.join(shown, "id").select(
         "query_id", "rank", *result_columns(entries), "similarity_score"

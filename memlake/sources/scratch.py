@@ -38,6 +38,13 @@ def holds_files(spark: SparkSession, path: str) -> bool:
     return bool(files.exists(where) and len(files.listStatus(where)))
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none where it is absent."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder once and go on from those files.
 

@@ -429,7 +429,65 @@ FROM ({_to_date('month')}) m, (SELECT sum(total_tokens)::BIGINT AS total_tokens
     "stream_capture": _OUTCOMES,
 }
 
+
+
+def _cos(a, b):
+    return f"round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 12)"
+
+
+# Lists of entries by nearest centroid: the first vector of each label.
+LISTS = f"""
+e AS MATERIALIZED ({V_ENTRIES}),
+c AS MATERIALIZED (SELECT label AS list_id, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+l AS MATERIALIZED (SELECT e.id, e.embedding, c.list_id FROM e, c
+  QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY {_cos('e.embedding', 'c.embedding')} DESC, c.list_id) = 1)
+"""
+
+# Crowded lists give way to two each: the row least like the centroid, and the row least like that one.
+SPLIT_LISTS = LISTS + f""",
+crowded AS (SELECT list_id, row_number() OVER (ORDER BY list_id) AS n FROM (
+  SELECT list_id FROM l GROUP BY list_id HAVING count(*) > (SELECT count(*) // 10 FROM e))),
+far AS MATERIALIZED (SELECT l.list_id, l.embedding FROM l JOIN crowded USING (list_id) JOIN c USING (list_id)
+  QUALIFY row_number() OVER (PARTITION BY l.list_id ORDER BY {_cos('l.embedding', 'c.embedding')}, l.id) = 1),
+farther AS MATERIALIZED (SELECT l.list_id, l.embedding FROM l JOIN far f USING (list_id)
+  QUALIFY row_number() OVER (PARTITION BY l.list_id ORDER BY {_cos('l.embedding', 'f.embedding')}, l.id) = 1),
+child AS MATERIALIZED (SELECT k.list_id AS parent, (SELECT max(list_id) + 1 FROM c) + 2 * (k.n - 1) + s.side AS list_id,
+    CASE s.side WHEN 0 THEN f.embedding ELSE g.embedding END AS embedding
+  FROM crowded k JOIN far f USING (list_id) JOIN farther g USING (list_id), (SELECT 0 AS side UNION ALL SELECT 1) s),
+c2 AS MATERIALIZED (SELECT list_id, embedding FROM c WHERE list_id NOT IN (SELECT list_id FROM crowded)
+  UNION ALL SELECT list_id, embedding FROM child),
+l2 AS MATERIALIZED (SELECT id, embedding, list_id FROM l WHERE list_id NOT IN (SELECT list_id FROM crowded)
+  UNION ALL SELECT l.id, l.embedding, h.list_id FROM l JOIN child h ON h.parent = l.list_id
+  QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY {_cos('l.embedding', 'h.embedding')} DESC, h.list_id) = 1)
+"""
+
+
+def _probed(lists, known, probes):
+    """Queries with the lists they probe."""
+    return f"""
+p AS MATERIALIZED (SELECT q.vec_id AS query_id, q.embedding, c.list_id FROM embeddings q, {known} c
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_cos('q.embedding', 'c.embedding')} DESC, c.list_id) <= {probes}),
+h AS MATERIALIZED (SELECT p.query_id, l.id, list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS sim
+  FROM p JOIN {lists} l USING (list_id))"""
+
+
+def _ann(with_, lists, known):
+    return f"""WITH {with_}, {_probed(lists, known, 4)}
+SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY round(sim, 12) DESC, h.id) AS rank, h.id, e.entry_type,
+  {_list('e.topics')} AS topics, {_list('e.projects')} AS projects, e.source_client, e.relevance_score,
+  strftime(e.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, round(sim, 6) AS similarity_score
+FROM h JOIN e ON e.id = h.id JOIN e o ON o.id = h.query_id
+WHERE h.id <> h.query_id AND e.created_at <= o.created_at + INTERVAL 10 DAY QUALIFY rank <= 3"""
+
+
 ORACLES |= {
+    "ann_search": _ann(LISTS, "l", "c"),
+    "ann_search_split": _ann(SPLIT_LISTS, "l2", "c2"),
+    "ann_recall": f"""WITH {LISTS}, x AS MATERIALIZED ({_search_many('true', 3).replace('WITH e AS (' + V_ENTRIES + '), q AS', 'WITH q AS')})
+""" + " UNION ALL ".join(f"""(WITH {_probed('l', 'c', n)}, b AS (SELECT query_id, id FROM h
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, id) <= 3)
+  SELECT {n} AS probes, count(*) AS wanted, count(b.id) AS found, round(count(b.id) / count(*), 6) AS recall
+  FROM x LEFT JOIN b ON b.query_id = x.query_id AND b.id = x.id)""" for n in (1, 2, 4, 8)),
     "dup_against_store_cells": ORACLES["dup_against_store"],
     "dedupe_batch_tiled": ORACLES["dedupe_batch"],
     "search_many_parts": ORACLES["search_many"],

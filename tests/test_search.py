@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memlake.functions.vectors import cosine, hashed_vector, similarity_to
 from memlake.operators.search import ann_top_k, build_lists, top_k_many
 from memlake.plans.search import as_json, json_safe, recent, search, search_many
+from memlake.sources import list_index
 from memlake.sources.scratch import new_path
 
 TYPES = ("decision", "reference")
@@ -115,6 +116,54 @@ def test_lists(spark, data):
     assert set(r.id for r in typed.collect()) <= {r[0] for r in rows if r[3] == "decision"}
 
 
+def test_lists_take_new_entries_split_and_forget(spark, data):
+    df, _ = data
+    usable = df.where("embedding is not null")
+    root = new_path(spark, "lists")
+    list_index.create(list_index.train(df, 4), root)
+    asks = usable.select(F.col("id").alias("query_id"), "embedding", F.lit(5).alias("limit"))
+    assert ann_top_k(root, asks, 4).count() == 0  # lists without entries
+    list_index.append(df.where("id < 'e060'"), root, "a")
+    list_index.append(df.where("id >= 'e060'"), root, "b")
+    list_index.append(df.where("id >= 'e060'"), root, "b")
+    best = lambda d: {(r.query_id, r["rank"]): r.id for r in d.collect()}
+    exact = best(top_k_many(usable, asks))
+    assert best(ann_top_k(root, asks, 4)) == exact
+    old_ids, _ = list_index.centroids(spark, root)
+    before = {r.list_id: r.rows for r in list_index.sizes(spark, root).collect()}
+    count = list_index.split(spark, root, 30)
+    assert count == sum(n > 30 for n in before.values()) > 0
+    new_ids, _ = list_index.centroids(spark, root)
+    assert len(new_ids) == len(old_ids) + count and not set(new_ids) - set(old_ids) & set(range(len(old_ids)))
+    assert sum(r.rows for r in list_index.sizes(spark, root).collect()) == usable.count()
+    assert best(ann_top_k(root, asks, len(new_ids), tile_rows=16)) == exact
+    # a reader of the former version still finds its lists
+    assert list_index.read(spark, root, list(old_ids)).count() == usable.count()
+    for _ in range(9):  # the third of equal rows stays in one list
+        if not list_index.split(spark, root, 12):
+            break
+    sizes = [r.rows for r in list_index.sizes(spark, root).collect()]
+    assert sum(n > 12 for n in sizes) <= 1 and max(sizes) >= 37
+    assert list_index.vacuum(spark, root) > 0 and list_index.vacuum(spark, root) == 0
+    assert len(list_index.versions(spark, root)) == 1
+    ids, _ = list_index.centroids(spark, root)
+    assert best(ann_top_k(root, asks, len(ids))) == exact
+
+
+def test_lists_obey_filters(spark, data):
+    df, _ = data
+    usable = df.where("embedding is not null")
+    root = new_path(spark, "lists")
+    build_lists(df, root, lists=5)
+    asks = usable.select(
+        F.col("id").alias("query_id"), "embedding", F.lit(7).alias("limit"), F.col("id").alias("exclude_id"),
+        F.when(F.col("id") > "e040", F.col("created_at")).alias("visible_until"),
+        F.when(F.col("id") < "e080", F.col("entry_type")).alias("entry_type"),
+        F.when(F.col("id") < "e020", F.lit("p1")).alias("project"))
+    best = lambda d: sorted((r.query_id, r["rank"], r.id, r.similarity_score) for r in d.collect())
+    assert best(ann_top_k(root, asks, 5)) == best(top_k_many(usable, asks))
+
+
 def test_arrow_and_column_similarity_agree(data):
     df, rows = data
     q = [float(x) for x in rows[3][2]]
