@@ -43,7 +43,7 @@ class WordIds:
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     MARKS = {".": 1, ",": 2}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer, self.plain, self.last = tokenizers(path)
         marks = self._encode(self.tokenizer, list(self.MARKS))
         self.mark_ids = np.array([0, *(int(m[0]) for m in marks)], np.uint32)
@@ -167,8 +167,7 @@ class WordIds:
 
 @functools.cache
 def tokenizers(path: str):
-    """The tokenizer, one for white-space runs of plain letters, and which ids end a word. Kept by
-    a Python worker; the words are a task's own."""
+    """The tokenizer, one for white-space runs of plain letters, and which ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -182,11 +181,17 @@ def tokenizers(path: str):
     return whole, plain, last
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so that its tasks share the bounded number of words it keeps."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, cut where they exceed a sequence."""
 
     def make():
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
 
         def work(cols):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
