@@ -242,14 +242,26 @@ def dedupe_batch_tiled(spark, sf_dir):
 
 
 def search_many_parts(spark, sf_dir):
-    """The same in several parts, as queries beyond the broadcast size go."""
+    """The same by tiles of cells, as queries beyond the broadcast size go."""
     asks = _asks(spark, sf_dir).withColumn("limit", F.lit(3))
     return _shown(
-        search.search_many(views.v_entries(spark, sf_dir), asks, broadcast_bytes=64 * 8 * 200)
+        search.search_many(views.v_entries(spark, sf_dir), asks, broadcast_bytes=64 * 8 * 200, cells=8,
+                           tile_rows=512)
         .select("query_id", "rank", "id", "entry_type", "similarity_score")
     )
 
 
+def search_many_filtered_parts(spark, sf_dir):
+    """Every entry searches its own type among entries other than itself, by tiles of cells."""
+    own = views.v_entries(spark, sf_dir).select(
+        F.col("id").alias("query_id"), "embedding", F.lit(5).alias("limit"), "entry_type", F.col("id").alias("exclude_id"),
+        (F.col("created_at") + F.make_dt_interval(F.lit(10))).alias("visible_until"))
+    return _shown(
+        search.search_many(views.v_entries(spark, sf_dir), own, broadcast_bytes=1, cells=8, tile_rows=512)
+        .select("query_id", "rank", "id", "similarity_score")
+    )
+
+
 def usage_cost_exact(spark, sf_dir):
     """Costs to all 8 places."""
     return _usage(spark, sf_dir).select("id", "total_tokens", F.col("estimated_cost").cast("string").alias("estimated_cost"))
@@ -483,6 +495,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dup_against_store_cells": dup_against_store_cells,
         "dedupe_batch_tiled": dedupe_batch_tiled,
         "search_many_parts": search_many_parts,
+        "search_many_filtered_parts": search_many_filtered_parts,
         "search_clamped": lambda s, d: search_topk(s, d, limit=99),
         "usage_cost_exact": usage_cost_exact,
         "user_turns": turns(pick.user_turns),

@@ -19,6 +19,8 @@ DECIMALS = 12
 # Score cells held at once by one task.
 BLOCK_CELLS = 4_000_000
 _NO_VECTOR = -2.0
+# Wider than the rounding of an angle.
+_ANGLE_SLACK = 1e-6
 # Nearest anchors whose planes bound which cells a row visits.
 PLANES = 8
 # Wider than the rounding of sketches, which are kept as floats.
@@ -95,7 +97,7 @@ def _best(query, score, ident, limits):
     """Keep the first limits[q] of each query by score, then id."""
     order = np.lexsort((ident, -score, query))
     query, score, ident = query[order], score[order], ident[order]
-    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else []
+    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=np.int64)
     rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
     keep = rank < limits[query]
     return query[keep], score[keep], ident[keep]
@@ -494,8 +496,59 @@ def tile_blockers(threshold, dim, schema):
     return run
 
 
-def tile_top_k(dim, schema):
-    """Cogrouped tile: the best home rows of each probing query."""
+def home_cells(anchors, dim, schema):
+    """mapInArrow: rows with the cell of their nearest anchor and the angle to it; -1 and null for
+    rows without a usable vector."""
+
+    def run(batches):
+        for batch in batches:
+            rows, usable = unit_rows(batch.column("embedding"), dim)
+            dots = rows @ anchors.T
+            cell = np.where(usable, dots.argmax(axis=1), -1) if len(anchors) else np.full(len(rows), -1)
+            angle = np.arccos(np.clip(dots.max(axis=1), -1, 1)) if len(anchors) else np.zeros(len(rows))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int64()), pa.array(angle, mask=cell < 0)], schema=schema
+            )
+
+    return run
+
+
+def next_cells(anchors, rings, dim, first, last, schema):
+    """mapInArrow: queries with those of their cells, from the `first` to before the `last` in order
+    of what a cell can hold at best, that may still hold one of their best rows.
+
+    `rings` has the least and greatest angle to its anchor of each cell's rows, NaN without rows. A row
+    whose angle to the anchor differs from the query's by so much is at least as far from the query.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows, usable = unit_rows(batch.column("embedding"), dim)
+            angle = np.arccos(np.clip(rows @ anchors.T, -1, 1))
+            least = np.maximum(0, np.maximum(angle - rings[:, 1], rings[:, 0] - angle) - _ANGLE_SLACK)
+            bound = np.where(np.isnan(least), -np.inf, np.cos(least))
+            bound[~usable] = np.where(np.isnan(rings[:, 0]), -np.inf, _NO_VECTOR)
+            bound = np.hstack([bound, np.full((len(rows), 1), _NO_VECTOR)])  # rows without a vector
+            order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
+            floor = batch.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            value = np.take_along_axis(bound, order, 1)
+            row, at = np.nonzero((value >= floor[:, None] - _SLACK) & (value > -np.inf))
+            cell = order[row, at]
+            keep = pa.array(row)
+            columns = [batch.column(name).take(keep) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.where(cell == len(anchors), -1, cell), pa.int64())], schema=schema
+            )
+
+    return run
+
+
+def tile_top_k(dim, schema, complete=False):
+    """Cogrouped tile: the best home rows of each probing query, and none below its floor.
+
+    With `complete`, rows or queries without a usable vector count too, behind all others and with
+    a null score.
+    """
 
     def run(homes, probes):
         if not homes.num_rows or not probes.num_rows:
@@ -506,6 +559,11 @@ def tile_top_k(dim, schema):
         ident = sortable(homes.column("id"))
         query_id = probes.column("query_id").combine_chunks()
         k = int(limits.max())
+        if k <= 0:
+            return schema.empty_table()
+        floor = None
+        if "floor" in probes.column_names:
+            floor = probes.column("floor").combine_chunks().fill_null(-np.inf).to_numpy()
         parts = []
         step = max(1, BLOCK_CELLS // len(rows))
         batch = homes.combine_chunks().to_batches()[0]
@@ -515,15 +573,22 @@ def tile_top_k(dim, schema):
         for lo in range(0, len(asks), step):
             hi = min(len(asks), lo + step)
             ok = _allowed(batch, names, ask, lo, hi)
-            ok &= usable[:, None] & asked[None, lo:hi]
-            row, col, val = _candidates(rows @ asks[lo:hi].T, ok, k)
+            block = rows @ asks[lo:hi].T
+            both = usable[:, None] & asked[None, lo:hi]
+            if complete:
+                block[~both] = _NO_VECTOR
+            else:
+                ok &= both
+            if floor is not None:
+                ok &= block >= floor[lo:hi] - _SLACK
+            row, col, val = _candidates(block, ok, k)
             parts.append(_best(col + lo, val, ident[row], limits))
         query, val, ident = (np.concatenate(p) for p in zip(*parts))
         return pa.table(
             [
                 query_id.take(pa.array(query)),
                 pa.array(ident, schema.field(1).type),
-                pa.array(val),
+                pa.array(val, mask=val <= _NO_VECTOR),
                 pa.array(limits[query], pa.int32()),
             ],
             schema=schema,

@@ -44,46 +44,88 @@ def _ranked(hits: DataFrame) -> DataFrame:
     """Merge the local bests of each query; every task sent at most `limit` rows of it."""
     by_score = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity_score"), "id")
     ranked = hits.withColumn("rank", F.row_number().over(by_score))
-    return ranked.where(F.col("rank") <= F.col("limit")).drop("limit")
+    return ranked.where(F.col("rank") <= F.col("limit"))
+
+
+def _payload(queries: DataFrame) -> tuple[int, int, int]:
+    """Number of queries, their dimension, and about how many bytes they take in memory."""
+    texts = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in queries.columns if c != "embedding"]
+    n, dim, rest = queries.agg(
+        F.count("*"), F.max(F.size("embedding")), F.sum(sum(texts, F.lit(16 * len(texts))).cast("bigint"))).first()
+    return n, dim or 0, n * (dim or 0) * 8 + (rest or 0)
 
 
 def top_k_many(
-    entries: DataFrame, queries: DataFrame, *, broadcast_bytes: int = vb.BROADCAST_BYTES
+    entries: DataFrame, queries: DataFrame, *, broadcast_bytes: int = vb.BROADCAST_BYTES,
+    tile_rows: int = vb.TILE_ROWS, cells: int | None = None, report: list | None = None,
 ) -> DataFrame:
     """Exact top-k of many queries -> (query_id, id, similarity_score, rank).
 
     `queries` holds query_id, embedding, limit and optionally entry_type, project,
-    visible_until (only entries created by then) and exclude_id. Queries are broadcast in
-    parts of a checked size; entries are scanned where they lie, once per part, and only
-    k rows per query leave a task.
+    visible_until (only entries created by then) and exclude_id. Queries whose counted size is
+    below `broadcast_bytes` are broadcast: entries are scanned where they lie, and only k rows
+    per query leave a task. More queries meet the entries tile by tile, see `_by_cells`.
     """
-    n, dim = vb.size_and_dim(queries)
-    id_type, query_type = vb.type_of(entries, "id"), vb.type_of(queries, "query_id")
-    spark_schema, arrow_schema = vb.schema_of(
-        entries, f"query_id {query_type}, id {id_type}, similarity_score double, limit int"
-    )
-    parts = vb.parts_for(n, dim, broadcast_bytes)
-    if parts > 1:
-        queries = cut(queries)
-    needed = ["id", "embedding"]
-    for column, name in (("entry_type", "entry_type"), ("project", "projects"),
-                         ("visible_until", "created_at")):
+    n, dim, size = _payload(queries)
+    columns = ["id", "embedding"]
+    for column, name in (("entry_type", "entry_type"), ("project", "projects"), ("visible_until", "created_at")):
         if column in queries.columns:
-            needed.append(name)
-    kept = None
-    for no in range(parts):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == no)
-        shared = vb.share(queries, _ask(queries if parts == 1 else part, dim))
-        found = _ranked(
-            entries.select(*needed).mapInArrow(
-                kernels.scan_top_k(shared, arrow_schema), spark_schema
-            )
-        )
-        if parts > 1:  # one part in memory at a time
-            found = cut(found)
-            shared.destroy()
-        kept = found if kept is None else kept.unionByName(found)
-    return kept
+            columns.append(name)
+    entries = entries.select(*columns)
+    spark_schema, arrow_schema = vb.schema_of(
+        entries, f"query_id {vb.type_of(queries, 'query_id')}, id {vb.type_of(entries, 'id')}, "
+        "similarity_score double, limit int")
+    if size > broadcast_bytes:
+        found = _by_cells(entries, queries, dim, (spark_schema, arrow_schema), tile_rows, cells, report)
+    else:
+        shared = vb.share(queries, _ask(queries, dim))
+        found = _ranked(entries.mapInArrow(kernels.scan_top_k(shared, arrow_schema), spark_schema))
+    return found.drop("limit")
+
+
+def _by_cells(entries, queries, dim, schemas, tile_rows, cells, report):
+    """Queries and entries meet in tiles of a cell; queries never pass the driver.
+
+    Entries lie in the cell of their nearest anchor, and each cell knows between which angles to
+    its anchor they lie. A query visits its most promising cell first, then the next two, four and so on.
+    From its k best so far it has a floor, and goes only to cells that can hold something as good;
+    a tile returns nothing below the floor. `report` gets the visits of each round.
+    """
+    count = entries.count()
+    usable = entries.where(vectors.has_length("embedding")).select("id", "embedding")
+    anchors = vb.pick_anchors(usable, count, dim, cells)
+    anchors = anchors.reshape(-1, dim)
+    ddl = ", ".join(f"{c} {vb.type_of(entries, c)}" for c in entries.columns) + ", cell bigint, angle double"
+    spark_schema, arrow_schema = vb.schema_of(entries, ddl)
+    placed = cut(entries.mapInArrow(kernels.home_cells(anchors, dim, arrow_schema), spark_schema))
+    rings = np.full((len(anchors), 2), np.nan)
+    for cell, least, most in placed.where("cell >= 0").groupBy("cell").agg(F.min("angle"), F.max("angle")).collect():
+        rings[cell] = least, most  # one row a cell
+    placed = placed.drop("angle")
+    queries = cut(queries)
+    best, state = None, queries.withColumn("floor", F.lit(None).cast("double"))
+    first = 0
+    while first <= len(anchors):
+        last = 2 * first + 1
+        ddl = ", ".join(f"{c} {vb.type_of(state, c)}" for c in state.columns) + ", cell bigint"
+        spark_schema, arrow_schema = vb.schema_of(state, ddl)
+        visits = kernels.next_cells(anchors, rings, dim, first, last, arrow_schema)
+        asked = cut(state.mapInArrow(visits, spark_schema).withColumn("id", F.col("query_id")))
+        visited = asked.count()
+        if report is not None:
+            report.append(visited)
+        if not visited:
+            break
+        hits = vb.tile_join(placed, asked, kernels.tile_top_k(dim, schemas[1], complete=True), schemas[0], tile_rows)
+        best = cut(_ranked(hits if best is None else hits.unionByName(best.drop("rank"))))
+        floors = best.groupBy("query_id").agg(
+            F.min(F.coalesce("similarity_score", F.lit(-2.0))).alias("least"), (F.count("*") >= F.max("limit")).alias("full"))
+        state = queries.join(floors, "query_id", "left").withColumn("floor", F.when(F.col("full"), F.col("least"))).drop(
+            "least", "full")
+        first = last
+    if best is None:
+        return queries.sparkSession.createDataFrame([], schemas[0].add("rank", "int"))
+    return best
 
 
 def build_lists(entries: DataFrame, path: str, lists: int = IVF_LISTS, seed: int = 17) -> None:
@@ -120,4 +162,4 @@ def ann_top_k(
     hits = vb.tile_join(
         rows, asked, kernels.tile_top_k(dim=known[1].shape[1], schema=arrow_schema), spark_schema, tile_rows
     )
-    return _ranked(hits)
+    return _ranked(hits).drop("limit")

@@ -8,7 +8,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from memlake.functions import kernels
 
-# A matrix is broadcast only below this size; larger sides are cut into such parts or tiled.
+# A matrix is broadcast only below this size; larger sides are tiled.
 BROADCAST_BYTES = 64 << 20
 # Rows per side of one tile, and per part admitted in one task.
 TILE_ROWS = 4096
@@ -34,10 +34,6 @@ def size_and_dim(df: DataFrame, column: str = "embedding") -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
-def parts_for(n: int, dim: int, broadcast_bytes: int) -> int:
-    return max(1, -(-n * dim * 8 // broadcast_bytes))
-
-
 def fetch(df: DataFrame) -> pa.Table:
     """A part whose size the caller has bounded, as one Arrow table."""
     return df.toArrow()
@@ -52,7 +48,7 @@ def pick_anchors(df: DataFrame, n: int, dim: int, cells: int | None) -> np.ndarr
     cells = cells or min(MAX_CELLS, max(1, -(-n // CELL_ROWS)))
     picked = fetch(df.select("embedding").orderBy(F.xxhash64("id"), "id").limit(cells))
     rows, usable = kernels.unit_rows(picked.column("embedding"), dim)
-    return np.unique(rows[usable], axis=0)
+    return np.unique(rows[usable], axis=0).reshape(-1, dim)
 
 
 def pick_pivots(anchors: np.ndarray) -> np.ndarray:

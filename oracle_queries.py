@@ -491,6 +491,11 @@ ORACLES |= {
     "dup_against_store_cells": ORACLES["dup_against_store"],
     "dedupe_batch_tiled": ORACLES["dedupe_batch"],
     "search_many_parts": ORACLES["search_many"],
+    "search_many_filtered_parts": f"""
+WITH e AS MATERIALIZED ({V_ENTRIES}), h AS (SELECT q.id AS query_id, e.id, {SIM} AS sim FROM e JOIN e q
+  ON e.entry_type = q.entry_type AND e.id <> q.id AND e.created_at <= q.created_at + INTERVAL 10 DAY)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, id) AS rank, id,
+  round(sim, 6) AS similarity_score FROM h QUALIFY rank <= 5""",
     "stream_capture_batches": ORACLES["stream_capture"],
     "search_clamped": _search("true", 50),
     "usage_cost_exact": f"SELECT id, total_tokens, CAST(estimated_cost AS VARCHAR) AS estimated_cost FROM ({V_USAGE})",

@@ -81,6 +81,37 @@ def test_many_queries(data, broadcast_bytes):
         assert [ranks[i + 1] for i in range(len(want))] == want and len(ranks) == len(want)
 
 
+@pytest.mark.parametrize("cells", [1, 3, 11])
+def test_tiles_equal_the_broadcast(spark, data, cells):
+    df, _ = data
+    asks = df.select(
+        F.col("id").alias("query_id"), "embedding", F.when(F.col("id") > "e100", 60).otherwise(4).alias("limit"),
+        F.when(F.col("id") < "e030", F.col("entry_type")).alias("entry_type"),
+        F.when(F.col("id") > "e110", F.lit("p2")).alias("project"), F.col("id").alias("exclude_id"),
+        F.when(F.col("id") > "e060", F.col("created_at")).alias("visible_until"))
+    rows = lambda d: sorted((r.query_id, r["rank"], r.id, repr(r.similarity_score)) for r in d.collect())
+    want = rows(top_k_many(df, asks))
+    assert rows(top_k_many(df, asks, broadcast_bytes=1, cells=cells, tile_rows=16)) == want
+    assert len(want) > 400
+    nothing = df.where("id < ''")
+    assert top_k_many(nothing, asks, broadcast_bytes=1).count() == 0
+    assert rows(top_k_many(df.where("embedding is null"), asks, broadcast_bytes=1, cells=2)) == rows(
+        top_k_many(df.where("embedding is null"), asks))
+
+
+def test_floors_leave_far_cells_out(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((12, 16)) * 4
+    vectors = centres[rng.integers(12, size=900)] + rng.standard_normal((900, 16)) * 0.4
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id bigint, embedding array<float>")
+    asks = df.select(F.col("id").alias("query_id"), "embedding", F.lit(5).alias("limit"))
+    report = []
+    tiled = top_k_many(df, asks, broadcast_bytes=1, cells=24, report=report)
+    plain = top_k_many(df, asks)
+    assert tiled.exceptAll(plain).count() == 0 and tiled.count() == plain.count() == 4500
+    assert report[0] == 900 and sum(report) < 900 * 24 / 2
+
+
 def test_visible_until_and_exclude(data, spark):
     df, rows = data
     until = datetime(2024, 1, 9)
