@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.constants import MAX_ATTEMPTS, STORE_LABELS, TAG_COLUMNS
 from memlake.functions import text as ft
+from memlake.sources.scratch import cut
 
 OPERATIONS = ("classify", "extract", "embed")
 
@@ -87,71 +88,108 @@ def parse_attempts(responses: DataFrame) -> DataFrame:
     )
 
 
-def _folded(operation=None):
-    """Aggregates over parsed attempts: the first good or fatal one, the last error, and the
-    answered attempts by number. Repeated copies of an attempt fold before the shuffle."""
-    mine = F.lit(True) if operation is None else F.col("operation") == operation
-    ends = F.col("status").isin("good", "fatal")
-    slot = F.struct(
-        "operation", "attempt", "model",
-        F.coalesce("prompt_eval_count", F.lit(0)).alias("prompt_tokens"),
-        F.when(F.col("operation") == "embed", 0)
-        .otherwise(F.coalesce("eval_count", F.lit(0))).alias("completion_tokens"),
+# A deciding attempt as one integer, so that the earliest is a minimum over longs: its number,
+# whether it is good or fatal, and a hash of its payload, which settles between unlike copies.
+_HASH_BITS = 48
+_PAYLOAD = {"classify": "gate", "extract": "meta", "embed": "embedding"}
+
+
+def _packed() -> Column:
+    hashed = F.shiftrightunsigned(F.xxhash64("gate", "meta", "embedding"), 64 - _HASH_BITS)
+    code = F.col("attempt").cast("bigint") * 2 + (F.col("status") == "fatal").cast("bigint")
+    return F.when(F.col("status").isin("good", "fatal"), F.shiftleft(code, _HASH_BITS) + hashed)
+
+
+def _attempts(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed attempts without vectors, written once; vectors of good attempts)."""
+    operation, none = F.col("operation"), F.lit(0)
+    tokens = F.shiftleft(F.coalesce("prompt_eval_count", none).cast("bigint"), 32) + F.when(
+        operation == "embed", 0).otherwise(F.coalesce("eval_count", none)).cast("bigint")
+    parsed = parse_attempts(responses).withColumns({"packed": _packed(), "tokens": tokens})
+    light = cut(parsed.select(
+        "request_id", "operation", "attempt", "model", "error", "gate", "meta", "packed",
+        F.when(F.col("error").isNull(), F.col("tokens")).alias("tokens")))
+    return light, parsed.where((operation == "embed") & F.col("packed").isNotNull()).select(
+        "request_id", "packed", "embedding")
+
+
+def _resolved(light: DataFrame, vectors: DataFrame, operation: str, named: bool) -> DataFrame:
+    """request_id, attempt, status, payload, last_error, used of one operation.
+
+    The deciding attempt and the tokens of all come from a hash aggregate over longs, whatever
+    the payloads weigh; then the payload of the deciding attempt alone is fetched.
+    """
+    mine = light.where(F.col("operation") == operation)
+    numbers = range(1, MAX_ATTEMPTS + 1)
+    decided = mine.groupBy("request_id").agg(
+        F.min("packed").alias("packed"),
+        *[F.min(F.when(F.col("attempt") == i, F.col("tokens"))).alias(f"slot{i}") for i in numbers],
     )
-    payload = {"classify": ("gate",), "extract": ("meta",), "embed": ("embedding",)}.get(
-        operation, ("gate", "meta", "embedding")
+    column = _PAYLOAD[operation]
+    payload = vectors if operation == "embed" else mine.where("packed is not null").select("request_id", "packed", column)
+    # one exchange serves the folding of copies and the join
+    payload = payload.repartition("request_id", "packed").distinct()
+    found = decided.join(payload, ["request_id", "packed"], "left")
+    if named:  # texts travel only where the answers carry any
+        told = mine.groupBy("request_id").agg(
+            F.max(F.struct("attempt", "error"))["error"].alias("last_error"),
+            F.array(*[F.min(F.when((F.col("attempt") == i) & F.col("error").isNull(), F.col("model"))) for i in numbers])
+            .alias("models"))
+        found = found.join(told, "request_id")
+    else:
+        found = found.withColumns({
+            "last_error": F.lit(None).cast("string"),
+            "models": F.array(*[F.lit(None).cast("string") for _ in numbers])})
+    attempt = F.shiftright("packed", _HASH_BITS + 1).cast("int")
+    fatal = F.shiftright("packed", _HASH_BITS).bitwiseAND(F.lit(1)) == 1
+    slots = F.array(*[
+        F.when(F.col(f"slot{i}").isNotNull(), F.struct(
+            F.lit(operation).alias("operation"), F.lit(i).alias("attempt"), F.col("models")[i - 1].alias("model"),
+            F.shiftright(f"slot{i}", 32).cast("int").alias("prompt_tokens"),
+            F.col(f"slot{i}").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("completion_tokens")))
+        for i in numbers])
+    made = F.coalesce(attempt, F.lit(MAX_ATTEMPTS))  # a run makes no attempt after the deciding one
+    return found.select(
+        "request_id", attempt.alias("attempt"),
+        F.when(F.col("packed").isNull(), "failed").when(fatal, "fatal").otherwise("good").alias("status"),
+        column, "last_error", F.filter(slots, lambda s: s["attempt"] <= made).alias("used"),
     )
-    name = f"{operation}_" if operation else ""
-    return [
-        F.min(F.when(mine & ends, F.struct("attempt", "status", *payload))).alias(f"{name}final"),
-        F.max(F.when(mine, F.struct("attempt", "error"))).alias(f"{name}last"),
-        *[
-            F.min(F.when(mine & (F.col("attempt") == i) & F.col("error").isNull(), slot))
-            .alias(f"{name}slot{i}")
-            for i in range(1, MAX_ATTEMPTS + 1)
-        ],
-    ]
 
 
-def _used(name=""):
-    """The answered attempts that a run would have made: none after the deciding one."""
-    made = F.coalesce(f"{name}final.attempt", F.lit(MAX_ATTEMPTS))
-    slots = F.array(*[f"{name}slot{i}" for i in range(1, MAX_ATTEMPTS + 1)])
-    return F.filter(slots, lambda s: s["attempt"] <= made)
+def _each(responses: DataFrame) -> dict[str, DataFrame]:
+    named = bool({"model", "error"} & set(responses.columns))
+    light, vectors = _attempts(responses)
+    return {operation: _resolved(light, vectors, operation, named) for operation in OPERATIONS}
 
 
 def resolve_attempts(responses: DataFrame) -> DataFrame:
     """Per request and operation: the first good or fatal attempt, and what the run consumed.
 
-    One shuffle with partial aggregation. `used` lists the answered attempts a run would
-    have made, with their token counts.
+    `used` lists the answered attempts a run would have made, with their token counts. Copies of
+    an attempt count once; of unlike ones the payload with the least hash stands.
     """
-    folded = parse_attempts(responses).groupBy("request_id", "operation").agg(*_folded())
-    return folded.select(
-        "request_id", "operation", F.col("final.attempt").alias("attempt"),
-        F.coalesce("final.status", F.lit("failed")).alias("status"),
-        "final.gate", "final.meta", "final.embedding",
-        F.col("last.error").alias("last_error"), _used().alias("used"),
-    )
+    kinds = {"gate": _GATE, "meta": _META, "embedding": "array<float>"}
+    out = None
+    for operation, rows in _each(responses).items():
+        if operation == "embed":
+            kinds["embedding"] = rows.schema["embedding"].dataType
+        part = rows.select(
+            "request_id", F.lit(operation).alias("operation"), "attempt", "status",
+            *[F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()],
+            "last_error", "used")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def resolve_requests(responses: DataFrame) -> DataFrame:
-    """All three operations of a request in one row, from one shuffle: structs classify,
-    extract and embed, each with its payload, last error and `used` attempts."""
-    folds = [fold for operation in OPERATIONS for fold in _folded(operation)]
-    folded = parse_attempts(responses).groupBy("request_id").agg(*folds)
-
-    def stage(operation, payload):
-        name = f"{operation}_"
-        return F.struct(
-            F.coalesce(f"{name}final.status", F.lit("failed")).alias("status"),
-            f"{name}final.{payload}", F.col(f"{name}last.error").alias("last_error"),
-            _used(name).alias("used"),
-        ).alias(operation)
-
-    return folded.select(
-        "request_id", stage("classify", "gate"), stage("extract", "meta"), stage("embed", "embedding")
-    )
+    """All three operations of a request in one row: structs classify, extract and embed, each with
+    its payload, last error and `used` attempts; null where an operation has no attempt."""
+    out = None
+    for operation, rows in _each(responses).items():
+        part = rows.select("request_id", F.struct(
+            "status", _PAYLOAD[operation], "last_error", "used").alias(operation))
+        out = part if out is None else out.join(part, "request_id", "full_outer")
+    return out
 
 
 def gate_results(resolved: DataFrame) -> DataFrame:

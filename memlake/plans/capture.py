@@ -70,7 +70,8 @@ def judge(requests: DataFrame, resolved: DataFrame) -> DataFrame:
         # Metadata and vectors are asked for only where the gate lets the text through.
         F.concat(
             F.coalesce("classify.used", no_use),
-            F.when(~fatal & label.isin(*STORE_LABELS), F.concat("extract.used", "embed.used"))
+            F.when(~fatal & label.isin(*STORE_LABELS), F.concat(
+                F.coalesce("extract.used", no_use), F.coalesce("embed.used", no_use)))
             .otherwise(no_use),
         ).alias("used"),
     )
