@@ -339,15 +339,21 @@ def store_roundtrip(spark, sf_dir):
     )
 
 
-def rule_metadata(spark, sf_dir):
-    """The dictionary is every language and source name that the documents use."""
+def _terms(spark, sf_dir) -> DataFrame:
+    """Languages and sources of the documents, nations, and the opening words of benchmark items."""
     docs = views.table(spark, sf_dir, "documents")
-    terms = docs.select(F.col("lang").alias("term"), F.lit("topics").alias("kind")).distinct()
-    people = views.table(spark, sf_dir, "nation").select(
-        F.initcap("n_name").alias("term"), F.lit("people").alias("kind"))
-    texts = docs.select(F.col("doc_id").alias("request_id"), "text")
-    return _shown(stand_ins.rule_metadata(texts, terms.unionByName(people)).select(
-        "request_id", "entry_type", "topics", "people", "projects"))
+    named = lambda c, kind: (c.alias("term"), F.lit(kind).alias("kind"))
+    people = views.table(spark, sf_dir, "nation").select(*named(F.initcap("n_name"), "people"))
+    openings = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+    return docs.select(*named(F.col("lang"), "topics")).unionByName(docs.select(*named(F.col("source"), "projects"))).unionByName(
+        people).unionByName(views.table(spark, sf_dir, "benchmark").select(*named(openings, "projects"))).distinct()
+
+
+def rule_metadata(spark, sf_dir, **options):
+    texts = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
+    return _shown(stand_ins.rule_metadata(texts, _terms(spark, sf_dir), **options).select(
+        "request_id", "entry_type", "topics", "people", "projects",
+        F.md5(F.array_join("action_items", "|")).alias("action_items_md5")))
 
 
 def hashed_vectors(spark, sf_dir):
@@ -512,6 +518,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_gate": documents(lambda t: stand_ins.rule_gate(t).select(
             "request_id", "label", "confidence", "should_store")),
         "rule_metadata": rule_metadata,
+        "rule_metadata_parts": lambda s, d: rule_metadata(s, d, dictionary_bytes=3000),
         "hashed_vectors": hashed_vectors,
         "stream_daily": stream_daily,
         "stream_usage": stream_usage,

@@ -620,6 +620,50 @@ def greedy_block(threshold, dim, schema):
     return run
 
 
+def dictionary_finds(shared, kinds, no_cue):
+    """Scalar Arrow function over spaced texts: rank of the first cue, sorted terms of each kind.
+
+    The automaton is built once a Python worker, beside the broadcast terms.
+    """
+
+    def built():
+        import ahocorasick
+
+        held = shared.value
+        if "automaton" not in held:
+            runs = {}
+            for kind, term, run in held["terms"]:
+                runs.setdefault(run, []).append((kinds.index(kind), term))
+            for rank, run in held["cues"]:
+                runs.setdefault(run, []).append((-1, rank))
+            automaton = ahocorasick.Automaton()
+            for no, run in enumerate(runs):
+                automaton.add_word(f" {run} ", no)
+            automaton.make_automaton()
+            held["automaton"], held["finds"] = automaton, list(runs.values())
+        return held["automaton"], held["finds"]
+
+    def find(column: pa.Array) -> pa.Array:
+        automaton, finds = built()
+        cues, lists = [], [[] for _ in kinds]
+        for text in column.to_pylist():
+            cue, found = no_cue, [set() for _ in kinds]
+            for no in {no for _, no in automaton.iter(text or "")}:
+                for kind, what in finds[no]:
+                    if kind < 0:
+                        cue = min(cue, what)
+                    else:
+                        found[kind].add(what)
+            cues.append(cue)
+            for out, mine in zip(lists, found):
+                out.append(sorted(mine))
+        return pa.StructArray.from_arrays(
+            [pa.array(cues, pa.int32()), *[pa.array(x, pa.list_(pa.string())) for x in lists]], ["cue", *kinds]
+        )
+
+    return find
+
+
 def bucket_counts(dim):
     """Scalar Arrow function: words of each row -> unit-length count vector.
 

@@ -178,3 +178,8 @@ def words(text) -> Column:
 def has_words(text, n: int) -> Column:
     """True when the text has at least n words; stops reading at the n-th."""
     return F.rlike(text, F.lit(f"^{_GAP}*+(?:{_WORD}++{_GAP}++){{{n - 1}}}{_WORD}"))
+
+
+def spaced(text) -> Column:
+    """The words of a text, each with a space before and behind it."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), f"{_GAP}+", " "), F.lit(" "))

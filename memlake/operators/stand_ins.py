@@ -1,37 +1,47 @@
-"""Rule-based stand-ins for the three model stages, for data that has no model answers."""
+"""Rule-based stand-ins for the three model stages, for data that has no model answers.
+
+The rules follow from what a message is made of, not from examples: a line of a program's output
+starts with a log level; a courtesy has no word but courtesies; a modal verb asks for an action, a
+verb of choosing tells a decision, a word for a stretch of planned work belongs to a project note, and
+a word for a place in a document is a reference. What has none of these is an observation.
+"""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from memlake.functions.text import has_words, strip, words
+from memlake.functions import kernels
+from memlake.functions.text import has_words, spaced, strip, words
+from memlake.operators import vector_blocks as vb
+from memlake.sources.scratch import cut
 
-# Fixed patterns of the rule gate and rule metadata.
-NOISE = (
-    r"(?i)^(error|exception|traceback|fatal|warning|segfault)\b|"
-    r"^(please )?(format|rewrite|reformat|output|return) (your|the|this|my) (response|answer|reply|text|output)\b"
-)
-ERROR_CODE = r"\bE[A-Z]{4,}: "
-SMALL_TALK = (
-    r"(?i)^(hi|hey|hello|howdy|haha|lol|thanks|thank you|good (morning|afternoon|evening|night)|"
-    r"how are you|what'?s up|what time is it|see you|bye|nice one)\b"
+# Log levels that start a line of program output.
+LOG_LEVELS = ("trace", "debug", "info", "notice", "warn", "warning", "error", "severe", "fatal", "critical")
+LOG_LINE = r"(?i)^[^\p{L}]*(" + "|".join(LOG_LEVELS) + r")\s*[\]):|=-]"
+# Words of greeting, thanks, assent and farewell.
+COURTESIES = (
+    "hello", "hi", "hey", "welcome", "greetings", "good", "morning", "day", "evening", "night",
+    "thanks", "thank", "you", "please", "cheers", "sorry", "yes", "no", "ok", "okay", "sure", "fine", "nice",
+    "great", "bye", "goodbye", "farewell",
 )
-# Entry types by single words and by runs of words, in order of precedence.
-TYPE_RULES = (
-    ("project_note", ("standup", "milestone", "sprint"), ("meeting notes", "stand up", "sync notes", "status update")),
-    ("action_item", ("todo", "assign", "assigned"), ("action item", "follow up", "need to", "needs to", "must be done")),
-    ("decision", ("decided", "decision", "chose", "chosen"), ("we will use", "going with", "agreed to", "agreed on")),
-    ("observation", ("noticed", "observed", "seems", "appears"), ("might be", "found that", "root cause")),
-    ("reference", ("use", "uses", "default", "documentation", "api", "config", "version", "command"), ("runs in",)),
+# Cues of entry types in order of precedence; several words are a run.
+TYPE_CUES = (
+    ("action_item", ("must", "should", "ought to", "have to", "has to", "todo", "remember to")),
+    ("decision", ("choose", "chosen", "decide", "decided", "select", "selected", "prefer", "opt for", "settle on")),
+    ("project_note", ("project", "roadmap", "phase", "iteration", "deadline", "release plan")),
+    ("reference", ("chapter", "section", "page", "manual", "appendix", "footnote", "http", "https", "see also")),
 )
 MIN_WORDS = 4
-MAX_SMALL_TALK = 20
 
 
 def rule_label(text) -> Column:
-    """too_short, chit_chat, system_noise or store, by pattern and word count."""
+    """system_noise, chit_chat, too_short or store, in this order of precedence."""
     clean = strip(text)
+    courtesies = F.array(*[F.lit(w) for w in COURTESIES])
+    said = words(F.substring(clean, 1, 400))
+    # a text longer than all courtesies together is none; its words are not listed
+    polite = (F.length(clean) < 400) & (F.size(said) > 0) & (F.size(F.array_except(said, courtesies)) == 0)
     return (
-        F.when(clean.rlike(NOISE) | clean.rlike(ERROR_CODE), "system_noise")
-        .when(clean.rlike(SMALL_TALK) & ~has_words(text, MAX_SMALL_TALK + 1), "chit_chat")
+        F.when(clean.rlike(LOG_LINE), "system_noise")
+        .when(polite, "chit_chat")
         .when(~has_words(text, MIN_WORDS), "too_short")
         .otherwise("store")
     )
@@ -47,54 +57,51 @@ def rule_gate(texts: DataFrame) -> DataFrame:
     )
 
 
-def rule_entry_type(word_list, spaced) -> Column:
-    """Entry type from the words of a text, given as a list and as spaced text."""
-    kind = F.lit("observation")
-    for name, single, runs in reversed(TYPE_RULES):
-        hit = F.arrays_overlap(word_list, F.array(*[F.lit(w) for w in single]))
-        for run in runs:
-            hit = hit | F.contains(spaced, F.lit(f" {run} "))
-        kind = F.when(hit, name).otherwise(kind)
-    return kind
+_KINDS = ("topics", "people", "projects")
 
 
-def rule_metadata(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def rule_metadata(texts: DataFrame, gazetteer: DataFrame, *, dictionary_bytes: int = vb.BROADCAST_BYTES) -> DataFrame:
     """(request_id, text) + (term, kind: topics | people | projects) -> metadata per request.
 
-    Terms match as runs of whole words, without regard to case. The distinct words of a
-    text meet the terms that start with them in an equi-join; Spark broadcasts the
-    dictionary while it is small. Longer terms are then looked up in the whole text.
+    Terms match as runs of whole words, without regard to case. All terms and cues are one
+    Aho-Corasick automaton, and one pass over a text finds them all where the text lies. A
+    dictionary whose counted size exceeds `dictionary_bytes` is cut into parts that each fit, with
+    one pass for each, and a request's finds are put together by an aggregate.
     """
-    parts = words("term")
-    terms = gazetteer.select(
-        parts[0].alias("word"), F.struct("kind", "term", F.array_join(parts, " ").alias("run")).alias("hit")
-    )
-    starts = (
-        texts.select("request_id", F.explode(F.array_distinct(words("text"))).alias("word"))
-        .join(terms, "word")
-        .groupBy("request_id")
-        .agg(F.collect_set("hit").alias("hits"))
-    )
-    held = F.filter(
-        "hits",
-        lambda h: (F.instr(h["run"], " ") == 0)
-        | F.contains(F.col("spaced"), F.concat(F.lit(" "), h["run"], F.lit(" "))),
-    )
+    known = gazetteer.where(F.col("kind").isin(*_KINDS)).select(
+        "kind", "term", F.array_join(words("term"), " ").alias("run")).where("run <> ''").distinct()
+    size = known.agg(F.sum(F.octet_length("term") + F.octet_length("run") + 64)).first()[0] or 0
+    parts = max(1, -(-size // dictionary_bytes))
+    if parts > 1:
+        known = cut(known)
     none = F.array().cast("array<string>")
+    rows = texts.select("request_id", "text")
+    if parts == 1:
+        found = rows.withColumn("found", _found(rows, known)(spaced(F.coalesce("text", F.lit("")))))
+    else:
+        keyed = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+        each = None
+        for no in range(parts):
+            part = known.where(F.pmod(F.xxhash64("run"), F.lit(parts)) == no)
+            hits = keyed.select("row", _found(rows, part)(spaced(F.coalesce("text", F.lit("")))).alias("part"))
+            each = hits if each is None else each.unionByName(hits)
+        together = each.groupBy("row").agg(F.struct(
+            F.min("part.cue").alias("cue"),
+            *[F.array_sort(F.flatten(F.collect_list(F.col("part")[kind]))).alias(kind) for kind in _KINDS],
+        ).alias("found"))
+        found = keyed.join(together, "row").drop("row")
+    cues = F.array(*[F.lit(name) for name, _ in TYPE_CUES], F.lit("observation"))
+    return found.withColumn("entry_type", cues[F.col("found.cue")]).select(
+        "request_id", F.lit(1).alias("attempt"), "entry_type", *[F.col(f"found.{kind}").alias(kind) for kind in _KINDS],
+        F.when(F.col("entry_type") == "action_item", F.array(strip("text"))).otherwise(none).alias("action_items"),
+    )
 
-    def listed(kind):
-        mine = F.filter("held", lambda h: h["kind"] == kind)
-        return F.coalesce(F.array_sort(F.transform(mine, lambda h: h["term"])), none).alias(kind)
 
-    split = texts.join(starts, "request_id", "left").withColumn("words", words("text"))
-    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    matched = split.withColumn("spaced", spaced).select(
-        "request_id", "text", held.alias("held"),
-        rule_entry_type(F.col("words"), F.col("spaced")).alias("entry_type"),
-    )
-    return matched.select(
-        "request_id", F.lit(1).alias("attempt"), "entry_type",
-        *[listed(kind) for kind in ("topics", "people", "projects")],
-        F.when(F.col("entry_type") == "action_item", F.array(strip("text")))
-        .otherwise(none).alias("action_items"),
-    )
+def _found(rows: DataFrame, known: DataFrame):
+    """Function from spaced text to the first cue's rank and the sorted terms of each kind."""
+    table = vb.fetch(known)  # of a size that the caller has bounded
+    terms = [(k, t, r) for k, t, r in zip(*(table.column(c).to_pylist() for c in ("kind", "term", "run")))]
+    cues = [(n, run) for n, (_, runs) in enumerate(TYPE_CUES) for run in runs]
+    shared = vb.share(rows, {"terms": terms, "cues": cues})
+    kind = "struct<cue:int," + ",".join(f"{k}:array<string>" for k in _KINDS) + ">"
+    return F.arrow_udf(kernels.dictionary_finds(shared, _KINDS, len(TYPE_CUES)), kind)

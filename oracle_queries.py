@@ -255,21 +255,14 @@ FROM outcomes
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 0)"
 _STRIP = r"regexp_replace(text, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')"
-NOISE = (
-    r"(?i)^(error|exception|traceback|fatal|warning|segfault)\b|"
-    r"^(please )?(format|rewrite|reformat|output|return) (your|the|this|my) (response|answer|reply|text|output)\b"
-)
-SMALL_TALK = (
-    r"(?i)^(hi|hey|hello|howdy|haha|lol|thanks|thank you|good (morning|afternoon|evening|night)|"
-    r"how are you|what''?s up|what time is it|see you|bye|nice one)\b"
-)
+_COURTESIES = ("hello hi hey welcome greetings good morning day evening night thanks thank you please cheers sorry yes no ok okay sure "
+               "fine nice great bye goodbye farewell").split()
 _SPACED = f"concat(' ', array_to_string({WORDS}, ' '), ' ')"
 _TYPE_SQL = f"""CASE
-  WHEN regexp_matches({_SPACED}, ' (standup|milestone|sprint|meeting notes|stand up|sync notes|status update) ') THEN 'project_note'
-  WHEN regexp_matches({_SPACED}, ' (todo|assign|assigned|action item|follow up|need to|needs to|must be done) ') THEN 'action_item'
-  WHEN regexp_matches({_SPACED}, ' (decided|decision|chose|chosen|we will use|going with|agreed to|agreed on) ') THEN 'decision'
-  WHEN regexp_matches({_SPACED}, ' (noticed|observed|seems|appears|might be|found that|root cause) ') THEN 'observation'
-  WHEN regexp_matches({_SPACED}, ' (use|uses|default|documentation|api|config|version|command|runs in) ') THEN 'reference'
+  WHEN regexp_matches({_SPACED}, ' (must|should|ought to|have to|has to|todo|remember to) ') THEN 'action_item'
+  WHEN regexp_matches({_SPACED}, ' (choose|chosen|decide|decided|select|selected|prefer|opt for|settle on) ') THEN 'decision'
+  WHEN regexp_matches({_SPACED}, ' (project|roadmap|phase|iteration|deadline|release plan) ') THEN 'project_note'
+  WHEN regexp_matches({_SPACED}, ' (chapter|section|page|manual|appendix|footnote|http|https|see also) ') THEN 'reference'
   ELSE 'observation' END"""
 
 _USAGE_ROWS = """
@@ -402,19 +395,22 @@ SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS created_date, source_client,
 FROM ({V_ENTRIES}) WHERE source_client <> 'src_fr' GROUP BY ALL""",
     "rule_gate": f"""
 SELECT request_id, label, CASE WHEN label = 'store' THEN 0.75 ELSE 0.9 END::DOUBLE AS confidence, label = 'store' AS should_store
-FROM (SELECT doc_id AS request_id, CASE WHEN regexp_matches({_STRIP}, '{NOISE}') OR regexp_matches({_STRIP}, '\\bE[A-Z]{{4,}}: ') THEN 'system_noise'
-    WHEN regexp_matches({_STRIP}, '{SMALL_TALK}') AND len({WORDS}) <= 20 THEN 'chit_chat'
+FROM (SELECT doc_id AS request_id, CASE
+    WHEN regexp_matches({_STRIP}, '(?i)^[^\\p{{L}}]*(trace|debug|info|notice|warn|warning|error|severe|fatal|critical)\\s*[\\]):|=-]') THEN 'system_noise'
+    WHEN length({_STRIP}) < 400 AND len({WORDS}) > 0 AND len(list_filter({WORDS}, lambda w: NOT list_contains({_COURTESIES}, w))) = 0 THEN 'chit_chat'
     WHEN len({WORDS}) < 4 THEN 'too_short' ELSE 'store' END AS label FROM documents)""",
     "rule_metadata": f"""
-WITH terms AS (SELECT DISTINCT lang AS term, 'topics' AS kind FROM documents
-  UNION ALL SELECT array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: concat(upper(w[1]), w[2:])), ' '), 'people' FROM nation),
-found AS (SELECT DISTINCT d.doc_id, t.term, t.kind FROM documents d JOIN terms t
-  ON contains(concat(' ', array_to_string({WORDS}, ' '), ' '),
-     concat(' ', array_to_string(list_filter(regexp_split_to_array(lower(t.term), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 0), ' '), ' ')))
+WITH terms AS (SELECT DISTINCT lang AS term, 'topics' AS kind FROM documents UNION SELECT source, 'projects' FROM documents
+  UNION SELECT array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: concat(upper(w[1]), w[2:])), ' '), 'people' FROM nation
+  UNION SELECT array_to_string(string_split(text, ' ')[1:2], ' '), 'projects' FROM benchmark),
+runs AS (SELECT term, kind, array_to_string(list_filter(regexp_split_to_array(lower(term), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 0), ' ') AS run FROM terms),
+found AS (SELECT DISTINCT d.doc_id, t.term, t.kind FROM (SELECT doc_id, {_SPACED} AS spaced FROM documents) d JOIN runs t
+  ON t.run <> '' AND contains(d.spaced, concat(' ', t.run, ' ')))
 SELECT doc_id AS request_id, {_TYPE_SQL} AS entry_type,
   coalesce((SELECT string_agg(term, '|' ORDER BY term) FROM found f WHERE f.doc_id = d.doc_id AND kind = 'topics'), '') AS topics,
   coalesce((SELECT string_agg(term, '|' ORDER BY term) FROM found f WHERE f.doc_id = d.doc_id AND kind = 'people'), '') AS people,
-  '' AS projects
+  coalesce((SELECT string_agg(term, '|' ORDER BY term) FROM found f WHERE f.doc_id = d.doc_id AND kind = 'projects'), '') AS projects,
+  md5(CASE WHEN {_TYPE_SQL} = 'action_item' THEN {_STRIP} ELSE '' END) AS action_items_md5
 FROM documents d""",
     "hashed_vectors": f"""
 WITH w AS (SELECT doc_id, unnest({WORDS}) AS word FROM documents),
@@ -497,6 +493,7 @@ WITH e AS MATERIALIZED ({V_ENTRIES}), h AS (SELECT q.id AS query_id, e.id, {SIM}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, id) AS rank, id,
   round(sim, 6) AS similarity_score FROM h QUALIFY rank <= 5""",
     "stream_capture_batches": ORACLES["stream_capture"],
+    "rule_metadata_parts": ORACLES["rule_metadata"],
     "search_clamped": _search("true", 50),
     "usage_cost_exact": f"SELECT id, total_tokens, CAST(estimated_cost AS VARCHAR) AS estimated_cost FROM ({V_USAGE})",
 }

@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -114,40 +116,47 @@ def test_usage_log_round_trip(spark, tmp_path):
     assert usage_log.read(spark, root).first().total_tokens == 3
 
 
-LABELLED = [
-    ("We settled on one queue per tenant because retries of a large tenant delayed all others.", "store"),
-    ("The crash came from a cache that was never bounded; adding a limit fixed it.", "store"),
-    ("fine ok", "too_short"), ("no", "too_short"),
-    ("Hello! Hope your week is going well so far?", "chit_chat"), ("haha good one, love it", "chit_chat"),
-    ("Error: ETIMEOUT: connection to 10.0.0.1 lost", "system_noise"), ("connect ECONNREFUSED: port closed", "system_noise"),
-    ("Please format your answer as a table with three columns.", "system_noise"),
-    ("The release is planned for next Monday", "store"), ("thanks!", "chit_chat"), ("what time is it?", "chit_chat"),
-]
-
-
-@pytest.mark.parametrize("text, label", LABELLED)
-def test_rule_gate(spark, text, label):
-    df = spark.createDataFrame([("r", text)], "request_id string, text string")
-    row = stand_ins.rule_gate(df).first()
-    assert row.label == label and row.should_store == (label == "store")
-
-
-def test_rule_metadata(spark):
-    texts = [
-        ("1", "We decided to keep Parquet for the Lake House project. Maria agreed.", "decision"),
-        ("2", "TODO: write the load test for the Lake House dashboard. Assign it to Omar.", "action_item"),
-        ("3", "A task runs in one thread; use a pool for blocking work.", "reference"),
-        ("4", "Noticed that the latency of the Acme job doubled.", "observation"),
-        ("5", "Meeting notes from the Lake House sync: Omar takes the build.", "project_note"),
-        ("6", "", "observation"),
-    ]
-    terms = [("Lake House", "projects"), ("Acme", "projects"), ("Maria", "people"), ("Omar", "people"), ("latency", "topics"),
-             ("house project maria", "topics")]
-    got = {r.request_id: r for r in stand_ins.rule_metadata(
-        spark.createDataFrame([t[:2] for t in texts], "request_id string, text string"),
-        spark.createDataFrame(terms, "term string, kind string")).collect()}
-    assert {k: r.entry_type for k, r in got.items()} == {t[0]: t[2] for t in texts}
-    assert got["1"].projects == ["Lake House"] and got["1"].people == ["Maria"] and got["1"].topics == ["house project maria"]
-    assert got["3"].people == got["3"].projects == []
-    assert got["4"].projects == ["Acme"] and got["4"].topics == ["latency"]
-    assert got["2"].action_items == [texts[1][1]] and got["6"].topics == []
+def labelled():
+    """Texts made from what the labels mean, with the label each must get."""
+    filler = "heron maple quartz dune cobalt fern".split()
+    out = [(f"{mark}{level.upper()}{end} {' '.join(filler)}", "system_noise")
+           for level in stand_ins.LOG_LEVELS for mark, end in (("", ":"), ("[", "]"), ("12.5 ", " |"))]
+    out += [(f"{' '.join(filler)} {level}: x", "store") for level in stand_ins.LOG_LEVELS]
+    out += [(f"{level} {' '.join(filler)}", "store") for level in stand_ins.LOG_LEVELS]
+    some = stand_ins.COURTESIES
+    out += [(", ".join(some[i:i + n]).capitalize() + "!", "chit_chat") for n in (1, 2, 5) for i in range(0, len(some) - n, 4)]
+    out += [(f"{some[0]} {' '.join(filler[:n])}", "too_short" if n < 3 else "store") for n in range(1, 6)]
+    return out + [(" ".join(filler[:n]), "store" if n >= 4 else "too_short") for n in range(7)] + [(" ... ", "too_short")]
+
+
+def test_rule_gate(spark):
+    cases = labelled()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "request_id int, text string")
+    got = {r.request_id: r for r in stand_ins.rule_gate(df).collect()}
+    for i, (text, label) in enumerate(cases):
+        assert got[i].label == label and got[i].should_store == (label == "store"), text
+
+
+@pytest.mark.parametrize("options", [{}, {"dictionary_bytes": 400}])
+def test_rule_metadata(spark, options):
+    """Every cue and term in every place, against a plain search of spaced words."""
+    r = random.Random(11)
+    stock = "heron Maple quartz dune,cobalt fern ... maple-quartz".split()
+    terms = [("Maple", "people"), ("maple quartz", "projects"), ("quartz dune", "topics"), ("FERN", "topics"), ("ern", "topics"),
+             ("maple quartz dune", "people"), ("heron heron", "projects"), ("...", "topics"), ("maple", "other")]
+    terms += [(f"term{i} x", "topics") for i in range(30)]
+    cues = [c for _, runs in stand_ins.TYPE_CUES for c in runs]
+    texts = [None, "", "!!"] + [" ".join(r.choice(stock) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    texts += [f"{r.choice(stock)} {c.upper()} {r.choice(stock)}" for c in cues] + [f"x{c} {c}x" for c in cues]
+    texts += [" ".join(r.sample(cues, 2)) + f" term{i} x" for i in range(20)]
+    spaced = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
+    df = spark.createDataFrame(list(enumerate(texts)), "request_id int, text string")
+    got = {x.request_id: x for x in stand_ins.rule_metadata(
+        df, spark.createDataFrame(terms, "term string, kind string"), **options).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        kind = next((n for n, runs in stand_ins.TYPE_CUES if any(f" {c} " in spaced(text) for c in runs)), "observation")
+        assert got[i].entry_type == kind
+        for k in ("topics", "people", "projects"):
+            assert got[i][k] == sorted(t for t, its in terms if its == k and spaced(t).strip() and spaced(t) in spaced(text))
+        assert got[i].action_items == ([text.strip()] if kind == "action_item" else [])
