@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
+from memlake.constants import ENTRY_TYPES  # noqa: E402
 from memlake.functions.text import iso_timestamp  # noqa: E402
 from memlake.functions.vectors import hashed_vector  # noqa: E402
 from memlake.operators import responses as answers  # noqa: E402
@@ -20,7 +21,7 @@ from memlake.operators.rates import rates_table  # noqa: E402
 from memlake.plans import capture as cap  # noqa: E402
 from memlake.plans import chats, reports, search  # noqa: E402
 from memlake.plans.usage import log_usage  # noqa: E402
-from memlake.sources import list_index, store, usage_log, views  # noqa: E402
+from memlake.sources import batches, list_index, store, usage_log, views  # noqa: E402
 from memlake.sources.scratch import cut, new_path  # noqa: E402
 from memlake.streaming import jobs  # noqa: E402
 from oracle_queries import ORACLES  # noqa: E402
@@ -406,6 +407,40 @@ def stream_usage(spark, sf_dir):
         "total_tokens", "month_cost", "monthly_limit", "alert"))
 
 
+def stream_alerts(spark, sf_dir):
+    """Usage in three micro-batches, one of them run twice: alerts of every month and level."""
+    root, out, arrived = new_path(spark, "usage"), new_path(spark, "monitor"), new_path(spark, "arrived")
+    events = views.table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    third = F.floor((F.col("event_id") - F.lit(low)) * 3 / F.lit(high - low + 1))
+    rates, monitor = rates_table(spark, views.RATES), jobs.Monitor(out, BUDGET, DAYS, lambda: USAGE_AS_OF)
+    first = new_path(spark, "stream")
+    for no in range(3):
+        events.where(third == no).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(events.schema).parquet(arrived)
+        for checkpoint in (new_path(spark, "stream"), first) if no == 0 else (first,):
+            writer = jobs.usage_stream(views.usage_from(stream), rates, root, monitor)
+            writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _shown(spark.read.parquet(f"{out}/alerts").select("month", "alert", "monthly_limit"))
+
+
+def store_compacted(spark, sf_dir):
+    """Entries appended in five batches, compacted, and what was replaced removed."""
+    root, entries = new_path(spark, "store"), views.v_entries(spark, sf_dir)
+    good, _ = store.checked(store.with_defaults(entries))
+    for kind in ENTRY_TYPES:
+        store.append(good.where(F.col("entry_type") == kind), root, kind)
+    files = lambda: store.read(spark, root).select(F.input_file_name().alias("f")).distinct().count()
+    before = files()
+    store.compact(spark, root)
+    batches.retire(spark, root)
+    return _shown(
+        store.read(spark, root).groupBy("created_date", "source_client", "entry_type")
+        .agg(F.count("*").alias("entries"), F.sum("relevance_score").alias("score"))
+        .withColumns({"batches": F.lit(len(batches.labels(spark, root))), "fewer_files": F.lit(files() < before)})
+    )
+
+
 def _requests(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("request_id"), "text",
@@ -524,6 +559,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_usage": stream_usage,
         "stream_capture": stream_capture,
         "stream_capture_batches": stream_capture_batches,
+        "stream_alerts": stream_alerts,
+        "store_compacted": store_compacted,
     }
 
 

@@ -19,11 +19,11 @@ STATS_DAYS = 30
 TOP_TAGS = 10
 
 MONTHLY_BUDGET = 10.0
+ALERT_LEVELS = (("warning", 0.8), ("exceeded", 1.0))  # of the unrounded share of the budget
 MAX_ATTEMPTS = 3
 IVF_LISTS = 100
 
 # Column widths of the stored tables; longer values are quarantined.
-MAX_ENTRY_TYPE = 50
 MAX_SOURCE_CLIENT = 100
 MAX_PROVIDER = 50
 MAX_MODEL = 100
@@ -35,3 +35,9 @@ ASSISTANT_TURN_SOURCE = "open_webui_assistant"
 
 DUPLICATE_REASON = "Near-duplicate entry already exists (cosine similarity > 0.98)"
 MEMORY_SEPARATOR = "\n\n---\n\n"
+
+# Texts of outcomes.
+STORED_REASON = "Stored as {entry_type} (confidence {confidence})"
+FILTERED_REASON = "Filtered by relevance gate: {label} — {reason}"
+ERROR_REASON = "Error: {error}"
+UNAVAILABLE_REASON = "Classifier unavailable: {error}"

@@ -1,5 +1,7 @@
 """Text, tag and model-answer functions (all JVM-side)."""
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from memlake.constants import ENTRY_TYPES, GATE_LABELS
@@ -183,3 +185,9 @@ def has_words(text, n: int) -> Column:
 def spaced(text) -> Column:
     """The words of a text, each with a space before and behind it."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), f"{_GAP}+", " "), F.lit(" "))
+
+
+def filled(template: str, **parts) -> Column:
+    """A text with columns in place of the {names} of a template."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[parts[x] if i % 2 else F.lit(x) for i, x in enumerate(pieces) if x])

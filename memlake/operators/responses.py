@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from memlake.constants import MAX_ATTEMPTS, STORE_LABELS, TAG_COLUMNS
+from memlake.constants import MAX_ATTEMPTS, STORE_LABELS, TAG_COLUMNS, UNAVAILABLE_REASON
 from memlake.functions import text as ft
 from memlake.sources.scratch import cut
 
@@ -209,9 +209,7 @@ def gate_results(resolved: DataFrame) -> DataFrame:
 
 
 def unavailable_reason(error):
-    return F.concat(
-        F.lit("Classifier unavailable: "), F.coalesce(error, F.lit("no usable answer"))
-    )
+    return ft.filled(UNAVAILABLE_REASON, error=F.coalesce(error, F.lit("no usable answer")))
 
 
 def metadata_results(resolved: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.constants import (
-    DEFAULT_SOURCE, DUPLICATE_REASON, DUPLICATE_THRESHOLD, MAX_ATTEMPTS, STORE_LABELS, TAG_COLUMNS,
+    DEFAULT_SOURCE, DUPLICATE_REASON, DUPLICATE_THRESHOLD, ERROR_REASON, FILTERED_REASON, MAX_ATTEMPTS,
+    STORE_LABELS, STORED_REASON, TAG_COLUMNS,
 )
+from memlake.functions.text import filled
 from memlake.operators.duplicates import admit
 from memlake.operators.responses import resolve_requests, unavailable_reason, usage_rows
 from memlake.schemas import ENTRIES
@@ -107,12 +109,10 @@ def outcome_columns() -> list[Column]:
     )
     confidence = F.format_string("%.2f", F.bround("confidence", 2))
     reason = (
-        F.when(outcome == "stored", F.concat(
-            F.lit("Stored as "), "entry_type", F.lit(" (confidence "), confidence, F.lit(")")))
+        F.when(outcome == "stored", filled(STORED_REASON, entry_type=F.col("entry_type"), confidence=confidence))
         .when(outcome == "duplicate", DUPLICATE_REASON)
-        .when(outcome == "filtered", F.concat(
-            F.lit("Filtered by relevance gate: "), "label", F.lit(" — "), "gate_reason"))
-        .otherwise(F.concat(F.lit("Error: "), "error"))
+        .when(outcome == "filtered", filled(FILTERED_REASON, label=F.col("label"), reason=F.col("gate_reason")))
+        .otherwise(filled(ERROR_REASON, error=F.col("error")))
     )
     return [
         outcome.alias("outcome"), stored.alias("stored"),

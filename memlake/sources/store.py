@@ -1,7 +1,7 @@
 """The entries table: defaults, checks, append, snapshot read and purge.
 
 Layout: `<root>/batch=<label>/created_date=<day>/*.parquet`. A batch is written whole under
-its own label, so writing it again replaces it and nothing else.
+its own label, so writing it again replaces it and nothing else. `compact` joins batches.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -10,7 +10,7 @@ from memlake.constants import (
     DEFAULT_SOURCE, ENTRY_TYPES, MAX_SOURCE_CLIENT, TAG_COLUMNS,
 )
 from memlake.schemas import ENTRIES
-from memlake.sources.scratch import holds_files
+from memlake.sources import batches
 
 _STORED = (
     T.StructType(list(ENTRIES.fields))
@@ -74,15 +74,21 @@ def append(entries: DataFrame, root: str, batch: str) -> None:
     )
 
 
+def _rows(spark: SparkSession, root: str, without_batch: str | None = None) -> DataFrame:
+    paths = batches.paths(spark, root, without_batch)
+    if not paths:
+        return spark.createDataFrame([], _STORED)
+    return spark.read.schema(_STORED).option("basePath", root).parquet(*paths)
+
+
 def read(spark: SparkSession, root: str, without_batch: str | None = None) -> DataFrame:
     """Snapshot of the store, with `created_date` for pruning; empty when nothing is stored."""
-    if not holds_files(spark, root):
-        stored = spark.createDataFrame([], _STORED)
-    else:
-        stored = spark.read.schema(_STORED).option("basePath", root).parquet(root)
-    if without_batch is not None:
-        stored = stored.where(F.col("batch") != without_batch)
-    return stored.drop("batch")
+    return _rows(spark, root, without_batch).drop("batch")
+
+
+def compact(spark: SparkSession, root: str, keep: int = 0) -> str | None:
+    """Rewrite batches as one whose days are whole files, beside running readers (`batches`)."""
+    return batches.compact(spark, root, _rows(spark, root), lambda rows, label: append(rows, root, label), keep)
 
 
 def purge(entries: DataFrame, keys: DataFrame, on: str = "id") -> DataFrame:

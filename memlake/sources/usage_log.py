@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from memlake.constants import MAX_MODEL, MAX_OPERATION, MAX_PROVIDER
 from memlake.operators.rates import with_cost
 from memlake.schemas import USAGE
-from memlake.sources.scratch import holds_files
+from memlake.sources import batches
 
 _STORED = T.StructType(list(USAGE.fields)).add("batch", T.StringType()).add(
     "created_date", T.DateType()
@@ -58,8 +58,18 @@ def append(usage: DataFrame, root: str, batch: str) -> None:
     )
 
 
+def _rows(spark: SparkSession, root: str) -> DataFrame:
+    paths = batches.paths(spark, root)
+    if not paths:
+        return spark.createDataFrame([], _STORED)
+    return spark.read.schema(_STORED).option("basePath", root).parquet(*paths)
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
     """The log; empty when nothing was appended yet."""
-    if not holds_files(spark, root):
-        return spark.createDataFrame([], _STORED).drop("batch")
-    return spark.read.schema(_STORED).option("basePath", root).parquet(root).drop("batch")
+    return _rows(spark, root).drop("batch")
+
+
+def compact(spark: SparkSession, root: str, keep: int = 0) -> str | None:
+    """Rewrite batches as one whose days are whole files, beside running readers (`batches`)."""
+    return batches.compact(spark, root, _rows(spark, root), lambda rows, label: append(rows, root, label), keep)

@@ -7,16 +7,17 @@ after a failure replaces its output.
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import partial
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from memlake.constants import MONTHLY_BUDGET, STATS_DAYS
+from memlake.constants import ALERT_LEVELS, MONTHLY_BUDGET, STATS_DAYS
 from memlake.plans.capture import capture
 from memlake.plans.reports import budget_alert, token_stats
 from memlake.plans.usage import log_usage
 from memlake.sources import candidates, store, usage_log
-from memlake.sources.scratch import cut
+from memlake.sources.scratch import cut, names_in
 
 
 def _now():
@@ -69,17 +70,59 @@ def capture_stream(
     return requests.writeStream.foreachBatch(run)
 
 
-def usage_stream(rows: DataFrame, rates: DataFrame, root: str) -> DataStreamWriter:
-    """Price usage rows as they arrive and append them; bad rows go to `<root>-quarantine`."""
+class Monitor(NamedTuple):
+    """Where and how a usage stream reports: budget alerts and a token report per micro-batch."""
+
+    root: str
+    limit: float = MONTHLY_BUDGET
+    days: int = STATS_DAYS
+    clock: Callable = _now
+
+
+def usage_stream(
+    rows: DataFrame, rates: DataFrame, root: str, monitor: Monitor | None = None
+) -> DataStreamWriter:
+    """Price usage rows as they arrive and append them; bad rows go to `<root>-quarantine`.
+
+    With `monitor` the micro-batch that has just been appended brings the months' totals up to
+    date, adds alerts for the levels that a month has newly reached, and a fresh token report.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        good, bad = log_usage(batch, rates)
+        good, bad = log_usage(cut(batch), rates)
         usage_log.append(good, root, _label(batch_id))
         bad.write.mode("overwrite").parquet(f"{root}-quarantine/batch={_label(batch_id)}")
+        if monitor is not None:
+            _watch(good, root, _label(batch_id), monitor)
 
     return rows.writeStream.foreachBatch(run)
 
 
+def _watch(good: DataFrame, usage_root: str, label: str, monitor: Monitor) -> None:
+    """Alerts (month, alert, monthly_spent, monthly_limit), each level of a month once.
+
+    A month's total is the sum of what each micro-batch added to it, kept under its label; a
+    micro-batch that runs again replaces its share and finds the alerts of the others.
+    """
+    spark = good.sparkSession
+    months, alerts = f"{monitor.root}/months", f"{monitor.root}/alerts"
+    good.groupBy(F.to_date(F.date_trunc("month", "created_at")).alias("month")).agg(
+        F.sum("estimated_cost").alias("spent")).coalesce(1).write.mode("overwrite").parquet(f"{months}/batch={label}")
+    totals = spark.read.parquet(months).groupBy("month").agg(F.sum("spent").cast("double").alias("monthly_spent"))
+    levels = F.array(*[F.struct(F.lit(share).alias("share"), F.lit(name).alias("alert")) for name, share in ALERT_LEVELS])
+    reached = totals.select("month", "monthly_spent", F.explode(levels).alias("level")).where(
+        F.lit(monitor.limit > 0) & (F.col("monthly_spent") >= F.col("level.share") * F.lit(float(monitor.limit))))
+    known = [p for p in names_in(spark, alerts) if p != f"batch={label}"]
+    if known:
+        told = spark.read.option("basePath", alerts).parquet(*[f"{alerts}/{p}" for p in known])
+        reached = reached.withColumn("alert", F.col("level.alert")).join(told.select("month", "alert"), ["month", "alert"], "left_anti")
+    reached.select(
+        "month", F.col("level.alert").alias("alert"), "monthly_spent", F.lit(float(monitor.limit)).alias("monthly_limit")
+    ).coalesce(1).write.mode("overwrite").parquet(f"{alerts}/batch={label}")
+    token_stats(usage_log.read(spark, usage_root), monitor.clock(), monitor.days, monitor.limit).write.mode(
+        "overwrite").parquet(f"{monitor.root}/reports/batch={label}")
+
+
 def daily_stream(usage: DataFrame, root: str, lateness: str = "1 day") -> DataStreamWriter:
     """Daily totals of a priced usage stream; each micro-batch writes the days it changed.
 

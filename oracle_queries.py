@@ -493,6 +493,12 @@ WITH e AS MATERIALIZED ({V_ENTRIES}), h AS (SELECT q.id AS query_id, e.id, {SIM}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, id) AS rank, id,
   round(sim, 6) AS similarity_score FROM h QUALIFY rank <= 5""",
     "stream_capture_batches": ORACLES["stream_capture"],
+    "stream_alerts": f"""SELECT CAST(month AS VARCHAR) AS month, alert, 50.0::DOUBLE AS monthly_limit
+FROM (SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, CAST(sum(estimated_cost) AS DOUBLE) AS spent FROM ({V_USAGE}) GROUP BY ALL),
+  (VALUES ('warning', 0.8), ('exceeded', 1.0)) l(alert, share) WHERE spent >= share * 50.0""",
+    "store_compacted": f"""
+SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS created_date, source_client, entry_type, count(*) AS entries,
+  round(sum(relevance_score), 6) AS score, 1 AS batches, true AS fewer_files FROM ({V_ENTRIES}) GROUP BY ALL""",
     "rule_metadata_parts": ORACLES["rule_metadata"],
     "search_clamped": _search("true", 50),
     "usage_cost_exact": f"SELECT id, total_tokens, CAST(estimated_cost AS VARCHAR) AS estimated_cost FROM ({V_USAGE})",

@@ -6,7 +6,7 @@ from memlake.operators.rates import rates_table
 from memlake.plans import reports
 from memlake.plans.capture import capture
 from memlake.plans.usage import log_usage
-from memlake.sources import store, usage_log
+from memlake.sources import batches, store, usage_log
 from memlake.streaming import jobs
 from test_capture import GOOD, META, case
 
@@ -81,3 +81,46 @@ def test_a_repeated_micro_batch_replaces_its_output(spark, tmp_path):
         run(jobs.capture_stream(stream, answers, root, out), tmp_path / checkpoint)
         assert store.read(spark, root).count() == 2
         assert spark.read.parquet(f"{out}/outcomes").where("stored").count() == 2
+
+
+def test_alerts_are_written_once_per_level(spark, tmp_path):
+    rows = [("a", 100, datetime(2024, 3, 3), 0), ("b", 30, datetime(2024, 2, 3), 0), ("c", 65, datetime(2024, 3, 4), 1),
+            ("d", 10, datetime(2024, 3, 5), 2), ("e", 30, datetime(2024, 3, 6), 3), ("f", 500, datetime(2024, 3, 7), 4)]
+    df = spark.createDataFrame(
+        [(i, "p", "m", n, 0, at, part) for i, n, at, part in rows],
+        "id string, provider string, model string, prompt_tokens int, completion_tokens int, created_at timestamp, part int")
+    root, out = str(tmp_path / "usage"), str(tmp_path / "monitor")
+    monitor = jobs.Monitor(out, limit=20.0, clock=lambda: NOW)  # 100 per 1000 tokens
+    first = files(spark, df, tmp_path / "in0", "part", (0,)).drop("part")
+    run(jobs.usage_stream(first, rates_table(spark, RATES), root, monitor), tmp_path / "c0")
+    assert spark.read.parquet(f"{out}/alerts").count() == 0
+    stream = files(spark, df, tmp_path / "in", "part", (0, 1, 2, 3, 4)).drop("part")
+    run(jobs.usage_stream(stream, rates_table(spark, RATES), root, monitor), tmp_path / "c1")  # batch 0 runs again
+    got = sorted((r.batch, str(r.month), r.alert, r.monthly_spent) for r in spark.read.parquet(f"{out}/alerts").collect())
+    assert got == [("stream-00000001", "2024-03-01", "warning", 16.5), ("stream-00000003", "2024-03-01", "exceeded", 20.5)]
+    assert spark.read.parquet(f"{out}/reports").count() == 5
+    assert usage_log.read(spark, root).count() == 6
+    free = jobs.Monitor(str(tmp_path / "free"), limit=0.0, clock=lambda: NOW)
+    run(jobs.usage_stream(stream, rates_table(spark, RATES), str(tmp_path / "u2"), free), tmp_path / "c2")
+    assert spark.read.parquet(f"{free.root}/alerts").count() == 0
+
+
+def test_compaction_beside_readers(spark, tmp_path):
+    root = str(tmp_path / "usage")
+    rows, _ = log_usage(usage_rows(spark), rates_table(spark, RATES))
+    for part in (0, 1, 2):
+        usage_log.append(rows.where(F.col("id").isin([f"u{i}" for i in range(4 * part, 4 * part + 4)])), root, f"b{part}")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    want = ids(rows)
+    reader = usage_log.read(spark, root)  # from before the switch
+    usage_log.append(rows.where("id = 'u0'"), root, "compact-00000001")  # cut short: it has no record
+    assert ids(usage_log.read(spark, root)) == want
+    label = usage_log.compact(spark, root, keep=1)
+    assert label == "compact-00000002" and batches.live(spark, root) == ["b2", label]
+    assert ids(usage_log.read(spark, root)) == ids(reader) == want
+    usage_log.append(rows.where("id = 'u3'").withColumn("id", F.lit("new")), root, "b3")
+    again = usage_log.compact(spark, root)
+    assert batches.live(spark, root) == [again] and usage_log.compact(spark, root) is None
+    assert batches.retire(spark, root) == 6 and batches.labels(spark, root) == [again]
+    assert ids(usage_log.read(spark, root)) == sorted([*want, "new"])
+    assert len(usage_log.read(spark, root).inputFiles()) <= 4
