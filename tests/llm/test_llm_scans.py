@@ -74,12 +74,35 @@ def test_random_strings_are_found_and_identifiers_are_not():
         t = f"the value {secret} is here"
         hit += secret_scan.find(t, encoding)["random"] == [(10, 44)]
     assert hit >= 95
-    for t in ("HTTPConnectionPoolManager2Factory", "number_of_documents_per_partition_2024",
+    for symbols, n, least in ((alphabet[:52], 40, 95), (alphabet, 20, 95), (alphabet, 18, 95), (alphabet, 16, 95)):
+        made = ["".join(r.choice(symbols) for _ in range(n)) for _ in range(100)]
+        assert sum(secret_scan.find(f"a {t} b", encoding)["random"] == [(2, 2 + n)] for t in made) >= least
+    for t in ("getElementsByClassName", "x86_64-unknown-linux-gnu", "src/main/java/org/example", "2024-03-01/2024-04-01",
+              "HTTPConnectionPoolManager2Factory", "number_of_documents_per_partition_2024",
               "123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "1234567890123456789012345",
               "electroencephalographically"):
         assert not secret_scan.find(t, encoding)["random"], t
 
 
+def test_random_spans_are_every_run_tokenised():
+    """Against a plain version: every run of secret characters, split and tokenised for itself."""
+    encoding = secret_scan.vocabulary(P.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(8)
+    for _ in range(150):
+        t = "".join(r.choice("abcXYZ019+/_=- .,é") for _ in range(r.randint(0, 120)))
+        found = secret_scan.find(t, encoding)
+        base = [s for k in secret_scan.KINDS[:3] for s in found[k]]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            if any(s < m.end() and m.start() < e for s, e in base) or not re.search("[A-Za-z]", m[0]):
+                continue
+            if re.fullmatch("[0-9A-Fa-f]+", m[0]) and len(m[0]) in secret_scan.DIGEST_LENGTHS:
+                continue
+            if len(m[0]) / len(encoding.encode_ordinary(m[0])) < 1.9:
+                want.append(m.span())
+        assert found["random"] == want
+
+
 def test_secret_scan_awkward(spark):
     rows = awkward() + [(20, "password: hunter2hunter2", "en", "a", 1)]
     got = secret_scan.scan(table(spark, rows, True), P.path("byte_bpe_50k.tiktoken")).collect()
