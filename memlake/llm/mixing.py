@@ -137,21 +137,27 @@ def blocks_of(placed: DataFrame, block: int, cap: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, block: int = 512) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, start, goal, taken (words)."""
+    """Per document: doc_id, source, size, source_size, target, start, goal, taken (words), and where the
+    schedule puts it: first_slot, last_slot, blocks (null, null and 0 where nothing is taken)."""
     sizes = cut(sized(docs))
     per_source = cut(targets(sizes, weights, cap))
     placed = cut(streams(sizes, per_source))
     taken = blocks_of(placed, block, cap).join(
         schedule(per_source, block), ["source_no", "block_no"]).groupBy(
-        "source_no", "start", "doc_id").agg(F.sum("words").alias("taken"))
+        "source_no", "start", "doc_id").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"),
+        F.count(F.lit(1)).alias("blocks"))
     full = placed.where("size > 0").alias("p").join(
         taken.alias("t"),
         (F.col("p.source_no") == F.col("t.source_no")) & (F.col("p.start") == F.col("t.start"))
         & F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")), "left",
-    ).select("p.*", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
-    none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    ).select("p.*", *[F.coalesce(f"t.{c}", F.lit(0)).cast("long").alias(c) for c in ("taken", "blocks")],
+             "t.first_slot", "t.last_slot")
+    none = placed.where("size = 0").withColumns(
+        {"taken": F.lit(0).cast("long"), "blocks": F.lit(0).cast("long"),
+         "first_slot": F.lit(None).cast("long"), "last_slot": F.lit(None).cast("long")})
     return full.unionByName(none).select(
-        "doc_id", "source", "size", "source_size", "target", "start", "goal", "taken")
+        "doc_id", "source", "size", "source_size", "target", "start", "goal", "taken", "first_slot", "last_slot", "blocks")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3) -> DataFrame:

@@ -67,7 +67,7 @@ def op7_secrets(spark, sf_dir):
 def op9_mixing(spark, sf_dir):
     """All documents mixed to weights 1, 2, 3 over the sources; words taken of each."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot", "blocks")
 
 
 def op10_curves(spark, sf_dir):
@@ -121,18 +121,30 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top
           / sum(weight) OVER (ORDER BY top / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
       FROM w),
 t AS (SELECT *, least(top::DOUBLE, max(lev) OVER () * weight) AS target FROM l),
-p AS (SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS goal,
+p AS MATERIALIZED (SELECT d.*, t.no, t.source_size, t.target, round(t.target)::BIGINT AS goal, row_number() OVER () AS id,
              (sum(size) OVER (PARTITION BY t.no ORDER BY place, doc_id, size
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, goal) - start)
-   + greatest(0, least(start + source_size + size, goal) - start - source_size)
-   + greatest(0, least(start + 2 * source_size + size, goal) - start - 2 * source_size))::BIGINT AS taken
-FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT no, round(target)::BIGINT AS goal, target / sum(target) OVER () AS share FROM t),
+h AS MATERIALIZED (SELECT *, sum(share) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM g),
+c AS MATERIALIZED (SELECT no, goal, coalesce(lag(hi) OVER (ORDER BY no), 0) AS lo, hi FROM h),
+k AS (SELECT ceil(sum(goal) / 512)::BIGINT AS slots FROM c),
+drawn AS MATERIALIZED (SELECT slot, no, goal, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS block_no
+  FROM (SELECT unnest(range((SELECT slots FROM k))) AS slot) JOIN c
+    ON (slot * 0.6180339887498949::DOUBLE) % 1 >= lo AND (slot * 0.6180339887498949::DOUBLE) % 1 < hi),
+slots AS MATERIALIZED (SELECT slot, no, block_no FROM drawn WHERE block_no * 512 < goal
+  UNION ALL SELECT (SELECT slots FROM k) + block_no, no, block_no FROM (
+    SELECT c.no, unnest(range((SELECT count(*) FROM drawn r WHERE r.no = c.no), ceil(c.goal / 512)::BIGINT)) AS block_no FROM c)),
+turns AS (SELECT id, no, size, goal, start + turn * source_size AS lies FROM p, (VALUES (0), (1), (2)) x(turn) WHERE size > 0),
+cuts AS (SELECT id, no, lies, least(lies + size, goal) AS ends,
+    unnest(range(lies // 512, (least(lies + size, goal) - 1) // 512 + 1)) AS block_no FROM turns WHERE lies < goal),
+taken AS (SELECT id, sum(least(ends, (block_no + 1) * 512) - greatest(lies, block_no * 512))::BIGINT AS taken,
+    min(slot)::BIGINT AS first_slot, max(slot)::BIGINT AS last_slot, count(*) AS blocks
+  FROM cuts JOIN slots USING (no, block_no) GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, last_slot, coalesce(blocks, 0) AS blocks
+FROM p LEFT JOIN taken USING (id)
 """
 
-
 _APART = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
 
 
