@@ -288,6 +288,30 @@ def augment_chats(spark, sf_dir):
     )
 
 
+def chat_hook(spark, sf_dir):
+    """Each chat's message is captured first; then its memories come from the store that holds it,
+    once with and once without its own entry."""
+    turns = views.table(spark, sf_dir, "conversations")
+    vectors = _chat_vectors(spark, sf_dir).withColumn("embedding", F.transform(
+        "embedding", lambda x, i: (x.cast("double") + F.when(i == 0, 0.45).otherwise(0.0)).cast("float")))
+    requests = chats.capture_turns(turns, "2024-03-01 00:00:00")
+    vector = pick.user_turns(turns).join(vectors, "conv_id").select(
+        chats.turn_request_id().alias("request_id"), F.lit("embed").alias("operation"), F.lit(1).alias("attempt"),
+        F.lit(None).cast("string").alias("raw"), "embedding", F.lit(1).alias("prompt_eval_count"),
+        F.lit(0).alias("eval_count"))
+    held = views.v_entries(spark, sf_dir).withColumns(
+        {"id": F.col("id").cast("string"), "created_at": F.col("created_at").cast("timestamp")})
+    done = cap.capture(requests, vector, held)
+    shown = ["id", "raw_text", "embedding", "entry_type", "topics", "created_at"]
+    after = cut(held.select(*shown).unionByName(done.entries.select(*shown)))
+    out = None
+    for own in (True, False):
+        part = chats.augment_chats(turns, vectors, after, include_self=own, preamble="Memories:\n\n",
+                                   divider="\n\n--- Memories ---\n").withColumn("own", F.lit(own))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def capture_turns(spark, sf_dir):
     turns = views.table(spark, sf_dir, "conversations")
     return _shown(chats.capture_turns(turns, "2024-03-01 00:00:00", assistant=True))
@@ -544,6 +568,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "capture_turns": capture_turns,
         "memory_blocks": memory_blocks,
         "augment_chats": augment_chats,
+        "chat_hook": chat_hook,
         "capture_outcomes": lambda s, d: _captured(s, d).outcomes,
         "capture_entries": capture_entries,
         "capture_usage": lambda s, d: _shown(_captured(s, d).usage),

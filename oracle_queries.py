@@ -476,7 +476,39 @@ FROM h JOIN e ON e.id = h.id JOIN e o ON o.id = h.query_id
 WHERE h.id <> h.query_id AND e.created_at <= o.created_at + INTERVAL 10 DAY QUALIFY rank <= 3"""
 
 
+def _hook(own):
+    """Chats with memories from the store that holds their own captured message, or leaves it out."""
+    mine = "" if own else "AND s.id <> q.entry_id"
+    return f"""
+SELECT c.conv_id, c.turn, c.role, concat(c.text, CASE WHEN f.role = 'system'
+  THEN concat(chr(10), chr(10), '--- Memories ---', chr(10), f.block) ELSE '' END) AS text, {own} AS own
+FROM conversations c LEFT JOIN firsts_{own} f ON f.conv_id = c.conv_id AND f.turn = c.turn
+UNION ALL SELECT conv_id, turn - 1, 'system', concat('Memories:', chr(10), chr(10), block), {own} FROM firsts_{own} WHERE role <> 'system'
+""", f"""
+hits_{own} AS (SELECT q.conv_id, s.*, round_even({SIM.replace('e.', 's.')}, 4) AS score,
+    row_number() OVER (PARTITION BY q.conv_id ORDER BY round({SIM.replace('e.', 's.')}, 12) DESC, s.id) AS rank
+  FROM after s, q WHERE true {mine} QUALIFY rank <= 3),
+blocks_{own} AS (SELECT conv_id, string_agg(concat('[', entry_type, ']',
+    CASE WHEN len(topics) > 0 THEN concat(' Topics: ', array_to_string(topics, ', ')) ELSE '' END,
+    ' (', strftime(created_at, '%Y-%m-%d'), ')', chr(10), raw_text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank) AS block
+  FROM hits_{own} WHERE score >= 0.3 GROUP BY conv_id),
+firsts_{own} AS (SELECT conv_id, turn, role, block FROM conversations JOIN blocks_{own} USING (conv_id)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)"""
+
+
 ORACLES |= {
+    "chat_hook": f"""
+WITH RECURSIVE e AS MATERIALIZED ({V_ENTRIES}),
+q AS MATERIALIZED (SELECT conv_id, text, request_id, {_ID} AS entry_id, embedding FROM (
+  SELECT u.conv_id, u.text, concat(u.conv_id, '/', u.turn) AS request_id, md5(concat(u.conv_id, '/', u.turn)) AS h,
+    list_concat([CAST(CAST(CAST(v.embedding[1] AS DOUBLE) + 0.45 AS FLOAT) AS DOUBLE)], CAST(v.embedding[2:] AS DOUBLE[])) AS embedding
+  FROM ({USER_TURNS}) u JOIN embeddings v ON v.vec_id = u.conv_id)),
+cand AS (SELECT conv_id AS id, row_number() OVER (ORDER BY request_id) AS pos, embedding FROM q),
+held AS (SELECT embedding FROM e), {ADMISSION},
+after AS MATERIALIZED (SELECT CAST(id AS VARCHAR) AS id, raw_text, CAST(embedding AS DOUBLE[]) AS embedding, entry_type, topics, created_at FROM e
+  UNION ALL SELECT entry_id, text, embedding, 'observation', CAST([] AS VARCHAR[]), TIMESTAMP '2024-03-01 00:00:00'
+  FROM q WHERE conv_id IN (SELECT id FROM kept)), {_hook(True)[1]}, {_hook(False)[1]}
+{_hook(True)[0]} UNION ALL {_hook(False)[0]}""",
     "ann_search": _ann(LISTS, "l", "c"),
     "ann_search_split": _ann(SPLIT_LISTS, "l2", "c2"),
     "ann_recall": f"""WITH {LISTS}, x AS MATERIALIZED ({_search_many('true', 3).replace('WITH e AS (' + V_ENTRIES + '), q AS', 'WITH q AS')})
