@@ -22,7 +22,7 @@ from memlake.plans import capture as cap  # noqa: E402
 from memlake.plans import chats, reports, search  # noqa: E402
 from memlake.plans.usage import log_usage  # noqa: E402
 from memlake.sources import batches, list_index, store, usage_log, views  # noqa: E402
-from memlake.sources.scratch import cut, new_path  # noqa: E402
+from memlake.sources.scratch import cut, is_folder, new_path  # noqa: E402
 from memlake.streaming import jobs  # noqa: E402
 from oracle_queries import ORACLES  # noqa: E402
 
@@ -398,8 +398,12 @@ def inference_requests(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name):
-    source = views.table(spark, sf_dir, name)
-    return spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream, whether it is one file or a folder of files."""
+    source, path = views.table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(source.schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _run(spark, writer, available_now=True):

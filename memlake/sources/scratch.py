@@ -38,6 +38,12 @@ def holds_files(spark: SparkSession, path: str) -> bool:
     return bool(files.exists(where) and len(files.listStatus(where)))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(where).isDirectory()
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of what a folder holds; none where it is absent."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

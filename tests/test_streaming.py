@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from memlake.operators.rates import rates_table
 from memlake.plans import reports
 from memlake.plans.capture import capture
@@ -124,3 +125,15 @@ def test_compaction_beside_readers(spark, tmp_path):
     assert batches.retire(spark, root) == 6 and batches.labels(spark, root) == [again]
     assert ids(usage_log.read(spark, root)) == sorted([*want, "new"])
     assert len(usage_log.read(spark, root).inputFiles()) <= 4
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id as doc_id", "concat('t', id) as text")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = (tmp_path / "one").glob("part-*.parquet")
+    part.rename(tmp_path / "labels.parquet")
+    for name in ("documents", "labels"):  # a folder, and a single file
+        got = str(tmp_path / f"got-{name}")
+        entry._run(spark, entry._stream(spark, str(tmp_path), name).writeStream.format("parquet").option("path", got))
+        assert sorted(spark.read.parquet(got).collect()) == sorted(rows.collect())
