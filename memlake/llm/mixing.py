@@ -160,25 +160,27 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, block: int =
         "doc_id", "source", "size", "source_size", "target", "start", "goal", "taken", "first_slot", "last_slot", "blocks")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """The rows of docs that the mix takes, whole and as often as the stream comes by them.
+def mixed_documents(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, block: int = 512) -> DataFrame:
+    """The rows of docs that the mix takes, whole, in the order in which the schedule comes by them.
 
-    A document is there once for each turn whose goal lies behind its first word, so each
-    source overshoots its goal by less than one document.
+    A document is there once for each block of the schedule in which a turn of it has its first
+    word, so each source overshoots its goal by less than one document. Rows stand by the slot of
+    that block, then by their place in the source's stream.
     """
     rows = docs.withColumn("_row", F.struct(*docs.columns))
     sizes = cut(sized(docs))
     per_source = cut(targets(sizes, weights, cap))
-    turns = F.expr(f"filter(sequence(0, {cap - 1}), t -> start + t * source_size < goal)")
-    copies = streams(sizes, per_source).where("size > 0").select(
-        "doc_id", "source", "size", "place", F.size(turns).alias("copies"))
-    # rows alike in id, source and size are numbered, so that each meets one row of the plan
+    # rows alike in id, source and size are numbered, so that each meets the plan of one row
     alike = ["doc_id", "source", "size"]
-    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("copies"))
-    plan = copies.withColumn("nth", nth).where("copies > 0")
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy(F.desc("start")))
+    placed = streams(sizes, per_source).where("size > 0").withColumn("nth", nth)
+    begun = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).withColumn(
+        "lies", F.col("start") + F.col("turn") * F.col("source_size")).where("lies < goal").withColumn(
+        "block_no", F.expr(f"lies div {block}"))
+    plan = begun.join(schedule(per_source, block), ["source_no", "block_no"]).select(*alike, "nth", "slot", "lies")
     mine = rows.select("_row", "doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"))
     mine = mine.withColumn("nth", F.row_number().over(
         Window.partitionBy(*alike).orderBy(F.xxhash64("_row"))))
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"p.{c}")) for c in alike] + [F.col("m.nth") == F.col("p.nth")]
     met = mine.alias("m").join(plan.alias("p"), same)
-    return met.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    return met.select("_row", "slot", "lies").orderBy("slot", "lies").select("_row.*")

@@ -101,6 +101,23 @@ def test_mixed_documents_and_empty(spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixed_documents_stand_by_the_schedule(spark):
+    docs = table(spark, [(i, words(random.Random(i), 50), "en", "abc"[i % 3], 0) for i in range(300)])
+    got = [x.doc_id for x in mixing.mixed_documents(docs, block=16).collect()]
+    per = mixing.targets(mixing.sized(docs))
+    slots = {(x.source_no, x.block_no): x.slot for x in mixing.schedule(per, 16).collect()}
+    want = []
+    for x in mixing.streams(mixing.sized(docs), per).collect():
+        lies = [x.start + t * x.source_size for t in range(3)]
+        want += [(slots[x.source_no, at // 16], at, x.doc_id) for at in lies if at < x.goal]
+    assert got == [doc for _, _, doc in sorted(want)]
+    # so every stretch is near the target shares
+    share = {r.source: r.target / 15000 for r in per.collect()}
+    for at in range(0, len(got) - 60, 60):
+        here = Counter("abc"[i % 3] for i in got[at:at + 60])
+        assert all(abs(here[k] - 60 * share[k]) <= 4 for k in share)
+
+
 def test_word_ids_equal_the_tokenizer():
     ids = packing.WordIds(P.path(TOKENIZER), most=400)
     odd = ["", " ", "a\x1cb c", "ΟΔΟΣ. ΟΔΟΣ Σ,", "İstanbul, İ. x", "don't it's we'LL", "<|endoftext|> a<|endoftext|>b",
