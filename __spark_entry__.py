@@ -455,7 +455,7 @@ def stream_alerts(spark, sf_dir):
 def store_compacted(spark, sf_dir):
     """Entries appended in five batches, compacted, and what was replaced removed."""
     root, entries = new_path(spark, "store"), views.v_entries(spark, sf_dir)
-    good, _ = store.checked(store.with_defaults(entries))
+    good = cut(store.checked(store.with_defaults(entries))[0])
     for kind in ENTRY_TYPES:
         store.append(good.where(F.col("entry_type") == kind), root, kind)
     files = lambda: store.read(spark, root).select(F.input_file_name().alias("f")).distinct().count()

@@ -28,10 +28,12 @@ def lookback_start(df: DataFrame, as_of, days: int, column: str = "created_at")
 
 
 def since(df: DataFrame, start: Column, column: str = "created_at") -> DataFrame:
-    """Rows from `start` on, with no upper bound; prunes date partitions where there are any."""
+    """Rows from `start` on, with no upper bound; prunes date and month partitions where there are any."""
     out = df.where(F.col(column) >= start)
     if "created_date" in df.columns and isinstance(df.schema["created_date"].dataType, T.DateType):
         out = out.where(F.col("created_date") >= F.to_date(start))
+    if "created_month" in df.columns and isinstance(df.schema["created_month"].dataType, T.DateType):
+        out = out.where(F.col("created_month") >= F.trunc(F.to_date(start), "month"))
     return out
 
 

@@ -1,6 +1,8 @@
 """The entries table: defaults, checks, append, snapshot read and purge.
 
-Layout: `<root>/batch=<label>/created_date=<day>/*.parquet`. A batch is written whole under
+Layout: `<root>/batch=<label>/created_month=<first day>/*.parquet`, rows in order of time, so that a
+month is a folder to prune by and its days are ranges of a file; a folder a day would be as many
+files as days, however few rows they hold. A batch is written whole under
 its own label, so writing it again replaces it and nothing else. `compact` joins batches.
 """
 
@@ -16,6 +18,7 @@ _STORED = (
     T.StructType(list(ENTRIES.fields))
     .add("batch", T.StringType())
     .add("created_date", T.DateType())
+    .add("created_month", T.DateType())
 )
 
 
@@ -64,12 +67,14 @@ def checked(entries: DataFrame, dim: int | None = None) -> tuple[DataFrame, Data
 
 
 def append(entries: DataFrame, root: str, batch: str) -> None:
-    """Write one batch of checked entries; days are spread over files by their size."""
+    """Write one batch of checked entries; months are spread over files by their size."""
+    day = F.to_date("created_at")
     (
-        entries.select(*ENTRIES.fieldNames(), F.to_date("created_at").alias("created_date"))
-        .hint("rebalance", "created_date")
+        entries.select(*ENTRIES.fieldNames(), day.alias("created_date"), F.trunc(day, "month").alias("created_month"))
+        .hint("rebalance", "created_month")
+        .sortWithinPartitions("created_month", "created_at")
         .write.mode("overwrite")
-        .partitionBy("created_date")
+        .partitionBy("created_month")
         .parquet(f"{root}/batch={batch}")
     )
 
@@ -82,12 +87,13 @@ def _rows(spark: SparkSession, root: str, without_batch: str | None = None) -> D
 
 
 def read(spark: SparkSession, root: str, without_batch: str | None = None) -> DataFrame:
-    """Snapshot of the store, with `created_date` for pruning; empty when nothing is stored."""
+    """Snapshot of the store, with `created_date` and `created_month` for pruning; empty when nothing
+    is stored."""
     return _rows(spark, root, without_batch).drop("batch")
 
 
 def compact(spark: SparkSession, root: str, keep: int = 0) -> str | None:
-    """Rewrite batches as one whose days are whole files, beside running readers (`batches`)."""
+    """Rewrite batches as one whose months are whole files, beside running readers (`batches`)."""
     return batches.compact(spark, root, _rows(spark, root), lambda rows, label: append(rows, root, label), keep)
 
 

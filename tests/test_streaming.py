@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from memlake.functions.windows import as_timestamp, since
 from memlake.operators.rates import rates_table
 from memlake.plans import reports
 from memlake.plans.capture import capture
@@ -137,3 +138,17 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
         got = str(tmp_path / f"got-{name}")
         entry._run(spark, entry._stream(spark, str(tmp_path), name).writeStream.format("parquet").option("path", got))
         assert sorted(spark.read.parquet(got).collect()) == sorted(rows.collect())
+
+
+def test_a_store_of_many_days_is_few_files_and_still_pruned(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.range(600).selectExpr(
+        "cast(id as string) as id", "'t' as raw_text", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id * 4) as created_at")
+    store.append(store.with_defaults(rows), root, "one")
+    held = store.read(spark, root)
+    assert held.count() == 600 and held.select("created_date").distinct().count() == 100
+    assert len(held.inputFiles()) <= 8  # four months
+    late = since(held, as_timestamp("2024-04-01 12:00:00"))
+    assert sorted(int(r.id) for r in late.collect()) == list(range(549, 600))
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_month" in plan and "GreaterThanOrEqual(created_at" in plan
