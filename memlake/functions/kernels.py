@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DECIMALS = 12
 # Score cells held at once by one task.
 BLOCK_CELLS = 4_000_000
+# Rows a side of a block of single-precision scores.
+BLOCK_ROWS = 1024
 _NO_VECTOR = -2.0
 # Wider than the rounding of an angle.
 _ANGLE_SLACK = 1e-6
@@ -27,6 +29,8 @@ PLANES = 8
 _SKETCH_SLACK = 1e-5
 # Wider than any rounding; what falls inside it is rounded and compared again.
 _SLACK = 1e-9
+# Wider than the rounding of a product of unit vectors in single precision, for each dimension.
+_FLOAT_SLACK = 2e-7
 
 
 def unit_rows(column, dim):
@@ -56,6 +60,20 @@ def unit_vector(vector):
     return v / norm if norm > 0 and np.isfinite(norm) else None
 
 
+def _blocks(rows, others):
+    """Ranges (lo, hi, first, last) of a product of so many rows by so many others, in blocks that stay
+    small whatever the sides are."""
+    for lo in range(0, rows, BLOCK_ROWS):
+        for first in range(0, others, BLOCK_ROWS):
+            yield lo, min(rows, lo + BLOCK_ROWS), first, min(others, first + BLOCK_ROWS)
+
+
+def _pairs(mask):
+    """Row and column of what is set; much faster than nonzero where that is little."""
+    at = np.flatnonzero(mask)
+    return at // mask.shape[1], at % mask.shape[1]
+
+
 def above(rows, others, threshold):
     """Mask of the pairs whose rounded similarity exceeds the threshold."""
     block = rows @ others.T
@@ -103,16 +121,95 @@ def _best(query, score, ident, limits):
     return query[keep], score[keep], ident[keep]
 
 
-def _candidates(block, allowed, k):
-    """Cells that can be among the k best of their column, ties included."""
-    block = np.where(allowed, block, -np.inf)
-    if len(block) > k:
-        edge = np.partition(block, len(block) - k, axis=0)[len(block) - k]
-        keep = allowed & (block >= edge - _SLACK)
-    else:
-        keep = allowed
-    row, col = np.nonzero(keep)
-    return row, col, np.round(block[row, col], DECIMALS)
+def _exact(asks, rows, query, row):
+    """Similarities of single pairs, as they are compared and ranked."""
+    out = np.empty(len(query))
+    for lo in range(0, len(query), 1 << 15):
+        part = slice(lo, lo + (1 << 15))
+        out[part] = np.einsum("ij,ij->i", asks[query[part]], rows[row[part]])
+    return np.round(out, DECIMALS)
+
+
+class _Bests:
+    """The best rows of each of some queries, among all rows that have been met.
+
+    Blocks of scores in single precision are compared with what a query's last kept row has
+    reached; only pairs that may be better are scored exactly, filtered and kept.
+    """
+
+    def __init__(self, asks, asked, limits, ask, floor=None):
+        self.asks, self.asked, self.limits, self.ask = asks, asked, limits, ask
+        self.single = asks.astype(np.float32)
+        self.k = int(limits.max()) if len(limits) else 0
+        self.least = np.full(len(asks), -np.inf) if floor is None else floor.astype(np.float64)
+        self.slack = _FLOAT_SLACK * (8 + asks.shape[1])
+        self.parts = []  # by range of queries: query, score, id
+
+    def meet(self, batch, names, rows, usable, complete):
+        seen = _Seen(batch, names, self.ask)
+        ident, single = sortable(batch.column("id")), rows.astype(np.float32).T.copy()
+        gaps = None if usable.all() else ~usable
+        parts = []
+        for no, lo in enumerate(range(0, len(self.asks), BLOCK_ROWS)):
+            hi = min(len(self.asks), lo + BLOCK_ROWS)
+            held = self.parts[no] if self.parts else None
+            new, count = [] if held is None else [held], 0
+            for first in range(0, len(rows), BLOCK_ROWS):
+                last = min(len(rows), first + BLOCK_ROWS)
+                block = self.single[lo:hi] @ single[:, first:last]
+                dumb = ~self.asked[lo:hi]
+                if gaps is not None:
+                    block[:, gaps[first:last]] = _NO_VECTOR if complete else -np.inf
+                if dumb.any():
+                    block[dumb] = _NO_VECTOR if complete else -np.inf
+                found = self._likely(block, lo, first, seen)
+                query, row = found[0] + lo, found[1] + first
+                score = _exact(self.asks, rows, query, row)
+                score[~(usable[row] & self.asked[query])] = _NO_VECTOR
+                new.append((query, score, ident[row]))
+                count += len(query)
+                if count > 4 * self.k * (hi - lo):
+                    new, count = [self._merged(new)], 0
+            parts.append(self._merged(new))
+        self.parts = parts
+
+    def _likely(self, block, lo, first, seen):
+        """Pairs of a block that may be among the best, filtered; ties included."""
+        least = self.least[lo : lo + len(block)]
+        fresh = np.flatnonzero(least == -np.inf)
+        edge = (least - self.slack).astype(np.float32)
+        edge[fresh] = np.inf
+        query, row = _pairs(block >= edge[:, None])
+        ok = seen.pairs(query + lo, row + first)
+        query, row = query[ok], row[ok]
+        if len(fresh):
+            # no floor yet: the k best of this block, which is a floor from now on
+            mine = block[fresh]
+            ok = seen.dense(fresh + lo, slice(first, first + block.shape[1])) & (mine > -np.inf)
+            if mine.shape[1] > self.k:
+                mine[~ok] = -np.inf
+                last = np.partition(mine, mine.shape[1] - self.k, axis=1)[:, mine.shape[1] - self.k]
+                ok &= mine >= (last - 2 * self.slack)[:, None]
+                full = last > -np.inf
+                self.least[lo + fresh[full]] = last[full] - self.slack
+            some, other = _pairs(ok)
+            query, row = np.concatenate((query, fresh[some])), np.concatenate((row, other))
+        return query, row
+
+    def _merged(self, new):
+        query, score, ident = _best(*(np.concatenate(p) for p in zip(*new)), self.limits)
+        if len(query):
+            starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+            count = np.diff(np.r_[starts, len(query)])
+            full = count >= self.limits[query[starts]]
+            who = query[starts[full]]
+            self.least[who] = np.maximum(self.least[who], score[starts[full] + count[full] - 1])
+        return query, score, ident
+
+    def found(self):
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        return tuple(np.concatenate(p) for p in zip(*self.parts))
 
 
 def filters_of(table):
@@ -128,30 +225,43 @@ def filters_of(table):
     return ask
 
 
-def _allowed(batch, names, ask, lo, hi):
-    """Which rows each of the queries lo..hi may see."""
-    ok = np.ones((batch.num_rows, hi - lo), dtype=bool)
-    if "entry_type" in names:
-        kinds = sortable(batch.column("entry_type"))
-        for j in range(lo, hi):
-            if ask["entry_type"][j]:
-                ok[:, j - lo] &= kinds == ask["entry_type"][j]
-    if "projects" in names:
-        tags = batch.column("projects")
-        owner = np.repeat(
-            np.arange(batch.num_rows), tags.value_lengths().fill_null(0).to_numpy()
-        )
-        flat = tags.flatten().to_numpy(zero_copy_only=False)
-        for project in {p for p in ask["project"][lo:hi] if p}:
-            has = np.zeros(batch.num_rows, dtype=bool)
-            has[owner[flat == project]] = True
-            cols = [j - lo for j in range(lo, hi) if ask["project"][j] == project]
-            ok[:, cols] &= has[:, None]
-    if "created_at" in names:
-        ok &= micros(batch.column("created_at"))[:, None] <= ask["until"][None, lo:hi]
-    if ask.get("exclude") is not None:
-        ok &= sortable(batch.column("id"))[:, None] != ask["exclude"][None, lo:hi]
-    return ok
+class _Seen:
+    """Which rows of an Arrow batch each query may see, for a block of pairs or for single ones."""
+
+    def __init__(self, batch, names, ask):
+        self.tests = []  # (row values, query values, comparison)
+        if "entry_type" in names:
+            kinds = {kind: no for no, kind in enumerate(sorted({k for k in ask["entry_type"] if k}))}
+            rows = np.array([kinds.get(k, -1) for k in batch.column("entry_type").to_pylist()])
+            asked = np.array([kinds[k] if k else -2 for k in ask["entry_type"]])
+            self.tests.append((rows, asked, lambda row, query: (row == query) | (query == -2)))
+        if "projects" in names:
+            known = {p: no for no, p in enumerate(sorted({p for p in ask["project"] if p}))}
+            tags = batch.column("projects")
+            owner = np.repeat(np.arange(batch.num_rows), tags.value_lengths().fill_null(0).to_numpy())
+            flat = np.array([known.get(t, -1) for t in tags.flatten().to_pylist()], dtype=np.int64)
+            has = np.zeros((len(known) + 1, batch.num_rows), dtype=bool)
+            has[flat[flat >= 0], owner[flat >= 0]] = True
+            has[-1] = True  # no project asked for
+            asked = np.array([known[p] if p else len(known) for p in ask["project"]], dtype=np.int64)
+            self.tests.append((np.arange(batch.num_rows), asked, lambda row, query: has[query, row]))
+        if "created_at" in names:
+            self.tests.append((micros(batch.column("created_at")), ask["until"], lambda row, query: row <= query))
+        if ask.get("exclude") is not None:
+            self.tests.append((sortable(batch.column("id")), ask["exclude"], lambda row, query: row != query))
+
+    def dense(self, queries, rows):
+        """Queries down, a range of rows across."""
+        ok = np.ones((len(queries), rows.stop - rows.start), dtype=bool)
+        for row, query, test in self.tests:
+            ok &= test(row[None, rows], query[queries][:, None])
+        return ok
+
+    def pairs(self, queries, rows):
+        ok = np.ones(len(queries), dtype=bool)
+        for row, query, test in self.tests:
+            ok &= test(row[rows], query[queries])
+        return ok
 
 
 def scan_top_k(shared, schema):
@@ -160,26 +270,14 @@ def scan_top_k(shared, schema):
     def run(batches):
         ask = shared.value
         matrix, limits = ask["matrix"], ask["limits"]
-        k = int(limits.max()) if len(limits) else 0
-        best = None
+        best = _Bests(matrix, ask["usable"], limits, ask)
         for batch in batches:
-            if not batch.num_rows or k <= 0:
+            if not batch.num_rows or best.k <= 0:
                 continue
-            names = batch.schema.names
-            ident = sortable(batch.column("id"))
             rows, usable = unit_rows(batch.column("embedding"), matrix.shape[1])
-            step = max(1, BLOCK_CELLS // batch.num_rows)
-            parts = [] if best is None else [best]
-            for lo in range(0, len(matrix), step):
-                hi = min(len(matrix), lo + step)
-                block = rows @ matrix[lo:hi].T
-                block[~usable] = _NO_VECTOR
-                block[:, ~ask["usable"][lo:hi]] = _NO_VECTOR
-                row, col, val = _candidates(block, _allowed(batch, names, ask, lo, hi), k)
-                parts.append(_best(col + lo, val, ident[row], limits))
-            best = _best(*(np.concatenate(p) for p in zip(*parts)), limits)
-        if best is not None and len(best[0]):
-            query, val, ident = best
+            best.meet(batch, batch.schema.names, rows, usable, True)
+        query, val, ident = best.found()
+        if len(query):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ask["query_id"][query], schema.field(0).type),
@@ -294,20 +392,20 @@ def tile_near(chord, schema):
         ordered = "position" in homes.column_names
         if ordered:
             l_ts, r_ts = homes.column("position").to_numpy(), probes.column("position").to_numpy()
+        # one product gives l.l - 2 r.l for a block of pairs
         l_sq, r_sq = (left**2).sum(axis=1), (right**2).sum(axis=1)
-        near_home, near_probe = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
-        step = max(1, BLOCK_CELLS // len(left))
-        for lo in range(0, len(right), step):
-            part = slice(lo, lo + step)
-            apart = r_sq[part, None] + l_sq - 2 * right[part] @ left.T
-            close = apart <= chord * chord + _SKETCH_SLACK
-            if ordered:
-                close &= l_ts <= r_ts[part, None]
-            probe, home = np.nonzero(close)
+        left = np.hstack([left, l_sq[:, None]]).astype(np.float32).T.copy()
+        right = np.hstack([-2 * right, np.ones((len(right), 1))]).astype(np.float32)
+        most = (chord * chord + _SKETCH_SLACK + 2 * _FLOAT_SLACK * right.shape[1] - r_sq).astype(np.float32)
+        near_home, near_probe = np.zeros(len(l_id), dtype=bool), np.zeros(len(r_id), dtype=bool)
+        for lo, hi, first, last in _blocks(len(r_id), len(l_id)):
+            close = right[lo:hi] @ left[:, first:last] <= most[lo:hi, None]
+            probe, home = _pairs(close)
+            probe, home = probe + lo, home + first
             if ordered:  # a row is no partner of itself
-                other = r_id[part][probe] != l_id[home]
+                other = (l_ts[home] <= r_ts[probe]) & (r_id[probe] != l_id[home])
                 probe, home = probe[other], home[other]
-            near_probe[lo + probe] = True
+            near_probe[probe] = True
             near_home[home] = True
         at = homes.column("at")[0].as_py()
         parts = [
@@ -556,34 +654,19 @@ def tile_top_k(dim, schema, complete=False):
         rows, usable = unit_rows(homes.column("embedding"), dim)
         asks, asked = unit_rows(probes.column("embedding"), dim)
         limits = probes.column("limit").to_numpy().astype(np.int64)
-        ident = sortable(homes.column("id"))
         query_id = probes.column("query_id").combine_chunks()
-        k = int(limits.max())
-        if k <= 0:
-            return schema.empty_table()
         floor = None
         if "floor" in probes.column_names:
             floor = probes.column("floor").combine_chunks().fill_null(-np.inf).to_numpy()
-        parts = []
-        step = max(1, BLOCK_CELLS // len(rows))
-        batch = homes.combine_chunks().to_batches()[0]
         ask = filters_of(probes)
+        best = _Bests(asks, asked, limits, ask, floor)
+        if best.k <= 0:
+            return schema.empty_table()
+        batch = homes.combine_chunks().to_batches()[0]
         pairs = (("entry_type", "entry_type"), ("projects", "project"), ("created_at", "until"))
         names = [column for column, asked_by in pairs if asked_by in ask and column in batch.schema.names]
-        for lo in range(0, len(asks), step):
-            hi = min(len(asks), lo + step)
-            ok = _allowed(batch, names, ask, lo, hi)
-            block = rows @ asks[lo:hi].T
-            both = usable[:, None] & asked[None, lo:hi]
-            if complete:
-                block[~both] = _NO_VECTOR
-            else:
-                ok &= both
-            if floor is not None:
-                ok &= block >= floor[lo:hi] - _SLACK
-            row, col, val = _candidates(block, ok, k)
-            parts.append(_best(col + lo, val, ident[row], limits))
-        query, val, ident = (np.concatenate(p) for p in zip(*parts))
+        best.meet(batch, names, rows, usable, complete)
+        query, val, ident = best.found()
         return pa.table(
             [
                 query_id.take(pa.array(query)),

@@ -44,16 +44,19 @@ def sketch_cells(df: DataFrame, threshold: float, anchors, vectors: bool = False
     return df.mapInArrow(run, spark_schema)
 
 
-def near_pairs(homes: DataFrame, probes: DataFrame, threshold: float, tile_rows: int = vb.TILE_ROWS) -> DataFrame:
+def near_pairs(homes: DataFrame, probes: DataFrame, threshold: float, tile_rows: int = vb.TILE_ROWS,
+               dim: int = 0) -> DataFrame:
     """cell, id, home: the rows of each cell that have a partner in it by their sketches.
 
     `homes` and `probes` hold id, sketch, cell and where order matters position. Ids and sketches
-    alone move between cells; vectors follow for what this leaves.
+    alone move between cells; vectors follow for what this leaves. The dimension of the vectors tells
+    how wide sketches are.
     """
     spark_schema, arrow_schema = vb.schema_of(homes, f"cell bigint, id {vb.type_of(homes, 'id')}, home boolean")
     near = kernels.tile_near(chord_of(threshold), arrow_schema)
     homes = homes.withColumn("at", F.col("cell"))
-    return cut(vb.tile_join(homes, probes, near, spark_schema, tile_rows).distinct())
+    sketch = 8 * max(vb.PIVOTS, dim // vb.PIVOT_DIMS)
+    return cut(vb.tile_join(homes, probes, near, spark_schema, tile_rows, sketch).distinct())
 
 
 def matching(homes: DataFrame, batch: DataFrame, near: DataFrame, threshold: float, dim: int,
@@ -65,7 +68,7 @@ def matching(homes: DataFrame, batch: DataFrame, near: DataFrame, threshold: flo
     probes = batch.join(near.where("not home").select("cell", "id"), "id").select(
         F.col("row").alias("id"), "embedding", "cell")
     return vb.tile_join(
-        homes, probes, kernels.tile_matches(threshold, dim, arrow_schema), spark_schema, tile_rows
+        homes, probes, kernels.tile_matches(threshold, dim, arrow_schema), spark_schema, tile_rows, 8 * dim
     ).distinct()
 
 
@@ -115,12 +118,12 @@ def resembling(
         anchors, batch = vb.pick_anchors(batch, n, dim, cells), by_hash(batch)
         homes = sketch_cells(store, threshold, anchors, vectors=True).where("home").drop("home")
         probes = sketch_cells(batch.drop("row"), threshold, anchors).drop("home")
-        near = near_pairs(homes.drop("embedding"), probes, threshold, tile_rows)
+        near = near_pairs(homes.drop("embedding"), probes, threshold, tile_rows, dim)
         return matching(homes.drop("sketch"), batch, near, threshold, dim, tile_rows)
     homes = _band_cells(store, dim, bands).where("home").drop("home")
     probes = _band_cells(batch, dim, bands).drop("home")
     return vb.tile_join(
-        homes, probes, kernels.tile_matches(threshold, dim, arrow_schema), spark_schema, tile_rows
+        homes, probes, kernels.tile_matches(threshold, dim, arrow_schema), spark_schema, tile_rows, 8 * dim
     ).distinct()
 
 
@@ -146,7 +149,7 @@ def _blockers(homes, probes, dim, threshold, id_type, tile_rows):
         homes, f"id {id_type}, b_position bigint, b_id {id_type}, n bigint"
     )
     found = vb.tile_join(
-        homes, probes, kernels.tile_blockers(threshold, dim, arrow_schema), spark_schema, tile_rows
+        homes, probes, kernels.tile_blockers(threshold, dim, arrow_schema), spark_schema, tile_rows, 8 * dim
     )
     return found.groupBy("id").agg(
         F.min(F.struct("b_position", "b_id")).alias("b"), F.sum("n").alias("n")
@@ -193,7 +196,7 @@ def _resolve(rows, n, dim, threshold, tile_rows, cells, bands):
         homes, asks = placed.where("home").drop("home"), placed.drop("home")
     else:
         light = cut(sketch_cells(rows, threshold, vb.pick_anchors(rows, n, dim, cells)))
-        near = near_pairs(light.where("home").drop("home"), light.drop("home"), threshold, tile_rows)
+        near = near_pairs(light.where("home").drop("home"), light.drop("home"), threshold, tile_rows, dim)
         placed = cut(rows.join(near, "id").select(*rows.columns, "cell", "home"))
         homes, asks = placed.where("home").drop("home"), placed.where("not home").drop("home")
     # id, verdict (null while open), current blocker, blockers seen, whether to ask again

@@ -116,7 +116,8 @@ def _by_cells(entries, queries, dim, schemas, tile_rows, cells, report):
             report.append(visited)
         if not visited:
             break
-        hits = vb.tile_join(placed, asked, kernels.tile_top_k(dim, schemas[1], complete=True), schemas[0], tile_rows)
+        hits = vb.tile_join(placed, asked, kernels.tile_top_k(dim, schemas[1], complete=True), schemas[0], tile_rows,
+                            8 * dim)
         best = cut(_ranked(hits if best is None else hits.unionByName(best.drop("rank"))))
         floors = best.groupBy("query_id").agg(
             F.min(F.coalesce("similarity_score", F.lit(-2.0))).alias("least"), (F.count("*") >= F.max("limit")).alias("full"))
@@ -160,6 +161,7 @@ def ann_top_k(
         "similarity_score double, limit int",
     )
     hits = vb.tile_join(
-        rows, asked, kernels.tile_top_k(dim=known[1].shape[1], schema=arrow_schema), spark_schema, tile_rows
+        rows, asked, kernels.tile_top_k(dim=known[1].shape[1], schema=arrow_schema), spark_schema, tile_rows,
+        8 * known[1].shape[1],
     )
     return _ranked(hits).drop("limit")

@@ -12,6 +12,10 @@ from memlake.functions import kernels
 BROADCAST_BYTES = 64 << 20
 # Rows per side of one tile, and per part admitted in one task.
 TILE_ROWS = 4096
+# A cell is cut into so many parts a side before its tiles grow beyond their rows, and a side of a
+# grown tile takes so many bytes at most. Rows are sent once for each part of the other side.
+TILE_PARTS = 6
+TILE_BYTES = 32 << 20
 # Rows a cell should hold, and the most cells; the anchors of all cells are broadcast.
 CELL_ROWS = 50_000
 MAX_CELLS = 256
@@ -60,11 +64,14 @@ def pick_pivots(anchors: np.ndarray) -> np.ndarray:
     return basis.T[:count]
 
 
-def tiles(homes: DataFrame, probes: DataFrame, tile_rows: int):
+def tiles(homes: DataFrame, probes: DataFrame, tile_rows: int, row_bytes: int | None = None):
     """Split every cell into tiles of bounded size; each home row meets each probe once.
 
-    A crowded cell gets more tiles, not larger ones.
+    Tiles of `tile_rows` a side are as many as the square of a cell's rows, and so are the copies
+    that are sent. With `row_bytes` the tiles of a crowded cell grow first, up to `TILE_BYTES` a
+    side; only then a crowded cell gets more tiles, not larger ones.
     """
+    most = tile_rows if row_bytes is None else max(tile_rows, TILE_BYTES // max(1, row_bytes))
 
     def chunked(side: DataFrame, mine: str, other: str) -> DataFrame:
         own = F.pmod(F.xxhash64("id", F.lit(7)), F.col(mine))
@@ -74,17 +81,21 @@ def tiles(homes: DataFrame, probes: DataFrame, tile_rows: int):
         ).drop(mine, other)
 
     def chunks(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).alias(name))
+        rows = F.count(F.lit(1))
+        part = F.greatest(F.lit(tile_rows), F.least(F.ceil(rows / TILE_PARTS), F.lit(most)))
+        return side.groupBy("cell").agg(F.ceil(rows / part).alias(name))
 
     plan = chunks(homes, "h").join(chunks(probes, "p"), "cell")
     keys = ["cell", "h_no", "p_no"]
     return chunked(homes, "h", "p").groupBy(*keys), chunked(probes, "p", "h").groupBy(*keys)
 
 
-def tile_join(homes: DataFrame, probes: DataFrame, kernel, schema, tile_rows: int) -> DataFrame:
+def tile_join(
+    homes: DataFrame, probes: DataFrame, kernel, schema, tile_rows: int, row_bytes: int | None = None
+) -> DataFrame:
     # Both sides may come from one frame; fresh names keep their columns apart.
     probes = probes.select(*[F.col(c).alias(c) for c in probes.columns])
-    left, right = tiles(homes, probes, tile_rows)
+    left, right = tiles(homes, probes, tile_rows, row_bytes)
     payload_l = [c for c in homes.columns if c != "cell"]
     payload_r = [c for c in probes.columns if c != "cell"]
 

@@ -117,5 +117,5 @@ def resembling(
             report.append(found)
         return found
 
-    near = duplicates.near_pairs(rows(probes, "sketch"), probes, threshold, tile_rows)
+    near = duplicates.near_pairs(rows(probes, "sketch"), probes, threshold, tile_rows, known.shape[1])
     return duplicates.matching(rows(near, "embedding"), batch, near, threshold, known.shape[1], tile_rows)
