@@ -248,3 +248,48 @@ def test_non_finite_vectors_take_no_part(spark):
     _, bad = store.checked(store.with_defaults(entries, "2024-01-01 00:00:00"))
     assert {(r.id, r.fault) for r in bad.select("id", "fault").collect()} == {("2", "infinite vector"), ("4", "vector with gaps")} | (
         {("3", "infinite vector")} if bad.where("id = '3'").count() else set())
+
+
+def test_copies_in_tiles_grow_no_faster_than_rows(spark):
+    from memlake.operators import vector_blocks as vb
+
+    schema = vb.schema_of(spark.range(1), "homes bigint, probes bigint")[0]
+
+    def sizes(homes, probes):
+        import pyarrow as pa
+
+        return pa.table({"homes": [homes.num_rows], "probes": [probes.num_rows]})
+
+    def met(n, row_bytes):
+        rows = spark.range(n).select("id", F.lit(0).cast("bigint").alias("cell"))
+        return vb.tile_join(rows, rows, sizes, schema, 16, row_bytes).collect()
+
+    for n in (600, 2400):
+        found = met(n, 512)
+        assert sum(r.homes * r.probes for r in found) == n * n  # each pair once
+        assert sum(r.homes + r.probes for r in found) <= 2 * vb.TILE_PARTS * n
+    # a side that holds no more gets more tiles again
+    assert max(r.homes for r in met(600, vb.TILE_BYTES // 32)) < 64
+
+
+def test_a_scan_holds_small_blocks_of_scores(spark):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from memlake.functions import kernels
+
+    rng = np.random.default_rng(3)
+    asks, rows = rng.standard_normal((6000, 8)), rng.standard_normal((4000, 8))
+    asks /= np.linalg.norm(asks, axis=1)[:, None]
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("s", pa.float64()), ("limit", pa.int32())])
+    shared = SimpleNamespace(value={
+        "matrix": asks, "usable": np.ones(6000, bool), "query_id": np.arange(6000), "limits": np.full(6000, 3)})
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(4000), "embedding": [list(r) for r in rows]})
+    tracemalloc.start()
+    (got,) = kernels.scan_top_k(shared, schema)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    want = np.argsort(-(asks @ (rows / np.linalg.norm(rows, axis=1)[:, None]).T), axis=1, kind="stable")[:, :3]
+    assert got.column("id").to_numpy().reshape(-1, 3).tolist() == want.tolist()
