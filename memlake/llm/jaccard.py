@@ -114,7 +114,9 @@ def verify(group: dict, words: int, least: tuple[int, int]) -> list[tuple]:
         return []
     keys, block = np.array(group["keys"], np.int64), np.array(group["block"])
     one, two = np.triu_indices(n, 1)
-    wanted = (keys[one, :tree] != keys[two, :tree]).all(1) if tree else np.ones(len(one), bool)
+    wanted = np.ones(len(one), bool)
+    for t in range(tree):  # one tree at a time, or all pairs would hold the keys of all trees at once
+        wanted &= keys[one, t] != keys[two, t]
     if group["row"][0] != group["col"][0]:
         wanted &= block[one] != block[two]
     one, two = one[wanted], two[wanted]

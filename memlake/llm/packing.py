@@ -28,6 +28,8 @@ SEQUENCE, END = 4096, 1
 GROUP = 8192
 #: Characters encoded at a time; a longer text is encoded alone.
 TOGETHER = 1 << 20
+#: New words in one call of the tokenizer, whose results take far more room than the ids.
+CALL = 8192
 
 
 class WordIds:
@@ -36,14 +38,14 @@ class WordIds:
     Each different word is encoded once. A word of letters with one full stop or comma behind it
     is two pre-tokens, so its letters are shared with the bare word's; lower-case letters need
     neither the tokenizer's normaliser nor its pattern. Between calls at most `most` words are
-    kept, those used most; a word takes about 330 bytes.
+    kept, those used most; a word takes about 170 bytes.
     """
 
     #: White space to str.split() but not to the tokenizer.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     MARKS = {".": 1, ",": 2}
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer, self.plain, self.last = tokenizers(path)
         marks = self._encode(self.tokenizer, list(self.MARKS))
         self.mark_ids = np.array([0, *(int(m[0]) for m in marks)], np.uint32)
@@ -51,31 +53,29 @@ class WordIds:
         self._clear()
 
     def _clear(self):
-        # a word is a stem and a mark; a stem is a range of flat
-        self.known, self.stems, self.used, self.ranges = {}, {}, 0, 0
-        self.stem, self.mark = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int8)
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        # a word is a range of flat and a mark; its stem is kept as a word too
+        self.known, self.used = {}, 0
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.mark, self.uses = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.uses = np.zeros(1 << 16, np.int64)
 
     def _shrink(self) -> None:
         """Forget all but the most used words, half as many as may be kept; their uses count half."""
-        uses, words, stems = self.uses[:len(self.known)], list(self.known), list(self.stems)
+        uses, words = self.uses[:len(self.known)], list(self.known)
         kept = np.sort(np.argsort(-uses, kind="stable")[:self.most // 2])
-        here, stem = np.unique(self.stem[kept], return_inverse=True)
-        start, length, flat, mark = self.start[here], self.length[here], self.flat, self.mark[kept]
+        start, length, mark, flat = self.start[kept], self.length[kept], self.mark[kept], self.flat
         self._clear()
         ends = np.cumsum(length)
         at = np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]))
-        self._store([stems[i] for i in here], flat[at], length)
-        self._name([words[i] for i in kept], stem, mark)
+        self._store([words[i] for i in kept], flat[at], length, mark)
         self.uses[:len(kept)] = uses[kept] // 2
 
-    def _name(self, words: list[str], stem, mark) -> None:
-        """Words as a known stem and a mark each."""
+    def _name(self, words: list[str], start, length, mark) -> None:
+        """Words as a range of flat and a mark each."""
         n, k = len(self.known), len(words)
-        self.stem, self.mark, self.uses = (self._room(v, n + k) for v in (self.stem, self.mark, self.uses))
-        self.stem[n:n + k], self.mark[n:n + k], self.uses[n:n + k] = stem, mark, 0
+        self.start, self.length, self.mark, self.uses = (
+            self._room(v, n + k) for v in (self.start, self.length, self.mark, self.uses))
+        self.start[n:n + k], self.length[n:n + k], self.mark[n:n + k], self.uses[n:n + k] = start, length, mark, 0
         self.known.update(zip(words, range(n, n + k)))
 
     @staticmethod
@@ -86,53 +86,52 @@ class WordIds:
     def _room(values: np.ndarray, n: int) -> np.ndarray:
         return values if n <= len(values) else np.resize(values, max(n, 2 * len(values)))
 
-    def _store(self, stems: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Keep the ids of stems, which lie one behind another."""
-        n, k = self.ranges, len(lengths)
-        self.start, self.length = self._room(self.start, n + k), self._room(self.length, n + k)
+    def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, mark=0) -> None:
+        """Keep the ids of words, which lie one behind another."""
         self.flat = self._room(self.flat, self.used + len(ids))
         self.flat[self.used:self.used + len(ids)] = ids
-        self.start[n:n + k] = self.used + np.cumsum(lengths) - lengths
-        self.length[n:n + k] = lengths
-        self.stems.update(zip(stems, range(n, n + k)))
-        self.used, self.ranges = self.used + len(ids), n + k
-
-    def _store_each(self, stems: list[str]) -> None:
-        found = self._encode(self.tokenizer, stems)
-        self._store(stems, np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64))
-
-    def _store_letters(self, stems: list[str], together: int = 256) -> None:
-        """Many words of letters in one call; the ids themselves say where a word ends."""
-        groups = [stems[i:i + together] for i in range(0, len(stems), together)]
-        for group, found in zip(groups, self._encode(self.plain, [" ".join(g) for g in groups])):
-            ids = np.array(found, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(group):
-                self._store(group, ids, np.diff(ends, prepend=0))
-            else:
-                self._store_each(group)
+        self._name(words, self.used + np.cumsum(lengths) - lengths, lengths, mark)
+        self.used += len(ids)
+
+    def _store_each(self, words: list[str]) -> None:
+        for at in range(0, len(words), CALL):
+            found = self._encode(self.tokenizer, part := words[at:at + CALL])
+            self._store(part, np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64))
+
+    def _store_letters(self, words: list[str], together: int = 256) -> None:
+        """Many words of letters in one text; the ids themselves say where a word ends."""
+        for first in range(0, len(words), CALL):
+            groups = [words[i:i + together] for i in range(first, min(first + CALL, len(words)), together)]
+            for group, found in zip(groups, self._encode(self.plain, [" ".join(g) for g in groups])):
+                ids = np.array(found, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(group):
+                    self._store(group, ids, np.diff(ends, prepend=0))
+                else:
+                    self._store_each(group)
 
     def _add(self, words: list[str]) -> None:
-        names, marks, letters, others = [], [], set(), set()
+        letters, others, forms, stems, marks = set(), set(), [], [], []
         for w in words:
             stem, mark = (w[:-1], self.MARKS[w[-1]]) if w[-1] in self.MARKS and len(w) > 1 else (w, 0)
             low = stem.lower()
             # the lower case of a sigma depends on its place
             if stem.isalpha() and low.isalpha() and "\u03a3" not in stem and (
-                    low.isascii() or unicodedata.is_normalized("NFC", low)):
-                if low not in self.stems:
+                    low.isascii() or low == low.lower() and unicodedata.is_normalized("NFC", low)):
+                if low not in self.known:
                     letters.add(low)
+                if low != w:
+                    forms.append(w)
+                    stems.append(low)
+                    marks.append(mark)
             else:
-                low, mark = w, 0
-                if low not in self.stems:
-                    others.add(low)
-            names.append(low)
-            marks.append(mark)
+                others.add(w)
         if letters:
             self._store_letters(list(letters))
         if others:
             self._store_each(list(others))
-        self._name(words, np.fromiter(map(self.stems.__getitem__, names), np.int32, len(names)), marks)
+        code = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
+        self._name(forms, self.start[code], self.length[code], marks)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -143,13 +142,12 @@ class WordIds:
             self._add(list(new))
         code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.uses[:len(self.known)] += np.bincount(code, minlength=len(self.known))
-        stem, mark = self.stem[code], self.mark[code]
-        bare = self.length[stem]
-        n = bare + (mark > 0)
+        mark = self.mark[code]
+        n = self.length[code] + (mark > 0)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         # where a mark belongs this reads one id beyond the stem's, then overwritten
-        at = np.repeat(self.start[stem] - (ends - n), n) + np.arange(total)
+        at = np.repeat(self.start[code] - (ends - n), n) + np.arange(total)
         ids = self.flat[np.minimum(at, len(self.flat) - 1)]
         ids[ends[mark > 0] - 1] = self.mark_ids[mark[mark > 0]]
         after = np.concatenate(([0], ends))
@@ -169,10 +167,11 @@ class WordIds:
 def tokenizers(path: str):
     """The tokenizer, one for white-space runs of plain letters, and which ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    plain.normalizer = normalizers.Sequence([])
+    whole = Tokenizer.from_file(path)
+    plain = Tokenizer(whole.model)  # one vocabulary in memory for both
+    plain.add_special_tokens(list(whole.get_added_tokens_decoder().values()))
     plain.pre_tokenizer = pre_tokenizers.Sequence([
         pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocab = whole.get_vocab()

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import sys
+import tracemalloc
 from collections import Counter
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -266,3 +267,18 @@ def test_fingerprints_awkward(spark):
     one = fingerprints.with_edits(table(spark, [(5, "abc def", "en", "s", 1)])).collect()
     assert one[0].near_next == 1.0
     assert fingerprints.likeness({}, {}) == 1.0 and fingerprints.likeness({}, {"a": 1}) == 0.0
+
+
+def test_a_block_pair_does_not_hold_the_keys_of_all_trees_for_all_pairs():
+    r, n, tree = random.Random(7), 600, 15
+    texts = [words(r, 12) for _ in range(n - 1)]
+    group = {"node": [i.to_bytes(2, "big") for i in range(n)], "tree": [tree] * n, "block": [0] * n, "row": [0] * n,
+             "col": [0] * n, "copies": [1] * n, "keys": [[r.getrandbits(60) for _ in range(16)] for _ in range(n)],
+             "text": [*texts, texts[3]]}
+    group["keys"][-2] = group["keys"][5]  # met in an earlier tree
+    tracemalloc.start()
+    found = jaccard.verify(group, 5, (4, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(int.from_bytes(a, "big"), k, int.from_bytes(b, "big")) for a, k, b in found] == [(3, 1, 3), (n - 1, 1, 3)]
+    assert peak < 30e6, peak

@@ -4,6 +4,7 @@ import os
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -130,6 +131,30 @@ def test_word_ids_equal_the_tokenizer():
         assert [list(x) for x in ids.encode(some)] == want
 
 
+def test_a_kept_word_takes_little_memory():
+    ids = packing.WordIds(P.path(TOKENIZER))
+    r = random.Random(5)
+    stock = sorted({"".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(30_000)})
+    text = " ".join(stock)
+    tracemalloc.start()
+    ids.encode([text])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(ids.known) == len(stock)
+    assert kept / len(stock) < 170, kept / len(stock)
+
+
+def test_new_words_reach_the_tokenizer_in_bounded_calls(monkeypatch):
+    calls, encode = [], packing.WordIds._encode
+    monkeypatch.setattr(packing.WordIds, "_encode", staticmethod(lambda t, words: calls.append(
+        sum(len(w.split()) for w in words)) or encode(t, words)))
+    ids = packing.WordIds(P.path(TOKENIZER))
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abcdefgh1") for _ in range(8)) for _ in range(40_000))
+    assert list(ids.encode([text])[0]) == ids.tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(calls) <= 8192
+
+
 def test_best_two_fit():
     bins = packing.best_two_fit({6: 1, 5: 1, 2: 1, 3: 2}, 10)
     assert all(sum(b) <= 10 for b, _ in bins)
